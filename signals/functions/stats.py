@@ -25,8 +25,8 @@ def scalar(df: DataFrame, expr: Column) -> Column:
 def min_max(df: DataFrame, c: str, neutral: float = 0.5) -> Column:
     """(x − min)/(max − min) over all rows of ``df``; every row gets ``neutral``
     when min = max (also rows whose x is NULL); all-NULL input stays NULL."""
-    lo = scalar(df, F.min(c))
-    hi = scalar(df, F.max(c))
+    b = df.select(F.struct(F.min(c).alias("lo"), F.max(c).alias("hi"))).scalar()
+    lo, hi = b.getField("lo"), b.getField("hi")
     return F.when(hi == lo, F.lit(neutral)).otherwise(safe_div(F.col(c) - lo, hi - lo))
 
 

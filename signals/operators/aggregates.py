@@ -11,6 +11,7 @@ joins in ``portfolio_stats`` reuse.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,15 @@ KEY = "concept_id"
 CUSTOMER = "customer_id"
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Keep a concept-level aggregate for its several readers (the main plan and
+    the scalar subqueries of its bounds): without it each reader would re-scan
+    and re-shuffle the signal table, since column pruning makes their plans
+    differ and exchange reuse cannot apply. Lost blocks are recomputed from
+    lineage, so an executor loss only costs time."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def demo_stats(demo: DataFrame, key: str = KEY, customer: str = CUSTOMER) -> DataFrame:
     return demo.groupBy(key).agg(
         F.count(F.lit(1)).alias("demo_rows"),
@@ -80,8 +90,25 @@ def concept_meta(concepts: DataFrame, key: str = KEY) -> DataFrame:
         key, "concept_name", "delivery_complexity", "strategic_fit", F.lit(True).alias("in_concepts"))
 
 
+def outer_union(frames: list[DataFrame], key: str = KEY) -> DataFrame:
+    """Align frames that each hold at most one row per key on the union of their keys.
+
+    Written as ``unionByName`` + one ``groupBy(key)`` keeping the single non-null
+    value per column: each input is computed once and the rows are shuffled
+    once, where a chain of full outer joins would re-shuffle the growing rows
+    after every join (a full outer join's output partitioning is unknown).
+    """
+    cols: list[str] = []
+    for f in frames:
+        cols += [c for c in f.columns if c != key and c not in cols]
+    u = frames[0]
+    for f in frames[1:]:
+        u = u.unionByName(f, allowMissingColumns=True)
+    return u.groupBy(key).agg(*[F.first(c, ignorenulls=True).alias(c) for c in cols])
+
+
 def portfolio_stats(concepts: DataFrame, demo: DataFrame, usage: DataFrame, commercial: DataFrame,
-                    key: str = KEY, customer: str = CUSTOMER) -> dict[str, DataFrame]:
+                    key: str = KEY, customer: str = CUSTOMER, persist: bool = True) -> dict[str, DataFrame]:
     """The per-table aggregate frames plus their outer union on the key.
 
     ``all`` holds one row per key seen in any table (orphans included); a
@@ -90,6 +117,8 @@ def portfolio_stats(concepts: DataFrame, demo: DataFrame, usage: DataFrame, comm
     d = demo_stats(demo, key, customer).join(segment_entropy(demo, key), key, "left")
     u = usage_stats(usage, key, customer)
     c = commercial_stats(commercial, key, customer)
+    if persist:
+        d, u, c = materialize(d), materialize(u), materialize(c)
     m = concept_meta(concepts, key)
-    allk = m.join(d, key, "full").join(u, key, "full").join(c, key, "full")
+    allk = outer_union([m, d, u, c], key)
     return {"demo": d, "usage": u, "commercial": c, "meta": m, "all": allk}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions.columns import clip01, safe_div
-from .aggregates import KEY, commercial_stats, demo_stats, portfolio_stats, segment_entropy, usage_stats
+from .aggregates import KEY, commercial_stats, demo_stats, materialize, portfolio_stats, segment_entropy, usage_stats
 
 FEATURES = ["demand_intensity", "repeatability", "engagement_depth", "segment_similarity_raw",
             "revenue_potential", "feasibility", "strategic_fit", "confidence_proxy"]
@@ -86,19 +86,20 @@ def _confidence_proxy(cfg: Config) -> Column:
 # --- one feature at a time, over its own index (as the per-feature functions are used) ---
 
 def demand_intensity(demo: DataFrame, commercial: DataFrame, key: str = KEY, cfg: Config = DEFAULT) -> DataFrame:
-    d = demo_stats(demo, key)
+    d = materialize(demo_stats(demo, key))
     c = commercial_stats(commercial, key).select(key, "mean_urgency")
-    return d.join(c, key, "left").select(key, _demand(bounds(d, _demo_norms()), cfg).alias("demand_intensity"))
+    j = d.join(c, key, "left").withColumn("_b", bounds(d, _demo_norms()))
+    return j.select(key, _demand(F.col("_b"), cfg).alias("demand_intensity"))
 
 
 def repeatability(usage: DataFrame, key: str = KEY, cfg: Config = DEFAULT) -> DataFrame:
-    u = usage_stats(usage, key)
-    return u.select(key, _repeat(bounds(u, _usage_norms()), cfg).alias("repeatability"))
+    u = materialize(usage_stats(usage, key))
+    return u.withColumn("_b", bounds(u, _usage_norms())).select(key, _repeat(F.col("_b"), cfg).alias("repeatability"))
 
 
 def engagement_depth(usage: DataFrame, key: str = KEY, cfg: Config = DEFAULT) -> DataFrame:
-    u = usage_stats(usage, key)
-    return u.select(key, _engage(bounds(u, _usage_norms()), cfg).alias("engagement_depth"))
+    u = materialize(usage_stats(usage, key))
+    return u.withColumn("_b", bounds(u, _usage_norms())).select(key, _engage(F.col("_b"), cfg).alias("engagement_depth"))
 
 
 def segment_similarity_raw(demo: DataFrame, key: str = KEY) -> DataFrame:
@@ -106,8 +107,8 @@ def segment_similarity_raw(demo: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def revenue_potential(commercial: DataFrame, key: str = KEY, cfg: Config = DEFAULT) -> DataFrame:
-    c = commercial_stats(commercial, key)
-    return c.select(key, _revenue(bounds(c, _comm_norms()), cfg).alias("revenue_potential"))
+    c = materialize(commercial_stats(commercial, key))
+    return c.withColumn("_b", bounds(c, _comm_norms())).select(key, _revenue(F.col("_b"), cfg).alias("revenue_potential"))
 
 
 def feasibility(concepts: DataFrame, commercial: DataFrame, key: str = KEY) -> DataFrame:
@@ -141,12 +142,16 @@ def features_from_stats(st: dict[str, DataFrame], key: str = KEY, cfg: Config =
     has_usage = F.col("usage_rows").isNotNull()
     has_comm = F.col("commercial_rows").isNotNull()
     in_concepts = F.col("in_concepts").isNotNull()
+    # each table's bounds are one scalar subquery, projected once and referenced by name
+    base = st["all"].select("*", bounds(st["demo"], _demo_norms()).alias("_bd"),
+                            bounds(st["usage"], _usage_norms()).alias("_bu"),
+                            bounds(st["commercial"], _comm_norms()).alias("_bc"))
     cols = {
-        "demand_intensity": F.when(has_demo, _demand(bounds(st["demo"], _demo_norms()), cfg)),
-        "repeatability": F.when(has_usage, _repeat(bounds(st["usage"], _usage_norms()), cfg)),
-        "engagement_depth": F.when(has_usage, _engage(bounds(st["usage"], _usage_norms()), cfg)),
+        "demand_intensity": F.when(has_demo, _demand(F.col("_bd"), cfg)),
+        "repeatability": F.when(has_usage, _repeat(F.col("_bu"), cfg)),
+        "engagement_depth": F.when(has_usage, _engage(F.col("_bu"), cfg)),
         "segment_similarity_raw": F.col("segment_similarity_raw"),
-        "revenue_potential": F.when(has_comm, _revenue(bounds(st["commercial"], _comm_norms()), cfg)),
+        "revenue_potential": F.when(has_comm, _revenue(F.col("_bc"), cfg)),
         "feasibility": F.when(in_concepts, _feasibility()),
         "strategic_fit": clip01("strategic_fit"),
         "confidence_proxy": F.when(has_demo, _confidence_proxy(cfg)),
@@ -156,7 +161,7 @@ def features_from_stats(st: dict[str, DataFrame], key: str = KEY, cfg: Config =
         extra = [c for c in st["all"].columns if c not in {key, "delivery_complexity", "concept_name",
                                                            "segment_similarity_raw", "strategic_fit"}]
         out += [F.col(c) for c in extra]
-    return st["all"].select(*out)
+    return base.select(*out)
 
 
 def feature_table(concepts: DataFrame, demo: DataFrame, usage: DataFrame, commercial: DataFrame,

@@ -28,7 +28,7 @@ def model(spark: SparkSession, sf_dir: str, dirty: bool = False):
 SELECT concept_id, {S.r6('mean_wtp')} AS mean_wtp, {S.r6(S.mm('mean_wtp', 'comm_st'))} AS wtp_norm FROM comm_st"""))
 def q_min_max(spark, sf_dir):
     from ..functions.stats import min_max
-    c = agg.commercial_stats(model(spark, sf_dir)["commercial_signals"])
+    c = agg.materialize(agg.commercial_stats(model(spark, sf_dir)["commercial_signals"]))
     return finish(c.select(K, "mean_wtp", min_max(c, "mean_wtp").alias("wtp_norm")))
 
 
@@ -90,3 +90,127 @@ _FEAT_SELECT = ", ".join([f"{S.r6(c)} AS {c}" for c in S.FEATURE_COLS] + [f"{S.r
 def q_feature_table(spark, sf_dir):
     m = model(spark, sf_dir)
     return finish(feat.feature_table(m["concepts"], m["demo_signals"], m["usage_signals"], m["commercial_signals"]))
+
+
+# ---------------------------------------------------------------- clusters, readiness, confidence, decision
+# (rule portfolio: given labels p_size % 4, rule-baseline readiness; see plans/portfolio.py)
+
+from ..config import DEFAULT as CFG  # noqa: E402
+from ..operators import clusters as clu  # noqa: E402
+from ..operators import confidence as conf  # noqa: E402
+from ..operators import decide as dec  # noqa: E402
+from ..operators import readiness as rdy  # noqa: E402
+from .portfolio import rule_portfolio  # noqa: E402
+
+_CF = list(CFG.cluster_features)
+_Z_SQL = ", ".join(
+    f"{S.r6(f'CASE WHEN stddev_pop(coalesce({c}, 0.0)) OVER () = 0 THEN 0.0 ELSE (coalesce({c}, 0.0) - avg(coalesce({c}, 0.0)) OVER ()) / stddev_pop(coalesce({c}, 0.0)) OVER () END')} AS {c}_z"
+    for c in _CF)
+
+
+@query("standardize", S.q(S.feature_ctes(), f"SELECT concept_id, {_Z_SQL} FROM feat"))
+def q_standardize(spark, sf_dir):
+    p = rule_portfolio(spark, sf_dir)
+    return finish(clu.standardize(p.features, _CF))
+
+
+@query("cluster_repeatability_score", S.q(S.portfolio_ctes(), f"""
+SELECT concept_id, cluster_id, {S.r6('cluster_repeatability_score')} AS cluster_repeatability_score FROM labeled"""))
+def q_cluster_rep(spark, sf_dir):
+    p = rule_portfolio(spark, sf_dir)
+    return finish(p.labeled.select(K, "cluster_id", "cluster_repeatability_score"))
+
+
+@query("cluster_distribution", S.q(S.portfolio_ctes(), """
+SELECT cluster_id, count(*) AS n_concepts FROM labeled GROUP BY cluster_id"""))
+def q_cluster_dist(spark, sf_dir):
+    return clu.cluster_distribution(rule_portfolio(spark, sf_dir).labeled)
+
+
+@query("readiness_label", S.q(S.portfolio_ctes(), f"SELECT concept_id, {S.r6('readiness_label')} AS readiness_label FROM rlabel"))
+def q_label(spark, sf_dir):
+    return finish(rdy.readiness_label(rule_portfolio(spark, sf_dir).features))
+
+
+@query("readiness_score", S.q(S.portfolio_ctes(), f"SELECT concept_id, {S.r6('readiness_score')} AS readiness_score FROM readiness"))
+def q_readiness(spark, sf_dir):
+    return finish(rule_portfolio(spark, sf_dir).readiness)
+
+
+def _conf_parts(spark, sf_dir):
+    p = rule_portfolio(spark, sf_dir)
+    return conf.confidence_scores(p.stats["all"], p.labeled, p.features.select(K), K, CFG, keep_parts=True)
+
+
+@query("sample_size_factor", S.q(S.portfolio_ctes(), f"SELECT concept_id, {S.r6('sample_size_factor')} AS sample_size_factor FROM conf_parts"))
+def q_ssf(spark, sf_dir):
+    return finish(_conf_parts(spark, sf_dir).select(K, "sample_size_factor"))
+
+
+@query("variance_penalty", S.q(S.portfolio_ctes(), f"SELECT concept_id, {S.r6('variance_penalty')} AS variance_penalty FROM conf_parts"))
+def q_vp(spark, sf_dir):
+    return finish(_conf_parts(spark, sf_dir).select(K, "variance_penalty"))
+
+
+@query("cluster_tightness", S.q(S.portfolio_ctes(), f"SELECT concept_id, {S.r6('cluster_tightness')} AS cluster_tightness FROM tight"))
+def q_tight(spark, sf_dir):
+    p = rule_portfolio(spark, sf_dir)
+    return finish(conf.cluster_tightness(p.labeled, p.features.select(K)))
+
+
+@query("confidence_score", S.q(S.portfolio_ctes(), f"SELECT concept_id, {S.r6('confidence_score')} AS confidence_score FROM confidence"))
+def q_conf(spark, sf_dir):
+    return finish(rule_portfolio(spark, sf_dir).confidence)
+
+
+@query("score_summary", S.q(S.portfolio_ctes(), f"""
+SELECT {S.r6('avg(r.readiness_score)')} AS readiness_mean, {S.r6('min(r.readiness_score)')} AS readiness_min,
+       {S.r6('max(r.readiness_score)')} AS readiness_max, {S.r6('avg(c.confidence_score)')} AS confidence_mean,
+       {S.r6('min(c.confidence_score)')} AS confidence_min, {S.r6('max(c.confidence_score)')} AS confidence_max
+FROM readiness r JOIN confidence c ON c.concept_id = r.concept_id"""))
+def q_summary(spark, sf_dir):
+    p = rule_portfolio(spark, sf_dir)
+    both = p.readiness.join(p.confidence, K)
+    return finish(both.agg(*conf.summary_columns("readiness_score", "readiness"),
+                           *conf.summary_columns("confidence_score", "confidence")))
+
+
+def _dec_inputs(spark, sf_dir):
+    p = rule_portfolio(spark, sf_dir)
+    return dec.decision_inputs(p.labeled, p.stats["all"], p.readiness, p.confidence)
+
+
+@query("archive_signals", S.q(S.portfolio_ctes(), f"""
+SELECT concept_id, {S.r6('abandonment_rate')} AS abandonment_rate, {S.r6('mean_objections')} AS mean_objections FROM dec_in"""))
+def q_archive(spark, sf_dir):
+    return finish(_dec_inputs(spark, sf_dir).select(K, "abandonment_rate", "mean_objections"))
+
+
+@query("pilot_signals", S.q(S.portfolio_ctes(), f"""
+SELECT concept_id, {S.r6('max_urgency')} AS max_urgency, {S.r6('max_budget')} AS max_budget FROM dec_in"""))
+def q_pilot(spark, sf_dir):
+    return finish(_dec_inputs(spark, sf_dir).select(K, "max_urgency", "max_budget"))
+
+
+_DEC_IN_SQL = ", ".join(f"{S.r6(c)} AS {c}" for c in dec.CLASSIFY_INPUTS)
+
+
+@query("classify_outcome", S.q(S.portfolio_ctes(), f"SELECT concept_id, {_DEC_IN_SQL}, recommended_outcome FROM decision"))
+def q_classify(spark, sf_dir):
+    return finish(dec.classify_frame(_dec_inputs(spark, sf_dir)))
+
+
+_DEC_SQL = """SELECT concept_id, {r} AS readiness_score, {c} AS confidence_score, {cr} AS cluster_repeatability,
+{dc} AS delivery_complexity, recommended_outcome FROM decision""".format(
+    r=S.r6("readiness_score"), c=S.r6("confidence_score"), cr=S.r6("cluster_repeatability"), dc=S.r6("delivery_complexity"))
+
+
+@query("decision_table", S.q(S.portfolio_ctes(), _DEC_SQL))
+def q_decision(spark, sf_dir):
+    return finish(rule_portfolio(spark, sf_dir).decision)
+
+
+@query("outcome_distribution", S.q(S.portfolio_ctes(), """
+SELECT recommended_outcome, count(*) AS n_concepts FROM decision GROUP BY recommended_outcome"""))
+def q_outcomes(spark, sf_dir):
+    return dec.outcome_distribution(rule_portfolio(spark, sf_dir).decision)

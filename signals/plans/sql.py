@@ -122,3 +122,76 @@ FEATURE_COLS = ["demand_intensity", "repeatability", "engagement_depth", "segmen
 
 def q(ctes: list[tuple[str, str]], final: str, dirty: bool = False) -> str:
     return with_ctes(model_sql(dirty) + ctes, final)
+
+
+def bround2(e: str) -> str:
+    """Half-even to 2 places on the decimal value (Spark's bround)."""
+    return f"CAST(round_even(CAST(({e}) AS DECIMAL(38,12)), 2) AS DOUBLE)"
+
+
+def label_sql() -> str:
+    terms = " + ".join(f"{w} * coalesce({n}, 0.0)" for n, w in C.label_weights.items())
+    return clip01(terms)
+
+
+def portfolio_ctes() -> list[tuple[str, str]]:
+    """Rule portfolio: given labels (p_size % 4), rule readiness, confidence, decision."""
+    w = C.confidence_weights
+    n = "greatest(coalesce(demo_customers, 0), coalesce(usage_customers, 0), coalesce(commercial_customers, 0))"
+    ssf = clip01(f"ln(1 + {n}) / ln(1 + {C.sample_saturation})")
+    nv = "(coalesce(feedback_var, 0.0) / 25.0 + coalesce(pilot_var, 0.0) / 0.25) / 2.0"
+    vp = clip01(f"1.0 - {clip01(f'{nv} * {C.variance_scale}')}")
+    sd = [f"stddev_samp({f})" for f in C.tightness_features]
+    nn = " + ".join(f"CASE WHEN {s} IS NULL THEN 0 ELSE 1 END" for s in sd)
+    sm = " + ".join(f"coalesce({s}, 0.0)" for s in sd)
+    return feature_ctes() + [
+        ("labels", "SELECT p_partkey AS concept_id, CAST(p_size % 4 AS INTEGER) AS cluster_id FROM part"),
+        ("labeled0", "SELECT f.*, l.cluster_id FROM feat f LEFT JOIN labels l ON l.concept_id = f.concept_id"),
+        ("cmeans", "SELECT cluster_id, avg(repeatability) AS cm FROM labeled0 WHERE cluster_id IS NOT NULL GROUP BY cluster_id"),
+        ("labeled", """
+SELECT l.*, CASE WHEN (SELECT max(cm) FROM cmeans) > (SELECT min(cm) FROM cmeans)
+                 THEN (c.cm - (SELECT min(cm) FROM cmeans)) / ((SELECT max(cm) FROM cmeans) - (SELECT min(cm) FROM cmeans))
+                 ELSE 0.5 END AS cluster_repeatability_score
+FROM labeled0 l LEFT JOIN cmeans c ON c.cluster_id = l.cluster_id"""),
+        ("rlabel", f"SELECT concept_id, {label_sql()} AS readiness_label FROM feat"),
+        ("readiness", f"""
+SELECT concept_id, {bround2('CASE WHEN (SELECT max(readiness_label) FROM rlabel) > (SELECT min(readiness_label) FROM rlabel) THEN (readiness_label - (SELECT min(readiness_label) FROM rlabel)) / ((SELECT max(readiness_label) FROM rlabel) - (SELECT min(readiness_label) FROM rlabel)) * 100.0 ELSE 0.0 END')} AS readiness_score
+FROM rlabel"""),
+        ("spread", f"""
+SELECT cluster_id, CASE WHEN ({nn}) > 0 THEN ({sm}) / ({nn}) END AS cluster_spread
+FROM labeled WHERE cluster_id IS NOT NULL GROUP BY cluster_id"""),
+        ("tight", f"""
+SELECT f.concept_id, coalesce(1.0 - {clip01('coalesce(s.cluster_spread, 0.5)')}, 0.5) AS cluster_tightness
+FROM feat f LEFT JOIN labeled l ON l.concept_id = f.concept_id LEFT JOIN spread s ON s.cluster_id = l.cluster_id"""),
+        ("conf_parts", f"""
+SELECT f.concept_id,
+       CASE WHEN {n} < {C.min_samples} THEN {ssf} * {C.small_sample_factor} ELSE {ssf} END AS sample_size_factor,
+       {vp} AS variance_penalty, t.cluster_tightness
+FROM feat f LEFT JOIN all_st a ON a.concept_id = f.concept_id LEFT JOIN tight t ON t.concept_id = f.concept_id"""),
+        ("confidence", f"""
+SELECT concept_id, {bround2(clip(f"({w['sample_size']} * sample_size_factor + {w['variance']} * variance_penalty + {w['tightness']} * cluster_tightness) * 100.0", 0.0, 100.0))} AS confidence_score
+FROM conf_parts"""),
+        ("dec_in", """
+SELECT f.concept_id, coalesce(r.readiness_score, 50.0) AS readiness_score,
+       coalesce(c.confidence_score, 50.0) AS confidence_score,
+       l.cluster_repeatability_score AS cluster_repeatability, f.delivery_complexity, f.revenue_potential,
+       CAST(coalesce(a.total_abandoned, 0) AS DOUBLE) / greatest(CAST(coalesce(a.total_clicks, 0) AS DOUBLE), 1.0) AS abandonment_rate,
+       CASE WHEN a.demo_rows IS NULL THEN 0.0 ELSE a.mean_objections END AS mean_objections,
+       CASE WHEN a.commercial_rows IS NULL THEN 0.0 ELSE a.max_urgency END AS max_urgency,
+       CASE WHEN a.commercial_rows IS NULL THEN 0.0 ELSE a.max_budget END AS max_budget
+FROM feat f LEFT JOIN labeled l ON l.concept_id = f.concept_id LEFT JOIN all_st a ON a.concept_id = f.concept_id
+LEFT JOIN readiness r ON r.concept_id = f.concept_id LEFT JOIN confidence c ON c.concept_id = f.concept_id"""),
+        ("decision", f"SELECT *, {outcome_sql()} AS recommended_outcome FROM dec_in"),
+    ]
+
+
+def outcome_sql() -> str:
+    return f"""CASE
+  WHEN readiness_score < {C.readiness_moderate} THEN 'Archive'
+  WHEN revenue_potential > 0 AND delivery_complexity / greatest(revenue_potential, 0.01) > {C.archive_complexity_ratio} THEN 'Archive'
+  WHEN abandonment_rate > {C.archive_abandonment} AND mean_objections > {C.archive_objections} THEN 'Archive'
+  WHEN readiness_score >= {C.readiness_high} AND confidence_score >= {C.confidence_high} AND delivery_complexity <= {C.complexity_low_to_moderate} THEN 'MVP Build'
+  WHEN readiness_score >= {C.readiness_high} AND cluster_repeatability >= {C.cluster_repeatability_high} THEN 'Reusable Asset'
+  WHEN readiness_score >= {C.readiness_high} AND confidence_score >= {C.confidence_high} THEN 'Customer Pilot'
+  WHEN readiness_score >= {C.readiness_moderate} AND max_urgency >= {C.pilot_urgency} AND max_budget >= {C.pilot_budget} THEN 'Customer Pilot'
+  ELSE 'Incubate' END"""
