@@ -214,3 +214,202 @@ def q_decision(spark, sf_dir):
 SELECT recommended_outcome, count(*) AS n_concepts FROM decision GROUP BY recommended_outcome"""))
 def q_outcomes(spark, sf_dir):
     return dec.outcome_distribution(rule_portfolio(spark, sf_dir).decision)
+
+
+# ---------------------------------------------------------------- cleaning, quality, tables (dirty binding)
+
+from .. import schemas as SC  # noqa: E402
+from ..operators import clean as cln  # noqa: E402
+from ..operators import quality as qual  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+from ..sources import tables as tbl  # noqa: E402
+
+
+def dirty(spark, sf_dir):
+    return model(spark, sf_dir, dirty=True)
+
+
+def _r6sel(t, stages=("impute", "clip", "coerce"), cols=None, null_cols=None):
+    sel = S.clean_select(t, null_cols, stages, cols)
+    return sel
+
+
+_USAGE_NUM = ["trial_sessions", "feature_clicks", "repeat_usage_days", "active_users", "time_spent", "abandoned_features"]
+
+
+def _sql_round(expr_list: str) -> str:
+    return expr_list
+
+
+@query("impute_median", S.qd([], "SELECT " + ", ".join(
+    ["concept_id", "customer_id"] + [f"{S.r6(S.imputed(c, 'usage_signals', S.DIRTY_NULLS['usage_signals']))} AS {c}"
+                                     if c in S.DIRTY_NULLS['usage_signals'] else c for c in _USAGE_NUM])
+    + " FROM usage_signals"))
+def q_impute_median(spark, sf_dir):
+    return finish(cln.impute_median(dirty(spark, sf_dir)["usage_signals"], _USAGE_NUM))
+
+
+@query("impute_mode", S.qd([], f"""
+SELECT concept_id, customer_id, {S.imputed('segment', 'demo_signals', ['segment'])} AS segment FROM demo_signals"""))
+def q_impute_mode(spark, sf_dir):
+    return cln.impute_mode(dirty(spark, sf_dir)["demo_signals"], ["segment"]).select(K, "customer_id", "segment")
+
+
+@query("clip_to_range", S.qd([], f"""
+SELECT concept_id, customer_id, {S.r6(S.clip('feedback_score', 0.0, 10.0))} AS feedback_score,
+       CAST({S.clip('objections_count', 0.0, 50.0)} AS INTEGER) AS objections_count FROM demo_signals"""))
+def q_clip(spark, sf_dir):
+    d = dirty(spark, sf_dir)["demo_signals"].select(K, "customer_id", "feedback_score", "objections_count")
+    return finish(cln.clip_to_range(d, SC.NUMERIC_RANGES["demo_signals"]))
+
+
+def _clip_report_sql() -> str:
+    parts = []
+    for t in ["concepts", "demo_signals", "usage_signals", "commercial_signals"]:
+        for c, (lo, hi) in SC.NUMERIC_RANGES[t].items():
+            e = S.imputed(c, t, S.DIRTY_NULLS[t])
+            parts.append(f"SELECT '{t}' AS table_name, '{c}' AS column_name, "
+                         f"count(CASE WHEN ({e}) < {lo} OR ({e}) > {hi} THEN 1 END) AS n_clipped FROM {t}")
+    return " UNION ALL ".join(parts)
+
+
+@query("clip_report", S.qd([], _clip_report_sql()))
+def q_clip_report(spark, sf_dir):
+    m = dirty(spark, sf_dir)
+    reps = [cln.clip_report(cln.impute(m[t]), SC.NUMERIC_RANGES[t], t)
+            for t in ["concepts", "demo_signals", "usage_signals", "commercial_signals"]]
+    return qual.union_all(reps)
+
+
+@query("coerce_boolean", S.qd([], "SELECT concept_id, customer_id, " + ", ".join(
+    f"{S.cleaned(c, 'demo_signals', S.DIRTY_NULLS['demo_signals'], ('impute', 'coerce'))} AS {c}"
+    for c in ["follow_up_requested", "decision_maker_present"]) + " FROM demo_signals"))
+def q_coerce(spark, sf_dir):
+    d = dirty(spark, sf_dir)["demo_signals"].select(K, "customer_id", "follow_up_requested", "decision_maker_present")
+    return cln.coerce_boolean(cln.impute(d), ["follow_up_requested", "decision_maker_present"])
+
+
+def _clean_sql_rounded(t: str) -> str:
+    out = []
+    for c in S.TABLE_COLS[t]:
+        e = S.cleaned(c, t, S.DIRTY_NULLS[t])
+        dbl = (c in S.DIRTY_NULLS[t] and c not in S.TEXT_COLS and c not in S.BOOL_COLS) or c in {
+            "feedback_score", "time_spent", "pilot_interest", "urgency_score", "budget_signal", "willingness_to_pay",
+            "expected_value", "implementation_risk", "delivery_complexity", "strategic_fit"}
+        out.append(f"{S.r6(e)} AS {c}" if dbl else f"{e} AS {c}")
+    return ", ".join(out)
+
+
+@query("clean_table", S.qd([], f"SELECT {_clean_sql_rounded('demo_signals')} FROM demo_signals"))
+def q_clean_table(spark, sf_dir):
+    return finish(cln.clean_table("demo_signals", dirty(spark, sf_dir)["demo_signals"]))
+
+
+def _load_clean_sql() -> str:
+    parts = []
+    for t, cols in S.TABLE_COLS.items():
+        nn = " + ".join(f"CASE WHEN ({S.cleaned(c, t, S.DIRTY_NULLS[t])}) IS NULL THEN 1 ELSE 0 END" for c in cols)
+        parts.append(f"SELECT '{t}' AS table_name, count(*) AS n_rows, CAST(sum({nn}) AS BIGINT) AS n_null_values FROM {t}")
+    return " UNION ALL ".join(parts)
+
+
+@query("load_and_clean_all", S.qd([], _load_clean_sql()))
+def q_load_clean(spark, sf_dir):
+    cleaned = cln.load_and_clean(dirty(spark, sf_dir))
+    frames = []
+    for t, df in cleaned.items():
+        nn = sum((F.when(F.col(c).isNull(), 1).otherwise(0) for c in df.columns), F.lit(0))
+        frames.append(df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(nn).cast("bigint").alias("n_null_values"))
+                      .select(F.lit(t).alias("table_name"), "n_rows", "n_null_values"))
+    return qual.union_all(frames)
+
+
+@query("check_primary_key", """
+SELECT l_orderkey, l_linenumber, count(*) AS n_rows FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""")
+def q_pk(spark, sf_dir):
+    return qual.duplicate_keys(ad.read_table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("check_foreign_key", S.qd([], " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, s.concept_id, count(*) AS n_rows FROM {t} s "
+    f"WHERE NOT EXISTS (SELECT 1 FROM concepts c WHERE c.concept_id = s.concept_id) GROUP BY s.concept_id"
+    for t in ["demo_signals", "usage_signals", "commercial_signals", "text_feedback"])))
+def q_fk(spark, sf_dir):
+    m = dirty(spark, sf_dir)
+    return qual.union_all([qual.orphans(m[t], m["concepts"], K, t)
+                           for t in ["demo_signals", "usage_signals", "commercial_signals", "text_feedback"]])
+
+
+@query("check_not_null", S.qd([], " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) - count({c}) AS n_null FROM {t}"
+    for t, cols in S.TABLE_COLS.items() for c in cols)))
+def q_not_null(spark, sf_dir):
+    m = dirty(spark, sf_dir)
+    return qual.union_all([qual.null_counts(m[t], t, S.TABLE_COLS[t]) for t in S.TABLE_COLS])
+
+
+_DEMO_ORDER = S.TABLE_COLS["demo_signals"]
+
+
+@query("surrogate_id", S.q([], "SELECT row_number() OVER (ORDER BY " + ", ".join(f"{c} ASC NULLS FIRST" for c in _DEMO_ORDER)
+                           + ") AS demo_id, " + ", ".join(f"{S.r6(c)} AS {c}" if c == "feedback_score" else c for c in _DEMO_ORDER)
+                           + " FROM demo_signals"))
+def q_surrogate(spark, sf_dir):
+    d = model(spark, sf_dir)["demo_signals"]
+    return finish(tbl.with_surrogate_id(d, _DEMO_ORDER, "demo_id"))
+
+
+def _round_trip(spark, sf_dir):
+    m = model(spark, sf_dir)
+    path = scratch_path(spark, "csv")
+    tbl.write_csv_tables(m, path)
+    back = tbl.read_csv_tables(spark, path)
+    return m, back
+
+
+@query("read_csv_tables", S.q([], " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in S.TABLE_COLS)))
+def q_read_csv(spark, sf_dir):
+    _, back = _round_trip(spark, sf_dir)
+    return qual.union_all([df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(t).alias("table_name"), "n_rows")
+                           for t, df in back.items()])
+
+
+@query("write_csv_tables", S.q([], " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_missing, CAST(0 AS BIGINT) AS n_extra FROM {t}"
+    for t in S.TABLE_COLS)))
+def q_write_csv(spark, sf_dir):
+    m, back = _round_trip(spark, sf_dir)
+    frames = []
+    for t, df in m.items():
+        orig = df.select(*[F.col(f.name).cast("int").alias(f.name) if f.name in S.BOOL_COLS else F.col(f.name)
+                           for f in df.schema.fields])
+        b = back[t].select(*orig.columns)
+        tagged = (orig.select(F.lit("rows").alias("k")).unionByName(orig.exceptAll(b).select(F.lit("missing").alias("k")))
+                  .unionByName(b.exceptAll(orig).select(F.lit("extra").alias("k"))))
+        frames.append(tagged.agg(*[F.count(F.when(F.col("k") == k, 1)).alias(n) for k, n in
+                                   [("rows", "n_rows"), ("missing", "n_missing"), ("extra", "n_extra")]])
+                      .select(F.lit(t).alias("table_name"), "n_rows", "n_missing", "n_extra"))
+    return qual.union_all(frames)
+
+
+@query("append_table", S.q([], "SELECT 2 * count(*) AS n_rows, true AS empty_skipped FROM demo_signals"))
+def q_append(spark, sf_dir):
+    d = model(spark, sf_dir)["demo_signals"]
+    path = scratch_path(spark, "append")
+    tbl.append_table(d, path)
+    skipped = not tbl.append_table(d.limit(0), path)
+    tbl.append_table(d, path)
+    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n_rows")).withColumn("empty_skipped", F.lit(skipped))
+
+
+@query("reset_tables", S.q([], "SELECT 2 * count(*) AS n_after_incremental, count(*) AS n_after_reset FROM usage_signals"))
+def q_reset(spark, sf_dir):
+    u = model(spark, sf_dir)["usage_signals"]
+    path = scratch_path(spark, "reset")
+    tbl.write_table(u, path, reset=True)
+    tbl.write_table(u, path, reset=False)
+    n_inc = spark.read.parquet(path).count()
+    tbl.write_table(u, path, reset=True)
+    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n_after_reset")).select(
+        F.lit(n_inc).cast("bigint").alias("n_after_incremental"), "n_after_reset")

@@ -195,3 +195,80 @@ def outcome_sql() -> str:
   WHEN readiness_score >= {C.readiness_high} AND confidence_score >= {C.confidence_high} THEN 'Customer Pilot'
   WHEN readiness_score >= {C.readiness_moderate} AND max_urgency >= {C.pilot_urgency} AND max_budget >= {C.pilot_budget} THEN 'Customer Pilot'
   ELSE 'Incubate' END"""
+
+
+# ---------------------------------------------------------------- cleaning (dirty binding)
+
+# columns the dirty binding can leave NULL (the SQL imputes exactly these)
+DIRTY_NULLS = {
+    "concepts": ["concept_name", "target_user", "delivery_complexity"],
+    "demo_signals": ["segment", "feedback_score", "follow_up_requested", "decision_maker_present", "objections_count"],
+    "usage_signals": ["feature_clicks", "repeat_usage_days", "active_users", "time_spent", "abandoned_features"],
+    "commercial_signals": ["pilot_interest", "urgency_score", "budget_signal", "willingness_to_pay", "expected_value",
+                           "implementation_risk"],
+    "text_feedback": ["pain_point_statements", "objection_themes", "requested_capabilities"],
+}
+TEXT_COLS = {"segment", "concept_name", "target_user", "pain_point_statements", "objection_themes",
+             "requested_capabilities", "customer_comments", "industry", "problem_area"}
+INT_COLS = {"trial_sessions", "feature_clicks", "repeat_usage_days", "active_users", "abandoned_features",
+            "objections_count"}
+BOOL_COLS = {"follow_up_requested", "decision_maker_present"}
+TABLE_COLS = {
+    "concepts": ["concept_id", "concept_name", "industry", "problem_area", "target_user", "delivery_complexity",
+                 "strategic_fit"],
+    "demo_signals": ["concept_id", "customer_id", "segment", "demo_date", "feedback_score", "follow_up_requested",
+                     "decision_maker_present", "objections_count"],
+    "usage_signals": ["concept_id", "customer_id", "trial_sessions", "feature_clicks", "repeat_usage_days",
+                      "active_users", "time_spent", "abandoned_features"],
+    "commercial_signals": ["concept_id", "customer_id", "pilot_interest", "urgency_score", "budget_signal",
+                           "willingness_to_pay", "expected_value", "implementation_risk"],
+    "text_feedback": ["feedback_id", "concept_id", "customer_id", "customer_comments", "pain_point_statements",
+                      "objection_themes", "requested_capabilities"],
+}
+
+
+def median_of(c: str, t: str) -> str:
+    return f"(SELECT median(CAST({c} AS DOUBLE)) FROM {t})"
+
+
+def mode_of(c: str, t: str) -> str:
+    return (f"(SELECT v FROM (SELECT {c} AS v, count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY {c}) "
+            f"ORDER BY n DESC, v LIMIT 1)")
+
+
+def imputed(c: str, t: str, null_cols: list[str]) -> str:
+    if c not in null_cols:
+        return c
+    if c in TEXT_COLS:
+        return f"coalesce({c}, {mode_of(c, t)}, 'UNKNOWN')"
+    return f"coalesce({c}, {median_of(c, t)})"
+
+
+def cleaned(c: str, t: str, null_cols: list[str], stages: tuple = ("impute", "clip", "coerce")) -> str:
+    from .. import schemas
+    e = imputed(c, t, null_cols) if "impute" in stages else c
+    rng = schemas.NUMERIC_RANGES.get(t, {}).get(c)
+    if "clip" in stages and rng is not None:
+        e = clip(e, rng[0], rng[1])
+        if c in INT_COLS and c not in null_cols:
+            e = f"CAST({e} AS INTEGER)"
+        elif c in INT_COLS and "impute" not in stages:
+            e = f"CAST({e} AS INTEGER)"
+    if "coerce" in stages and c in BOOL_COLS:
+        e = f"(CAST({e} AS DOUBLE) <> 0)"
+    return e
+
+
+def clean_select(t: str, null_cols: list[str] | None = None, stages: tuple = ("impute", "clip", "coerce"),
+                 cols: list[str] | None = None) -> str:
+    nc = DIRTY_NULLS[t] if null_cols is None else null_cols
+    return ", ".join(f"{cleaned(c, t, nc, stages)} AS {c}" for c in (cols or TABLE_COLS[t]))
+
+
+def clean_ctes() -> list[tuple[str, str]]:
+    return [(f"{t}_clean", f"SELECT {clean_select(t)} FROM {t}") for t in TABLE_COLS]
+
+
+def qd(ctes: list[tuple[str, str]], final: str) -> str:
+    """A query over the dirty binding."""
+    return q(ctes, final, dirty=True)
