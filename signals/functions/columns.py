@@ -38,6 +38,15 @@ def safe_div(num: str | Column, den: str | Column) -> Column:
     return F.try_divide(col(num), col(den))
 
 
+def dround(c: str | Column, digits: int) -> Column:
+    """Round half-up on the value's decimal expansion to 12 places, as a double.
+
+    The 12-place decimal step makes the result independent of how an engine
+    prints or scales the binary value, so near-ties round the same everywhere.
+    """
+    return F.round(col(c).cast("decimal(38,12)"), digits).cast("double")
+
+
 def round6(c: str | Column) -> Column:
     return F.round(col(c), 6)
 

@@ -51,3 +51,22 @@ def rule_portfolio(spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT, tabl
     confidence = conf.confidence_scores(st["all"], labeled, ids, K, cfg)
     decision = dec.decision_table(labeled, st["all"], readiness, confidence, K, cfg)
     return Portfolio(t, st, features, labeled, readiness, confidence, decision)
+
+
+@dataclass
+class Explained:
+    contrib: DataFrame
+    base: object
+    top: DataFrame
+    evidence: DataFrame
+    narratives: DataFrame
+
+
+def explain_rule_portfolio(p: Portfolio, cfg: Config = DEFAULT) -> Explained:
+    from ..operators import explain as xp
+    from ..operators import narrate as nar
+    contrib, base = xp.given_contributions(p.features, K, cfg)
+    top = xp.top_features(contrib, cfg.top_n)
+    ev = xp.evidence(top)
+    narratives = nar.all_narratives(p.decision, ev, p.tables["concepts"], K, cfg)
+    return Explained(contrib, base, top, ev, narratives)

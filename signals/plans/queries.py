@@ -413,3 +413,138 @@ def q_reset(spark, sf_dir):
     tbl.write_table(u, path, reset=True)
     return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n_after_reset")).select(
         F.lit(n_inc).cast("bigint").alias("n_after_incremental"), "n_after_reset")
+
+
+# ---------------------------------------------------------------- explanation, narratives, reports
+
+from ..operators import explain as xp  # noqa: E402
+from ..operators import narrate as nar  # noqa: E402
+from ..operators import reports as rep  # noqa: E402
+from .portfolio import explain_rule_portfolio  # noqa: E402
+
+DETAIL_CONCEPT = 0  # the concept shown by the single-concept views (waterfall, detail)
+
+
+def _explained(spark, sf_dir):
+    p = rule_portfolio(spark, sf_dir)
+    return p, explain_rule_portfolio(p)
+
+
+@query("top_features", S.q(S.explain_ctes(), "SELECT concept_id, rank, feature, shap_value, feature_value, direction FROM top"))
+def q_top(spark, sf_dir):
+    return _explained(spark, sf_dir)[1].top.withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query("global_importance", S.q(S.explain_ctes(), f"""
+SELECT feature, {S.r6('avg(abs(shap_value))')} AS mean_abs_shap FROM contrib GROUP BY feature"""))
+def q_global_imp(spark, sf_dir):
+    return finish(xp.global_importance(_explained(spark, sf_dir)[1].contrib))
+
+
+@query("waterfall", S.q(S.explain_ctes(), f"""
+SELECT concept_id, feature, {S.r6('feature_value')} AS feature_value, {S.r6('shap_value')} AS shap_value,
+       row_number() OVER (ORDER BY abs(shap_value), feature) AS step,
+       {S.r6('(SELECT base FROM base_value) + sum(shap_value) OVER (ORDER BY abs(shap_value), feature ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)')} AS cumulative
+FROM contrib WHERE concept_id = {DETAIL_CONCEPT}"""))
+def q_waterfall(spark, sf_dir):
+    _, e = _explained(spark, sf_dir)
+    return finish(xp.waterfall(e.contrib, e.base, DETAIL_CONCEPT).withColumn("step", F.col("step").cast("bigint")))
+
+
+_TEMPLATE = "{concept_name} addresses {problem_area} for {target_user} in {industry}."
+
+
+@query("fill_template", S.q([], f"""
+SELECT concept_id, replace(replace(replace(replace({S.sql_str(_TEMPLATE)}, '{{concept_name}}', concept_name),
+       '{{problem_area}}', problem_area), '{{target_user}}', coalesce(target_user, 'UNKNOWN')), '{{industry}}', industry) AS text
+FROM concepts"""))
+def q_fill_template(spark, sf_dir):
+    c = cln.clean_table("concepts", model(spark, sf_dir)["concepts"])
+    vals = {n: F.col(n) for n in ["concept_name", "problem_area", "target_user", "industry"]}
+    return c.select(K, nar.fill_template(F.lit(_TEMPLATE), vals).alias("text"))
+
+
+@query("feature_sentence", S.q(S.explain_ctes(), "SELECT concept_id, rank, sentence FROM top_s"))
+def q_sentence(spark, sf_dir):
+    t = _explained(spark, sf_dir)[1].top
+    return t.select(K, F.col("rank").cast("bigint").alias("rank"),
+                    nar.feature_sentence(F.col("feature"), F.col("shap_value"), F.col("feature_value"),
+                                         F.col("direction")).alias("sentence"))
+
+
+@query("concept_narrative", S.q(S.explain_ctes(), f"SELECT concept_id, narrative FROM narr WHERE concept_id = {DETAIL_CONCEPT}"))
+def q_narrative(spark, sf_dir):
+    return _explained(spark, sf_dir)[1].narratives.where(F.col(K) == DETAIL_CONCEPT)
+
+
+@query("all_narratives", S.q(S.explain_ctes(), "SELECT concept_id, narrative FROM narr"))
+def q_all_narratives(spark, sf_dir):
+    return _explained(spark, sf_dir)[1].narratives
+
+
+@query("executive_summary", S.q(S.summary_ctes(), "SELECT section, CAST(line_no AS BIGINT) AS line_no, line FROM lines"))
+def q_exec_summary(spark, sf_dir):
+    p = rule_portfolio(spark, sf_dir)
+    lines = nar.summary_lines(p.decision, p.tables["concepts"])
+    return lines.select("section", F.col("line_no").cast("bigint").alias("line_no"), "line")
+
+
+@query("portfolio_kpis", S.q(S.portfolio_ctes(), f"""
+SELECT count(*) AS total_concepts, count(CASE WHEN recommended_outcome IN ('MVP Build', 'Customer Pilot') THEN 1 END) AS actionable,
+       {S.r6('avg(readiness_score)')} AS mean_readiness FROM decision"""))
+def q_kpis(spark, sf_dir):
+    return finish(rep.portfolio_kpis(rule_portfolio(spark, sf_dir).decision))
+
+
+@query("ranked_portfolio", S.q(S.portfolio_ctes(), f"""
+SELECT m.concept_name, d.recommended_outcome, {S.r6('d.readiness_score')} AS readiness_score,
+       {S.r6('d.confidence_score')} AS confidence_score, {S.r6('d.delivery_complexity')} AS delivery_complexity
+FROM decision d LEFT JOIN concepts m ON m.concept_id = d.concept_id"""))
+def q_ranked(spark, sf_dir):
+    p = rule_portfolio(spark, sf_dir)
+    return finish(rep.ranked_portfolio(p.decision, p.tables["concepts"]))
+
+
+@query("portfolio_matrix", S.q(S.portfolio_ctes(), f"""
+SELECT d.concept_id, m.concept_name, {S.r6('d.confidence_score')} AS confidence_score, {S.r6('d.readiness_score')} AS readiness_score,
+       d.recommended_outcome,
+       CASE WHEN d.readiness_score >= 40 AND d.confidence_score >= 60 THEN 'upper right'
+            WHEN d.readiness_score >= 40 THEN 'upper left' WHEN d.confidence_score >= 60 THEN 'lower right'
+            ELSE 'lower left' END AS quadrant
+FROM decision d LEFT JOIN concepts m ON m.concept_id = d.concept_id"""))
+def q_matrix(spark, sf_dir):
+    p = rule_portfolio(spark, sf_dir)
+    return finish(rep.portfolio_matrix(p.decision, p.tables["concepts"]))
+
+
+@query("concept_detail", S.q(S.explain_ctes(), f"""
+SELECT d.concept_id, m.concept_name, {S.r6('d.readiness_score')} AS readiness_score, {S.r6('d.confidence_score')} AS confidence_score,
+       d.recommended_outcome, l.cluster_id, n.narrative
+FROM decision d LEFT JOIN concepts m ON m.concept_id = d.concept_id LEFT JOIN labeled l ON l.concept_id = d.concept_id
+LEFT JOIN narr n ON n.concept_id = d.concept_id WHERE d.concept_id = {DETAIL_CONCEPT}"""))
+def q_detail(spark, sf_dir):
+    p, e = _explained(spark, sf_dir)
+    return finish(rep.concept_detail(p.decision, p.tables["concepts"], p.labeled, e.narratives, DETAIL_CONCEPT))
+
+
+@query("write_scores", S.q(S.explain_ctes(), f"""
+SELECT d.concept_id, {S.r6('d.readiness_score')} AS readiness_score, {S.r6('d.confidence_score')} AS confidence_score,
+       l.cluster_id, d.recommended_outcome, CAST(coalesce(ev.n, 0) AS INTEGER) AS n_evidence, true AS has_timestamp
+FROM decision d LEFT JOIN labeled l ON l.concept_id = d.concept_id LEFT JOIN ev ON ev.concept_id = d.concept_id"""))
+def q_write_scores(spark, sf_dir):
+    p, e = _explained(spark, sf_dir)
+    path = scratch_path(spark, "concept_scores")
+    tbl.write_scores(tbl.scores_frame(p.decision, p.labeled, e.evidence), path)
+    back = spark.read.parquet(path)
+    return finish(back.select(K, "readiness_score", "confidence_score", "cluster_id", "recommended_outcome",
+                              F.json_array_length("evidence_json").alias("n_evidence"),
+                              F.col("generated_at").isNotNull().alias("has_timestamp")))
+
+
+@query("write_report", S.q(S.summary_ctes(), "SELECT string_agg(line, '' ORDER BY section, line_no) AS report FROM lines"))
+def q_write_report(spark, sf_dir):
+    p = rule_portfolio(spark, sf_dir)
+    path = scratch_path(spark, "executive_summary")
+    tbl.write_report(nar.executive_summary(p.decision, p.tables["concepts"]), path)
+    txt = spark.read.text(path, wholetext=True)
+    return txt.select(F.expr("substring(value, 1, length(value) - 1)").alias("report"))

@@ -272,3 +272,98 @@ def clean_ctes() -> list[tuple[str, str]]:
 def qd(ctes: list[tuple[str, str]], final: str) -> str:
     """A query over the dirty binding."""
     return q(ctes, final, dirty=True)
+
+
+# ---------------------------------------------------------------- contributions, narratives, summary
+
+def r4(e: str) -> str:
+    return f"CAST(round(CAST(({e}) AS DECIMAL(38,12)), 4) AS DOUBLE)"
+
+
+def fmt(e: str, d: int) -> str:
+    return f"CAST(round(CAST(({e}) AS DECIMAL(38,9)), {d}) AS VARCHAR)"
+
+
+def sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def display_sql(f: str) -> str:
+    from ..config import FEATURE_DISPLAY_NAMES
+    whens = " ".join(f"WHEN {sql_str(k)} THEN {sql_str(v)}" for k, v in FEATURE_DISPLAY_NAMES.items())
+    return f"(CASE {f} {whens} ELSE replace({f}, '_', ' ') END)"
+
+
+def sentence_sql(f: str, sv: str, fv: str, d: str) -> str:
+    mag = (f"(CASE WHEN abs({sv}) >= {C.narrative_high} THEN 'strongly' WHEN abs({sv}) >= {C.narrative_low} "
+           f"THEN 'moderately' ELSE 'marginally' END)")
+    return (f"({display_sql(f)} || ' (' || {fmt(fv, 2)} || ') ' || {mag} || CASE WHEN {d} = 'positive' "
+            f"THEN ' supports commercialisation readiness' ELSE ' weakens the readiness case' END)")
+
+
+def frame_sql(o: str) -> str:
+    from ..config import OUTCOME_FRAMES
+    whens = " ".join(f"WHEN {sql_str(k)} THEN {sql_str(v)}" for k, v in OUTCOME_FRAMES.items())
+    return f"(CASE {o} {whens} ELSE 'This concept is classified as **' || {o} || '**. ' END)"
+
+
+def explain_ctes() -> list[tuple[str, str]]:
+    from ..config import NO_EVIDENCE_SENTENCE
+    feats = list(C.model_features)
+    xf = ", ".join(f"coalesce({f}, 0.0) AS {f}" for f in feats)
+    contrib = " UNION ALL ".join(
+        f"SELECT concept_id, '{f}' AS feature, {f} AS feature_value, "
+        f"{C.label_weights.get(f, 0.0)} * ({f} - (SELECT avg({f}) FROM xf)) AS shap_value FROM xf" for f in feats)
+    base = " + ".join(f"{w} * {f}" for f, w in C.label_weights.items())
+    return portfolio_ctes() + [
+        ("xf", f"SELECT concept_id, {xf} FROM feat"),
+        ("contrib", contrib),
+        ("base_value", f"SELECT avg({base}) AS base FROM xf"),
+        ("top", f"""
+SELECT concept_id, rank, feature, {r4('shap_value')} AS shap_value, {r4('feature_value')} AS feature_value,
+       CASE WHEN shap_value > 0 THEN 'positive' ELSE 'negative' END AS direction
+FROM (SELECT *, row_number() OVER (PARTITION BY concept_id ORDER BY abs(shap_value) DESC, feature) AS rank FROM contrib)
+WHERE rank <= {C.top_n}"""),
+        ("top_s", f"SELECT *, {sentence_sql('feature', 'shap_value', 'feature_value', 'direction')} AS sentence FROM top"),
+        ("ev", """
+SELECT concept_id, count(*) AS n,
+       string_agg(sentence, '; ' ORDER BY rank) FILTER (WHERE direction = 'positive') AS pos,
+       string_agg(sentence, '; ' ORDER BY rank) FILTER (WHERE direction = 'negative') AS neg
+FROM top_s GROUP BY concept_id"""),
+        ("narr", f"""
+SELECT d.concept_id,
+  {frame_sql('d.recommended_outcome')} || '**' || coalesce(m.concept_name, CAST(d.concept_id AS VARCHAR)) || '** ('
+  || CAST(d.concept_id AS VARCHAR) || ') scores **' || {fmt('d.readiness_score', 1)}
+  || '/100** on commercialisation readiness with a confidence level of **' || {fmt('d.confidence_score', 1)} || '/100**. '
+  || CASE WHEN coalesce(ev.n, 0) > 0 THEN concat_ws(' ', 'Key strengths: ' || ev.pos || '.', 'Key risks: ' || ev.neg || '.')
+          ELSE {sql_str(NO_EVIDENCE_SENTENCE)} END AS narrative
+FROM decision d LEFT JOIN concepts m ON m.concept_id = d.concept_id LEFT JOIN ev ON ev.concept_id = d.concept_id"""),
+    ]
+
+
+def summary_ctes() -> list[tuple[str, str]]:
+    line = lambda n, r, c: f"'- **' || {n} || '** — Readiness: ' || {fmt(r, 1)} || ', Confidence: ' || {fmt(c, 1)} || chr(10)"
+    return explain_ctes() + [
+        ("named", "SELECT d.*, coalesce(m.concept_name, CAST(d.concept_id AS VARCHAR)) AS name FROM decision d "
+                  "LEFT JOIN concepts m ON m.concept_id = d.concept_id"),
+        ("tot", """SELECT count(*) AS total, avg(readiness_score) AS mean_r,
+  count(CASE WHEN recommended_outcome IN ('MVP Build', 'Customer Pilot') THEN 1 END) AS n_act,
+  count(CASE WHEN recommended_outcome = 'Incubate' THEN 1 END) AS n_inc FROM decision"""),
+        ("dist", "SELECT recommended_outcome, count(*) AS n FROM decision GROUP BY recommended_outcome"),
+        ("mvp", "SELECT * FROM named WHERE recommended_outcome = 'MVP Build' ORDER BY readiness_score DESC, concept_id LIMIT 5"),
+        ("arc", "SELECT * FROM named WHERE recommended_outcome = 'Archive' ORDER BY readiness_score ASC, concept_id LIMIT 5"),
+        ("lines", f"""
+SELECT 1 AS section, 1 AS line_no, '# Executive Summary — AI/ML Commercialisation Portfolio' || chr(10) AS line
+UNION ALL SELECT 1, 2, '**Portfolio Size:** ' || CAST(total AS VARCHAR) || ' concepts evaluated' || chr(10) FROM tot
+UNION ALL SELECT 1, 3, '**Mean Readiness Score:** ' || {fmt('mean_r', 1)} || '/100' || chr(10) || chr(10) FROM tot
+UNION ALL SELECT 1, 4, '## Outcome Distribution' || chr(10)
+UNION ALL SELECT 2, row_number() OVER (ORDER BY n DESC, recommended_outcome), '- **' || recommended_outcome || '**: '
+  || CAST(n AS VARCHAR) || ' concepts (' || {fmt('n * 100.0 / (SELECT total FROM tot)', 0)} || '%)' || chr(10) FROM dist
+UNION ALL SELECT 3, 1, chr(10) || '## Recommended for Immediate Investment (MVP Build)' || chr(10) WHERE EXISTS (SELECT 1 FROM mvp)
+UNION ALL SELECT 3, 1 + row_number() OVER (ORDER BY readiness_score DESC, concept_id), {line('name', 'readiness_score', 'confidence_score')} FROM mvp
+UNION ALL SELECT 4, 1, chr(10) || '## Recommended for Archive (Redirect Resources)' || chr(10) WHERE EXISTS (SELECT 1 FROM arc)
+UNION ALL SELECT 4, 1 + row_number() OVER (ORDER BY readiness_score ASC, concept_id), {line('name', 'readiness_score', 'confidence_score')} FROM arc
+UNION ALL SELECT 5, 1, chr(10) || '## Strategic Recommendation' || chr(10) || 'The portfolio shows a mean readiness of ' || {fmt('mean_r', 1)} || '/100. ' FROM tot
+UNION ALL SELECT 5, 2, CAST(n_act AS VARCHAR) || ' concepts (' || {fmt('n_act * 100.0 / total', 0)} || '%) are actionable for immediate build or pilot engagement. ' FROM tot
+UNION ALL SELECT 5, 3, CAST(n_inc AS VARCHAR) || ' concepts require further incubation with additional customer validation before committing resources.' FROM tot WHERE n_inc > 0"""),
+    ]
