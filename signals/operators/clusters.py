@@ -65,3 +65,96 @@ def with_labels(features: DataFrame, labels: DataFrame, key: str = KEY) -> DataF
 
 def with_cluster_scores(features: DataFrame, labels: DataFrame, key: str = KEY, cfg: Config = DEFAULT) -> DataFrame:
     return cluster_repeatability_score(with_labels(features, labels, key))
+
+
+# ---------------------------------------------------------------- k-means (MLlib)
+
+from concurrent.futures import ThreadPoolExecutor  # noqa: E402
+
+from pyspark import StorageLevel  # noqa: E402
+from pyspark.ml.clustering import KMeans  # noqa: E402
+from pyspark.ml.evaluation import ClusteringEvaluator  # noqa: E402
+from pyspark.ml.feature import VectorAssembler  # noqa: E402
+
+VEC = "cluster_vec"
+
+
+def cluster_matrix(features: DataFrame, cols: list[str], key: str = KEY) -> DataFrame:
+    """Standardised cluster features as one vector column, materialised once for
+    the many k-means passes (checkpointed: the iterative fits read it from the
+    shared folder, so a lost executor does not replay the feature lineage)."""
+    z = standardize(features, cols, key)
+    vec = VectorAssembler(inputCols=[c + "_z" for c in cols], outputCol=VEC).transform(z).select(key, VEC)
+    return vec.checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _fit_one(matrix: DataFrame, k: int, seed: int):
+    m = KMeans(k=k, seed=seed, featuresCol=VEC, predictionCol="cluster_id", maxIter=300, tol=1e-4).fit(matrix)
+    return m.summary.trainingCost, m
+
+
+def kmeans_fits(matrix: DataFrame, ks: list[int], n_init: int, seed: int, threads: int = 8) -> dict:
+    """Best of ``n_init`` runs (seeds seed…seed+n_init−1, lowest within-cluster sum of
+    squares, ties → lower seed) for every k. All runs are independent Spark jobs,
+    submitted concurrently so small fits overlap instead of queueing."""
+    jobs = [(k, i) for k in ks for i in range(n_init)]
+    with ThreadPoolExecutor(max_workers=max(1, min(threads, len(jobs)))) as pool:
+        res = list(pool.map(lambda kj: (kj, _fit_one(matrix, kj[0], seed + kj[1])), jobs))
+    best = {}
+    for (k, i), (cost, m) in res:
+        if k not in best or (cost, i) < best[k][:2]:
+            best[k] = (cost, i, m)
+    return {k: v[2] for k, v in best.items()}
+
+
+def kmeans_fit(matrix: DataFrame, k: int, n_init: int = DEFAULT.n_init, seed: int = DEFAULT.seed):
+    """Best of ``n_init`` k-means runs for one k."""
+    return kmeans_fits(matrix, [k], n_init, seed)[k]
+
+
+def silhouette(predictions: DataFrame, prediction_col: str = "cluster_id") -> float:
+    """Mean silhouette with squared Euclidean distance (linear cost: per-cluster
+    sums are aggregated and broadcast; no pairwise distances)."""
+    ev = ClusteringEvaluator(featuresCol=VEC, predictionCol=prediction_col, metricName="silhouette",
+                             distanceMeasure="squaredEuclidean")
+    return ev.evaluate(predictions)
+
+
+def select_optimal_k(matrix: DataFrame, k_min: int = DEFAULT.k_min, k_max: int = DEFAULT.k_max,
+                     n_init: int = DEFAULT.n_init, seed: int = DEFAULT.seed, with_models: bool = False):
+    """k in [k_min, min(k_max, n−1)] with the highest silhouette; ties keep the smaller k.
+
+    Returns (k, silhouette per k) and, with ``with_models``, the best model per k
+    (the final clustering is that model: refitting would repeat the same search).
+    """
+    n = matrix.count()
+    ks = list(range(k_min, min(k_max, n - 1) + 1))
+    models = kmeans_fits(matrix, ks, n_init, seed)
+
+    def score(k):
+        return k, silhouette(models[k].transform(matrix).withColumn("cluster_id", F.col("cluster_id").cast("int")))
+
+    with ThreadPoolExecutor(max_workers=max(1, len(ks))) as pool:
+        scores = dict(pool.map(score, ks))
+    best_k, best = k_min, -1.0
+    for k in ks:
+        if scores[k] > best:
+            best, best_k = scores[k], k
+    return (best_k, scores, models) if with_models else (best_k, scores)
+
+
+def fit_clusters(features: DataFrame, key: str = KEY, cfg: Config = DEFAULT) -> tuple[DataFrame, dict]:
+    """Adds cluster_id and cluster_repeatability_score to the feature table.
+
+    Fewer than two cluster features present → everything in cluster 0 with score 0.5.
+    """
+    cols = [c for c in cfg.cluster_features if c in features.columns]
+    if len(cols) < 2:
+        return (features.withColumn("cluster_id", F.lit(0)).withColumn("cluster_repeatability_score", F.lit(0.5)),
+                {"k": 1, "scores": {}})
+    matrix = cluster_matrix(features, cols, key)
+    k, scores, models = select_optimal_k(matrix, cfg.k_min, cfg.k_max, cfg.n_init, cfg.seed, with_models=True)
+    model = models.get(k) or kmeans_fit(matrix, k, cfg.n_init, cfg.seed)
+    labels = model.transform(matrix).select(key, F.col("cluster_id").cast("int").alias("cluster_id"))
+    labeled = cluster_repeatability_score(features.join(labels, key, "left"))
+    return labeled, {"k": k, "scores": scores, "model": model, "matrix": matrix}

@@ -548,3 +548,160 @@ def q_write_report(spark, sf_dir):
     tbl.write_report(nar.executive_summary(p.decision, p.tables["concepts"]), path)
     txt = spark.read.text(path, wholetext=True)
     return txt.select(F.expr("substring(value, 1, length(value) - 1)").alias("report"))
+
+
+# ---------------------------------------------------------------- models (k-means, GBT, Tree SHAP) and the full run
+
+from ..config import OUTCOME_ARCHIVE as _OA  # noqa: E402
+from ..operators import readiness_model as rm  # noqa: E402
+from ..operators import treeshap as ts  # noqa: E402
+from .pipeline import outputs, scored_driver_tables  # noqa: E402
+
+_N_FEAT = "SELECT count(*) FROM feat"
+
+
+@query("readiness_label_noisy", S.q(S.feature_ctes(), f"""
+SELECT ({_N_FEAT}) AS n_rows, true AS in_range, true AS repeatable, true AS noise_ok"""))
+def q_noisy(spark, sf_dir):
+    f = rule_portfolio(spark, sf_dir).features
+    a = rdy.readiness_label(f, noise=True).withColumnRenamed("readiness_label", "a")
+    b = rdy.readiness_label(f, noise=True).withColumnRenamed("readiness_label", "b")
+    c = rdy.readiness_label(f, noise=False).withColumnRenamed("readiness_label", "c")
+    j = a.join(b, K).join(c, K)
+    inner = (F.col("a") > 0) & (F.col("a") < 1) & (F.col("c") > 0) & (F.col("c") < 1)
+    d = F.when(inner, F.col("a") - F.col("c"))
+    s = j.agg(F.count(F.lit(1)).alias("n_rows"), F.min("a").alias("lo"), F.max("a").alias("hi"),
+              F.count(F.when(F.col("a") != F.col("b"), 1)).alias("n_diff"), F.avg(d).alias("mu"), F.stddev_samp(d).alias("sd"))
+    return s.select("n_rows", ((F.col("lo") >= 0) & (F.col("hi") <= 1)).alias("in_range"),
+                    (F.col("n_diff") == 0).alias("repeatable"),
+                    ((F.abs("mu") < 0.01) & F.col("sd").between(0.04, 0.06)).alias("noise_ok"))
+
+
+def _rule_matrix(spark, sf_dir):
+    f = rule_portfolio(spark, sf_dir).features
+    return clu.cluster_matrix(f, list(CFG.cluster_features))
+
+
+@query("kmeans_fit", S.q(S.feature_ctes(), f"SELECT ({_N_FEAT}) AS n_rows, CAST(3 AS BIGINT) AS n_clusters, true AS all_nearest"))
+def q_kmeans(spark, sf_dir):
+    import numpy as np
+    m = _rule_matrix(spark, sf_dir)
+    model = clu.kmeans_fit(m, 3)
+    centers = [list(map(float, c)) for c in model.clusterCenters()]  # k vectors: bounded
+    pred = model.transform(m)
+    arr = F.array(*[F.array(*[F.lit(v) for v in c]) for c in centers])
+    vec = F.col(clu.VEC)
+    from pyspark.ml.functions import vector_to_array
+    va = vector_to_array(vec)
+    dist = F.transform(arr, lambda c: F.aggregate(F.zip_with(c, va, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda acc, x: acc + x))
+    nearest = F.array_position(dist, F.array_min(dist)) - 1
+    del np
+    return pred.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("cluster_id").alias("n_clusters"),
+                    F.min((nearest == F.col("cluster_id")).cast("int")).cast("boolean").alias("all_nearest"))
+
+
+def _silhouette_sql() -> str:
+    cf = list(CFG.cluster_features)
+    z = ", ".join(f"CASE WHEN stddev_pop(coalesce({c}, 0.0)) OVER () = 0 THEN 0.0 ELSE (coalesce({c}, 0.0) - avg(coalesce({c}, 0.0)) OVER ()) / stddev_pop(coalesce({c}, 0.0)) OVER () END AS z{i}"
+                  for i, c in enumerate(cf))
+    sq = " + ".join(f"z{i} * z{i}" for i in range(len(cf)))
+    dot = " + ".join(f"p.z{i} * c.s{i}" for i in range(len(cf)))
+    sums = ", ".join(f"sum(z{i}) AS s{i}" for i in range(len(cf)))
+    return S.q(S.portfolio_ctes() + [
+        ("pts", f"SELECT f.concept_id, l.cluster_id, {z} FROM feat f JOIN labels l ON l.concept_id = f.concept_id"),
+        ("pts2", f"SELECT *, {sq} AS nrm FROM pts"),
+        ("cst", f"SELECT cluster_id, count(*) AS n, sum(nrm) AS psi, {sums} FROM pts2 GROUP BY cluster_id"),
+        ("dd", f"""SELECT p.concept_id, p.cluster_id AS own, c.cluster_id AS other, c.n,
+                   p.nrm + c.psi / c.n - 2 * ({dot}) / c.n AS d FROM pts2 p, cst c"""),
+        ("ab", """SELECT concept_id, max(CASE WHEN own = other THEN n END) AS n_own,
+                  max(CASE WHEN own = other THEN d * n / (n - 1) END) AS a, min(CASE WHEN own <> other THEN d END) AS b
+                  FROM dd GROUP BY concept_id"""),
+    ], f"""SELECT {S.r6("avg(CASE WHEN n_own = 1 THEN 0.0 WHEN a < b THEN 1 - a / b WHEN a > b THEN b / a - 1 ELSE 0.0 END)")} AS silhouette FROM ab""")
+
+
+@query("silhouette", _silhouette_sql())
+def q_silhouette(spark, sf_dir):
+    p = rule_portfolio(spark, sf_dir)
+    m = clu.cluster_matrix(p.features, list(CFG.cluster_features))
+    lab = m.join(p.labeled.select(K, "cluster_id"), K)
+    s = clu.silhouette(lab)
+    return finish(spark.range(1).select(F.lit(s).alias("silhouette")))
+
+
+@query("select_optimal_k", S.q(S.feature_ctes(), "SELECT true AS k_in_range, true AS is_best"))
+def q_select_k(spark, sf_dir):
+    k, scores = clu.select_optimal_k(_rule_matrix(spark, sf_dir))
+    rows = [(int(kk), float(v)) for kk, v in scores.items()]
+    df = spark.createDataFrame(rows, "k int, silhouette double")
+    return df.agg(F.lit(CFG.k_min <= k <= CFG.k_max).alias("k_in_range"),
+                  (F.max("silhouette") == F.max(F.when(F.col("k") == k, F.col("silhouette")))).alias("is_best"))
+
+
+@query("fit_clusters", S.q(S.feature_ctes(), f"SELECT ({_N_FEAT}) AS n_rows, true AS all_labeled, true AS score_range_ok"))
+def q_fit_clusters(spark, sf_dir):
+    s = scored_driver_tables(spark, sf_dir)
+    k = s.cluster_info["k"]
+    return s.labeled.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        (F.count(F.when(F.col("cluster_id").between(0, k - 1), 1)) == F.count(F.lit(1))).alias("all_labeled"),
+        ((F.min("cluster_repeatability_score") >= 0) & (F.max("cluster_repeatability_score") <= 1)).alias("score_range_ok"))
+
+
+@query("train_readiness", S.q(S.feature_ctes(), f"SELECT CAST({CFG.gbt_trees} AS BIGINT) AS n_trees, true AS fits_train"))
+def q_train(spark, sf_dir):
+    from pyspark.ml.evaluation import RegressionEvaluator
+    s = scored_driver_tables(spark, sf_dir)
+    r2 = RegressionEvaluator(labelCol="readiness_label", predictionCol="prediction", metricName="r2").evaluate(
+        s.model.transform(s.train))
+    return spark.range(1).select(F.lit(len(s.model.trees)).cast("bigint").alias("n_trees"), F.lit(r2 > 0.5).alias("fits_train"))
+
+
+@query("cross_validate_r2")
+def q_cv(spark, sf_dir):
+    s = scored_driver_tables(spark, sf_dir)
+    mean, std, scores = rm.cross_validate_r2(s.train)
+    return spark.createDataFrame([(len(scores), float(mean), float(std))], "n_folds int, r2_mean double, r2_std double")
+
+
+@query("feature_importance", "SELECT CAST(8 AS BIGINT) AS n_features, true AS sums_to_one")
+def q_importance(spark, sf_dir):
+    s = scored_driver_tables(spark, sf_dir)
+    imp = rm.importance_frame(spark, s.model)
+    return imp.agg(F.count(F.lit(1)).alias("n_features"), (F.abs(F.sum("importance") - 1.0) < 1e-9).alias("sums_to_one"))
+
+
+@query("top_importance")
+def q_top_importance(spark, sf_dir):
+    s = scored_driver_tables(spark, sf_dir)
+    return rep.top_importance(rm.importance_frame(spark, s.model), 6)
+
+
+@query("shap_values", S.q(S.feature_ctes(), f"SELECT ({_N_FEAT}) AS n_rows, true AS additive_ok, true AS unused_zero"))
+def q_shap(spark, sf_dir):
+    s = scored_driver_tables(spark, sf_dir)
+    feats = list(CFG.model_features)
+    unused = [f for f, v in s.importance if v == 0.0]
+    j = s.shap.join(s.model.transform(s.train).select(K, "prediction"), K)
+    unused_ok = F.lit(True)
+    for f in unused:
+        unused_ok = unused_ok & (F.max(F.abs(F.col(f + "_shap"))) == 0)
+    del feats
+    return j.agg(F.count(F.lit(1)).alias("n_rows"),
+                 (F.max(F.abs(F.col("shap_prediction") - F.col("prediction"))) < 1e-6).alias("additive_ok"),
+                 unused_ok.alias("unused_zero"))
+
+
+@query("score_portfolio")
+def q_score_portfolio(spark, sf_dir):
+    return finish(outputs(scored_driver_tables(spark, sf_dir)))
+
+
+@query("score_portfolio_invariants", S.q(S.feature_ctes(), f"""
+SELECT ({_N_FEAT}) AS n_rows, true AS readiness_spans, true AS outcomes_valid, true AS low_is_archive"""))
+def q_score_inv(spark, sf_dir):
+    from ..config import ALL_OUTCOMES
+    d = scored_driver_tables(spark, sf_dir).decision
+    return d.agg(F.count(F.lit(1)).alias("n_rows"),
+                 ((F.min("readiness_score") == 0) & (F.max("readiness_score") == 100)).alias("readiness_spans"),
+                 (F.count(F.when(F.col("recommended_outcome").isin(*ALL_OUTCOMES), 1)) == F.count(F.lit(1))).alias("outcomes_valid"),
+                 (F.count(F.when((F.col("readiness_score") < 40) & (F.col("recommended_outcome") != _OA), 1)) == 0).alias("low_is_archive"))
