@@ -59,57 +59,56 @@ def exact_quantiles(df: DataFrame, c: str, ranks: list[int], buckets: int = 1000
 
     Each round: one aggregate gives count/min/max and approximate cut points of
     the current value range, one Bucketizer pass counts rows per bucket; the
-    range shrinks to the buckets holding the wanted ranks. When at most
+    search continues inside each bucket that holds a wanted rank. When at most
     ``max_collect`` values remain, they are collected and indexed directly.
     """
     v = df.select(F.col(c).cast("double").alias("v")).where(F.col("v").isNotNull())
-    lo, hi = None, None  # current range [lo, hi): lo inclusive, hi exclusive; None = open
-    offset = 0  # values strictly below the range
-    want = sorted(set(ranks))
     out: dict[int, float] = {}
-    while want:
+    probs = [i / buckets for i in range(1, buckets)]
+
+    def narrow(lo, hi, offset: int, want: list[int]) -> None:
+        # values in [lo, hi) (None = open), ``offset`` values lie below lo
         sub = v
         if lo is not None:
             sub = sub.where(F.col("v") >= lo)
         if hi is not None:
             sub = sub.where(F.col("v") < hi)
-        probs = [i / buckets for i in range(1, buckets)]
         stats = sub.agg(
             F.count("v").alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx"),
             F.percentile_approx("v", probs, 10 * buckets).alias("cuts"),
         ).first()
         n, mn, mx = stats["n"], stats["mn"], stats["mx"]
         if n == 0:
-            break
+            return
         if mn == mx:
-            for k in want:
-                out[k] = mn
-            break
+            out.update({k: mn for k in want})
+            return
         if n <= max_collect:
             vals = sorted(r["v"] for r in sub.collect())
-            for k in want:
-                out[k] = vals[k - offset]
-            break
-        # mn and mx are always cut points, so every round strictly shrinks the range
+            out.update({k: vals[k - offset] for k in want})
+            return
+        # mn and mx are always cut points, so every bucket is a strict sub-range
         cuts = sorted({x for x in stats["cuts"] if mn <= x <= mx} | {mn, mx})
         splits = [float("-inf")] + cuts + [float("inf")]
         b = Bucketizer(splits=splits, inputCol="v", outputCol="b")
         hist = {int(r["b"]): int(r["n"])
                 for r in b.transform(sub).groupBy("b").agg(F.count("*").alias("n")).collect()}
-        # buckets are [s_i, s_i+1); find those holding the lowest and highest wanted rank
-        cum, first_b, last_b, below_first = 0, None, None, 0
+        groups: dict[int, list[int]] = {}
+        below: dict[int, int] = {}
+        cum = 0
         for bi in range(len(splits) - 1):
             cnt = hist.get(bi, 0)
-            if first_b is None and want[0] - offset < cum + cnt:
-                first_b, below_first = bi, cum
-            if want[-1] - offset < cum + cnt:
-                last_b = bi
-                break
+            for k in want:
+                if cum <= k - offset < cum + cnt:
+                    groups.setdefault(bi, []).append(k)
+                    below[bi] = cum
             cum += cnt
-        offset += below_first
-        new_lo, new_hi = splits[first_b], splits[last_b + 1]
-        lo = None if new_lo == float("-inf") else new_lo
-        hi = None if new_hi == float("inf") else new_hi
+        for bi, ks in groups.items():
+            new_lo, new_hi = splits[bi], splits[bi + 1]
+            narrow(None if new_lo == float("-inf") else new_lo, None if new_hi == float("inf") else new_hi,
+                   offset + below[bi], ks)
+
+    narrow(None, None, 0, sorted(set(ranks)))
     return out
 
 

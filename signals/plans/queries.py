@@ -705,3 +705,23 @@ def q_score_inv(spark, sf_dir):
                  ((F.min("readiness_score") == 0) & (F.max("readiness_score") == 100)).alias("readiness_spans"),
                  (F.count(F.when(F.col("recommended_outcome").isin(*ALL_OUTCOMES), 1)) == F.count(F.lit(1))).alias("outcomes_valid"),
                  (F.count(F.when((F.col("readiness_score") < 40) & (F.col("recommended_outcome") != _OA), 1)) == 0).alias("low_is_archive"))
+
+
+# ---------------------------------------------------------------- incremental load (Structured Streaming)
+
+from ..streaming.ingest import incremental_load  # noqa: E402
+
+
+@query("incremental_load", S.q([], "SELECT count(*) AS n_rows, CAST(count(*) - count(segment) AS BIGINT) AS n_null_segment FROM demo_signals"))
+def q_incremental(spark, sf_dir):
+    d = model(spark, sf_dir)["demo_signals"]
+    csv_cols = d.select(*[F.col(c).cast("int").alias(c) if c in S.BOOL_COLS else F.col(c) for c in d.columns])
+    landing, sink = scratch_path(spark, "landing"), scratch_path(spark, "demo-table")
+    # the whole table arrives as two deliveries (split by the parity of the demo day; every row lands once)
+    parity = F.dayofmonth("demo_date") % 2
+    for p in (0, 1):
+        csv_cols.where(parity == p).write.options(**tbl.CSV_OPTIONS).csv(f"{landing}/part{p}")
+    schema = csv_cols.schema
+    incremental_load(spark, f"{landing}/*", "demo_signals", schema, sink, checkpoint=scratch_path(spark, "ckpt"))
+    back = spark.read.parquet(sink)
+    return back.agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.col("segment").isNull(), 1)).alias("n_null_segment"))
