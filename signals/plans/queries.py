@@ -725,3 +725,21 @@ def q_incremental(spark, sf_dir):
     incremental_load(spark, f"{landing}/*", "demo_signals", schema, sink, checkpoint=scratch_path(spark, "ckpt"))
     back = spark.read.parquet(sink)
     return back.agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.col("segment").isNull(), 1)).alias("n_null_segment"))
+
+
+# ---------------------------------------------------------------- the rule portfolio over the cleaned dirty binding
+# (orphan concepts, concepts without demo / usage / commercial rows, imputed and clipped values)
+
+
+def _dirty_portfolio(spark, sf_dir):
+    return rule_portfolio(spark, sf_dir, tables=cln.load_and_clean(dirty(spark, sf_dir)))
+
+
+@query("feature_table_dirty", S.q_cleaned_dirty(S.feature_ctes(), f"SELECT concept_id, {_FEAT_SELECT} FROM feat"))
+def q_feature_table_dirty(spark, sf_dir):
+    return finish(_dirty_portfolio(spark, sf_dir).features)
+
+
+@query("decision_table_dirty", S.q_cleaned_dirty(S.portfolio_ctes(), _DEC_SQL))
+def q_decision_dirty(spark, sf_dir):
+    return finish(_dirty_portfolio(spark, sf_dir).decision)

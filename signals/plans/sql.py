@@ -236,17 +236,18 @@ def mode_of(c: str, t: str) -> str:
             f"ORDER BY n DESC, v LIMIT 1)")
 
 
-def imputed(c: str, t: str, null_cols: list[str]) -> str:
+def imputed(c: str, t: str, null_cols: list[str], src: str | None = None) -> str:
     if c not in null_cols:
         return c
     if c in TEXT_COLS:
-        return f"coalesce({c}, {mode_of(c, t)}, 'UNKNOWN')"
-    return f"coalesce({c}, {median_of(c, t)})"
+        return f"coalesce({c}, {mode_of(c, src or t)}, 'UNKNOWN')"
+    return f"coalesce({c}, {median_of(c, src or t)})"
 
 
-def cleaned(c: str, t: str, null_cols: list[str], stages: tuple = ("impute", "clip", "coerce")) -> str:
+def cleaned(c: str, t: str, null_cols: list[str], stages: tuple = ("impute", "clip", "coerce"),
+            src: str | None = None) -> str:
     from .. import schemas
-    e = imputed(c, t, null_cols) if "impute" in stages else c
+    e = imputed(c, t, null_cols, src) if "impute" in stages else c
     rng = schemas.NUMERIC_RANGES.get(t, {}).get(c)
     if "clip" in stages and rng is not None:
         e = clip(e, rng[0], rng[1])
@@ -260,9 +261,15 @@ def cleaned(c: str, t: str, null_cols: list[str], stages: tuple = ("impute", "cl
 
 
 def clean_select(t: str, null_cols: list[str] | None = None, stages: tuple = ("impute", "clip", "coerce"),
-                 cols: list[str] | None = None) -> str:
+                 cols: list[str] | None = None, src: str | None = None) -> str:
     nc = DIRTY_NULLS[t] if null_cols is None else null_cols
-    return ", ".join(f"{cleaned(c, t, nc, stages)} AS {c}" for c in (cols or TABLE_COLS[t]))
+    return ", ".join(f"{cleaned(c, t, nc, stages, src)} AS {c}" for c in (cols or TABLE_COLS[t]))
+
+
+def q_cleaned_dirty(ctes: list[tuple[str, str]], final: str) -> str:
+    """A query over the cleaned dirty binding: raw tables are ``raw_*``, cleaned ones take the plain names."""
+    clean = [(t, f"SELECT {clean_select(t, src='raw_' + t)} FROM raw_{t}") for t in TABLE_COLS]
+    return with_ctes(model_sql(True, prefix="raw_") + clean + ctes, final)
 
 
 def clean_ctes() -> list[tuple[str, str]]:

@@ -165,8 +165,9 @@ def signal_model(spark: SparkSession, sf_dir: str, dirty: bool = False) -> dict[
 # The same binding in SQL (DuckDB dialect), for the oracle queries.
 # ---------------------------------------------------------------------------
 
-def model_sql(dirty: bool = False) -> list[tuple[str, str]]:
-    """CTEs (name, body) defining concepts, demo/usage/commercial signals, text_feedback."""
+def model_sql(dirty: bool = False, prefix: str = "") -> list[tuple[str, str]]:
+    """CTEs (name, body) defining concepts, demo/usage/commercial signals, text_feedback
+    (names optionally prefixed, e.g. ``raw_`` when cleaned tables take the plain names)."""
 
     def key(res: int) -> str:
         return (f"CASE WHEN l_partkey % 10 = {res} THEN -l_partkey - 1 ELSE l_partkey END"
@@ -185,15 +186,15 @@ def model_sql(dirty: bool = False) -> list[tuple[str, str]]:
     active = "pri - 3" if dirty else "pri"
     urgency = "(6 - pri) / 5.0 - 0.5" if dirty else "(6 - pri) / 5.0"
     ctes = [
-        ("sig_rows", rows),
-        ("concepts", f"""
+        (f"{prefix}sig_rows", rows),
+        (f"{prefix}concepts", f"""
 SELECT p_partkey AS concept_id,
        {nul('p_partkey % 17 = 0', 'p_name')} AS concept_name,
        p_type AS industry, p_brand AS problem_area, CAST(NULL AS VARCHAR) AS target_user,
        {nul('p_partkey % 19 = 0', 'p_size / 50.0')} AS delivery_complexity,
        least(greatest((p_retailprice - 900.0) / 100.0, 0.0), 1.0) AS strategic_fit
 FROM part"""),
-        ("demo_signals", f"""
+        (f"{prefix}demo_signals", f"""
 SELECT {key(3)} AS concept_id, o_custkey AS customer_id,
        {nul('o_custkey % 11 = 0', 'c_mktsegment')} AS segment,
        CAST(o_orderdate AS DATE) AS demo_date,
@@ -201,8 +202,8 @@ SELECT {key(3)} AS concept_id, o_custkey AS customer_id,
        {nul('o_custkey % 13 = 0', follow)} AS follow_up_requested,
        {nul('o_custkey % 13 = 0', maker)} AS decision_maker_present,
        {nul(miss, 'pri')} AS objections_count
-FROM sig_rows WHERE l_returnflag = 'R'"""),
-        ("usage_signals", f"""
+FROM {prefix}sig_rows WHERE l_returnflag = 'R'"""),
+        (f"{prefix}usage_signals", f"""
 SELECT {key(4)} AS concept_id, o_custkey AS customer_id,
        l_linenumber AS trial_sessions,
        {nul(miss, 'CAST(trunc(l_quantity) AS INTEGER)')} AS feature_clicks,
@@ -210,8 +211,8 @@ SELECT {key(4)} AS concept_id, o_custkey AS customer_id,
        {nul(miss, active)} AS active_users,
        {nul(miss, 'l_quantity * l_linenumber')} AS time_spent,
        {nul(miss, 'CAST(round(l_discount * 100.0) AS INTEGER) * l_linenumber')} AS abandoned_features
-FROM sig_rows WHERE l_returnflag = 'A'"""),
-        ("commercial_signals", f"""
+FROM {prefix}sig_rows WHERE l_returnflag = 'A'"""),
+        (f"{prefix}commercial_signals", f"""
 SELECT {key(5)} AS concept_id, o_custkey AS customer_id,
        {nul(miss, 'l_tax / 0.08')} AS pilot_interest,
        {nul(miss, urgency)} AS urgency_score,
@@ -219,8 +220,8 @@ SELECT {key(5)} AS concept_id, o_custkey AS customer_id,
        {nul(miss, 'l_extendedprice')} AS willingness_to_pay,
        {nul(miss, 'o_totalprice')} AS expected_value,
        {nul(miss, 'l_discount / 0.1')} AS implementation_risk
-FROM sig_rows WHERE l_returnflag = 'N'"""),
-        ("text_feedback", """
+FROM {prefix}sig_rows WHERE l_returnflag = 'N'"""),
+        (f"{prefix}text_feedback", """
 SELECT doc_id AS feedback_id, doc_id % (SELECT count(*) FROM part) AS concept_id,
        CAST(NULL AS BIGINT) AS customer_id, text AS customer_comments,
        CAST(NULL AS VARCHAR) AS pain_point_statements, CAST(NULL AS VARCHAR) AS objection_themes,
