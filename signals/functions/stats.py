@@ -10,6 +10,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,12 +38,15 @@ def zscore(df: DataFrame, c: str) -> Column:
     return F.when(sd == 0, F.lit(0.0)).otherwise(safe_div(F.col(c) - mu, sd))
 
 
-def null_counts(df: DataFrame, cols: list[str]) -> dict[str, int]:
-    """Number of NULLs per column in one pass (one row comes back)."""
-    if not cols:
+def null_counts(df: DataFrame, cols: list[str], with_rows: bool = False):
+    """Number of NULLs per column in one pass (one row comes back); with
+    ``with_rows`` also the row count."""
+    if not cols and not with_rows:
         return {}
-    row = df.select([F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in cols]).first()
-    return {c: int(row[c]) for c in cols}
+    row = df.select(F.count(F.lit(1)).alias("__rows"),
+                    *[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in cols]).first()
+    counts = {c: int(row[c]) for c in cols}
+    return (counts, int(row["__rows"])) if with_rows else counts
 
 
 def mode_value(df: DataFrame, c: str):
@@ -53,8 +57,11 @@ def mode_value(df: DataFrame, c: str):
     return None if row is None or row["b"] is None else row["b"]["v"]
 
 
+MAX_COLLECT = 1_000_000  # values a driver may receive for an exact order statistic (8 MB of doubles)
+
+
 def exact_quantiles(df: DataFrame, c: str, ranks: list[int], buckets: int = 1000,
-                    max_collect: int = 100_000) -> dict[int, float]:
+                    max_collect: int = MAX_COLLECT) -> dict[int, float]:
     """Exact order statistics (0-based ``ranks`` among the non-null values).
 
     Each round: one aggregate gives count/min/max and approximate cut points of
@@ -120,3 +127,24 @@ def exact_median(df: DataFrame, c: str, **kw) -> float | None:
     ranks = [(n - 1) // 2, n // 2]
     q = exact_quantiles(df, c, ranks, **kw)
     return (q[ranks[0]] + q[ranks[1]]) / 2.0
+
+
+def exact_medians(df: DataFrame, cols: list[str], n_rows: int | None = None,
+                  max_collect: int = MAX_COLLECT) -> dict[str, float | None]:
+    """Exact medians of several numeric columns.
+
+    A table of at most ``max_collect`` rows is fetched once (Arrow batches, only
+    these columns) and every median is taken from it; a larger table gets the
+    bounded histogram search per column.
+    """
+    if not cols:
+        return {}
+    n = df.count() if n_rows is None else n_rows
+    if n <= max_collect:
+        pdf = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).toPandas()
+        out = {}
+        for c in cols:
+            s = pdf[c].dropna().to_numpy()
+            out[c] = None if len(s) == 0 else float(np.median(s))
+        return out
+    return {c: exact_median(df, c, max_collect=max_collect) for c in cols}

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions.columns import clip
-from ..functions.stats import exact_median, mode_value, null_counts
+from ..functions.stats import exact_medians, mode_value, null_counts
 
 log = logging.getLogger(__name__)
 
@@ -30,16 +30,13 @@ def imputation_values(df: DataFrame, exclude: tuple = ()) -> dict:
     numeric column has no median and stays NULL."""
     types = {f.name: f.dataType for f in df.schema.fields}
     cols = [c for c in df.columns if c not in exclude]
-    nulls = null_counts(df, cols)
-    fills = {}
-    for c in cols:
-        if nulls[c] == 0:
-            continue
-        if isinstance(types[c], _NUMERIC):
-            m = exact_median(df, c)
-            if m is not None:
-                fills[c] = m
-        else:
+    nulls, n_rows = null_counts(df, cols, with_rows=True)
+    with_nulls = [c for c in cols if nulls[c] > 0]
+    numeric = [c for c in with_nulls if isinstance(types[c], _NUMERIC)]
+    medians = exact_medians(df, numeric, n_rows)
+    fills = {c: m for c, m in medians.items() if m is not None}
+    for c in with_nulls:
+        if c not in numeric:
             m = mode_value(df, c)
             if m is None and isinstance(types[c], T.StringType):
                 m = "UNKNOWN"
@@ -57,9 +54,9 @@ def impute(df: DataFrame, exclude: tuple = (), fills: dict | None = None) -> Dat
 
 def impute_median(df: DataFrame, cols: list[str]) -> DataFrame:
     """NULLs of the numeric ``cols`` → exact column median (mean of the two middle values)."""
-    nulls = null_counts(df, cols)
-    fills = {c: m for c in cols if nulls[c] > 0 and (m := exact_median(df, c)) is not None}
-    return impute(df, fills=fills)
+    nulls, n_rows = null_counts(df, cols, with_rows=True)
+    medians = exact_medians(df, [c for c in cols if nulls[c] > 0], n_rows)
+    return impute(df, fills={c: m for c, m in medians.items() if m is not None})
 
 
 def impute_mode(df: DataFrame, cols: list[str]) -> DataFrame:
