@@ -121,4 +121,6 @@ def portfolio_stats(concepts: DataFrame, demo: DataFrame, usage: DataFrame, comm
         d, u, c = materialize(d), materialize(u), materialize(c)
     m = concept_meta(concepts, key)
     allk = outer_union([m, d, u, c], key)
+    if persist:
+        allk = materialize(allk)  # read by features, confidence and the decision
     return {"demo": d, "usage": u, "commercial": c, "meta": m, "all": allk}
