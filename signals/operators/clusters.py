@@ -76,6 +76,8 @@ from pyspark.ml.clustering import KMeans  # noqa: E402
 from pyspark.ml.evaluation import ClusteringEvaluator  # noqa: E402
 from pyspark.ml.feature import VectorAssembler  # noqa: E402
 
+from ..session import checkpoint  # noqa: E402
+
 VEC = "cluster_vec"
 
 
@@ -85,7 +87,7 @@ def cluster_matrix(features: DataFrame, cols: list[str], key: str = KEY) -> Data
     shared folder, so a lost executor does not replay the feature lineage)."""
     z = standardize(features, cols, key)
     vec = VectorAssembler(inputCols=[c + "_z" for c in cols], outputCol=VEC).transform(z).select(key, VEC)
-    return vec.checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
+    return checkpoint(vec).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _fit_one(matrix: DataFrame, k: int, seed: int):

@@ -90,7 +90,6 @@ def summary_lines(outcomes: DataFrame, concepts: DataFrame, key: str = KEY) -> D
     Only bounded frames meet here: one aggregate row, ≤ 5 outcome counts and two
     top-5 lists.
     """
-    spark = outcomes.sparkSession
     named = outcomes.join(concepts.select(key, "concept_name"), key, "left").withColumn(
         "name", F.coalesce(F.col("concept_name"), F.col(key).cast("string")))
     totals = outcomes.agg(
@@ -136,7 +135,6 @@ def summary_lines(outcomes: DataFrame, concepts: DataFrame, key: str = KEY) -> D
             F.col("n_inc").cast("string"),
             F.lit(" concepts require further incubation with additional customer validation before committing resources.")))),
     )).alias("l")).select(F.lit(5).alias("section"), "l.line_no", "l.line").where(F.col("line").isNotNull())
-    del spark
     return head.unionByName(dist_lines).unionByName(mvp).unionByName(arc).unionByName(closing)
 
 

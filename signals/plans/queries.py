@@ -229,18 +229,9 @@ def dirty(spark, sf_dir):
     return model(spark, sf_dir, dirty=True)
 
 
-def _r6sel(t, stages=("impute", "clip", "coerce"), cols=None, null_cols=None):
-    sel = S.clean_select(t, null_cols, stages, cols)
-    return sel
-
-
 _USAGE_NUM = ["trial_sessions", "feature_clicks", "repeat_usage_days", "active_users", "time_spent", "abandoned_features"]
 
 
-def _sql_round(expr_list: str) -> str:
-    return expr_list
-
-
 @query("impute_median", S.qd([], "SELECT " + ", ".join(
     ["concept_id", "customer_id"] + [f"{S.r6(S.imputed(c, 'usage_signals', S.DIRTY_NULLS['usage_signals']))} AS {c}"
                                      if c in S.DIRTY_NULLS['usage_signals'] else c for c in _USAGE_NUM])
@@ -584,18 +575,15 @@ def _rule_matrix(spark, sf_dir):
 
 @query("kmeans_fit", S.q(S.feature_ctes(), f"SELECT ({_N_FEAT}) AS n_rows, CAST(3 AS BIGINT) AS n_clusters, true AS all_nearest"))
 def q_kmeans(spark, sf_dir):
-    import numpy as np
+    from pyspark.ml.functions import vector_to_array
     m = _rule_matrix(spark, sf_dir)
     model = clu.kmeans_fit(m, 3)
     centers = [list(map(float, c)) for c in model.clusterCenters()]  # k vectors: bounded
     pred = model.transform(m)
     arr = F.array(*[F.array(*[F.lit(v) for v in c]) for c in centers])
-    vec = F.col(clu.VEC)
-    from pyspark.ml.functions import vector_to_array
-    va = vector_to_array(vec)
+    va = vector_to_array(F.col(clu.VEC))
     dist = F.transform(arr, lambda c: F.aggregate(F.zip_with(c, va, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda acc, x: acc + x))
     nearest = F.array_position(dist, F.array_min(dist)) - 1
-    del np
     return pred.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("cluster_id").alias("n_clusters"),
                     F.min((nearest == F.col("cluster_id")).cast("int")).cast("boolean").alias("all_nearest"))
 
@@ -679,13 +667,11 @@ def q_top_importance(spark, sf_dir):
 @query("shap_values", S.q(S.feature_ctes(), f"SELECT ({_N_FEAT}) AS n_rows, true AS additive_ok, true AS unused_zero"))
 def q_shap(spark, sf_dir):
     s = scored_driver_tables(spark, sf_dir)
-    feats = list(CFG.model_features)
     unused = [f for f, v in s.importance if v == 0.0]
     j = s.shap.join(s.model.transform(s.train).select(K, "prediction"), K)
     unused_ok = F.lit(True)
     for f in unused:
         unused_ok = unused_ok & (F.max(F.abs(F.col(f + "_shap"))) == 0)
-    del feats
     return j.agg(F.count(F.lit(1)).alias("n_rows"),
                  (F.max(F.abs(F.col("shap_prediction") - F.col("prediction"))) < 1e-6).alias("additive_ok"),
                  unused_ok.alias("unused_zero"))

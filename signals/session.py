@@ -45,6 +45,13 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+def checkpoint(df):
+    """Reliable checkpoint into the shared folder (eager): cuts lineage so a lost
+    executor reloads the frame instead of replaying the plan."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A unique path below the shared folder for one written table."""
     return f"{shared_dir(spark)}/signals/{name}-{uuid.uuid4().hex[:12]}"

@@ -34,3 +34,21 @@ def test_append_skips_empty_and_reset(spark):
     assert spark.read.parquet(path).count() == 2 * n
     tbl.write_table(u, path, reset=True)
     assert spark.read.parquet(path).count() == n
+
+
+def test_incremental_load_takes_each_file_once(spark):
+    from signals.streaming.ingest import incremental_load
+    d = ad.signal_model(spark, SF_SMALL)["demo_signals"]
+    d = d.select(*[F.col(c).cast("int").alias(c) if c in ("follow_up_requested", "decision_maker_present")
+                   else F.col(c) for c in d.columns])
+    landing, sink, ckpt = scratch_path(spark, "t-land"), scratch_path(spark, "t-sink"), scratch_path(spark, "t-ckpt")
+    d.where(F.col("customer_id") % 2 == 0).write.options(**tbl.CSV_OPTIONS).csv(f"{landing}/a")
+    incremental_load(spark, f"{landing}/*", "demo_signals", d.schema, sink, checkpoint=ckpt)
+    n1 = spark.read.parquet(sink).count()
+    incremental_load(spark, f"{landing}/*", "demo_signals", d.schema, sink, checkpoint=ckpt)  # nothing new
+    assert spark.read.parquet(sink).count() == n1
+    d.where(F.col("customer_id") % 2 == 1).write.options(**tbl.CSV_OPTIONS).csv(f"{landing}/b")
+    incremental_load(spark, f"{landing}/*", "demo_signals", d.schema, sink, checkpoint=ckpt)
+    back = spark.read.parquet(sink)
+    assert back.count() == d.count()
+    assert dict(back.dtypes)["follow_up_requested"] == "boolean"
