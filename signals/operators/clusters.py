@@ -87,7 +87,7 @@ def cluster_matrix(features: DataFrame, cols: list[str], key: str = KEY) -> Data
     shared folder, so a lost executor does not replay the feature lineage)."""
     z = standardize(features, cols, key)
     vec = VectorAssembler(inputCols=[c + "_z" for c in cols], outputCol=VEC).transform(z).select(key, VEC)
-    return checkpoint(vec).persist(StorageLevel.MEMORY_AND_DISK)
+    return checkpoint(vec, size_by_rows=True).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _fit_one(matrix: DataFrame, k: int, seed: int):

@@ -45,10 +45,23 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
-def checkpoint(df):
+ROWS_PER_PARTITION = 500_000  # dense feature rows (~10 doubles): ≈ 50-100 MB per partition
+
+
+def checkpoint(df, size_by_rows: bool = False):
     """Reliable checkpoint into the shared folder (eager): cuts lineage so a lost
-    executor reloads the frame instead of replaying the plan."""
+    executor reloads the frame instead of replaying the plan.
+
+    With ``size_by_rows`` the partition count follows the row count
+    (⌈rows / ROWS_PER_PARTITION⌉): iterative fits run one job per iteration,
+    and many near-empty tasks per job would dominate their cost.
+    """
     shared_dir(df.sparkSession)
+    if size_by_rows:
+        n = df.count()
+        target = max(1, -(-n // ROWS_PER_PARTITION))
+        cur = df.rdd.getNumPartitions()
+        df = df.coalesce(target) if target < cur else df.repartition(target)
     return df.checkpoint(eager=True)
 
 
