@@ -112,15 +112,18 @@ def portfolio_stats(concepts: DataFrame, demo: DataFrame, usage: DataFrame, comm
     """The per-table aggregate frames plus their outer union on the key.
 
     ``all`` holds one row per key seen in any table (orphans included); a
-    table's columns are NULL for keys it does not have.
+    table's columns are NULL for keys it does not have, so aggregates that skip
+    NULLs (min, max, avg) over ``all`` equal those over the table's own frame.
     """
     d = demo_stats(demo, key, customer).join(segment_entropy(demo, key), key, "left")
     u = usage_stats(usage, key, customer)
     c = commercial_stats(commercial, key, customer)
-    if persist:
-        d, u, c = materialize(d), materialize(u), materialize(c)
     m = concept_meta(concepts, key)
     allk = outer_union([m, d, u, c], key)
     if persist:
-        allk = materialize(allk)  # read by features, confidence and the decision
+        # one materialisation for all readers (features and their bounds, confidence,
+        # decision): each signal table is aggregated once, and the checkpoint cuts the
+        # lineage so later plans start from a scan of concept-level rows
+        from ..session import checkpoint
+        allk = checkpoint(allk)
     return {"demo": d, "usage": u, "commercial": c, "meta": m, "all": allk}

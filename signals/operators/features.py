@@ -143,9 +143,9 @@ def features_from_stats(st: dict[str, DataFrame], key: str = KEY, cfg: Config =
     has_comm = F.col("commercial_rows").isNotNull()
     in_concepts = F.col("in_concepts").isNotNull()
     # each table's bounds are one scalar subquery, projected once and referenced by name
-    base = st["all"].select("*", bounds(st["demo"], _demo_norms()).alias("_bd"),
-                            bounds(st["usage"], _usage_norms()).alias("_bu"),
-                            bounds(st["commercial"], _comm_norms()).alias("_bc"))
+    a = st["all"]  # a table's columns are NULL outside its keys, so bounds over ``a`` = bounds over the table
+    base = a.select("*", bounds(a, _demo_norms()).alias("_bd"), bounds(a, _usage_norms()).alias("_bu"),
+                    bounds(a, _comm_norms()).alias("_bc"))
     cols = {
         "demand_intensity": F.when(has_demo, _demand(F.col("_bd"), cfg)),
         "repeatability": F.when(has_usage, _repeat(F.col("_bu"), cfg)),

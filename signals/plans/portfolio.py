@@ -20,6 +20,7 @@ from ..operators import confidence as conf
 from ..operators import decide as dec
 from ..operators import features as feat
 from ..operators import readiness as rdy
+from ..session import checkpoint
 from ..sources import adapters as ad
 
 K = agg.KEY
@@ -44,12 +45,14 @@ def given_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rule_portfolio(spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT, tables: dict | None = None) -> Portfolio:
     t = tables or ad.signal_model(spark, sf_dir)
     st = agg.portfolio_stats(t["concepts"], t["demo_signals"], t["usage_signals"], t["commercial_signals"])
-    features = agg.materialize(feat.features_from_stats(st, K, cfg))
+    # concept-level frames with many readers are checkpointed: the lineage cut keeps
+    # every later plan small (a scan, not the whole aggregation tree)
+    features = checkpoint(feat.features_from_stats(st, K, cfg))
     labeled = clu.with_cluster_scores(features, given_labels(spark, sf_dir))
     readiness = rdy.rule_readiness(features, K, cfg)
     ids = features.select(K)
     confidence = conf.confidence_scores(st["all"], labeled, ids, K, cfg)
-    decision = agg.materialize(dec.decision_table(labeled, st["all"], readiness, confidence, K, cfg))
+    decision = checkpoint(dec.decision_table(labeled, st["all"], readiness, confidence, K, cfg))
     return Portfolio(t, st, features, labeled, readiness, confidence, decision)
 
 

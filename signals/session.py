@@ -56,13 +56,19 @@ def checkpoint(df, size_by_rows: bool = False):
     (⌈rows / ROWS_PER_PARTITION⌉): iterative fits run one job per iteration,
     and many near-empty tasks per job would dominate their cost.
     """
+    from pyspark import StorageLevel
     shared_dir(df.sparkSession)
+    # the checkpoint job re-runs the plan after the counting job; keep one computation
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = src
     if size_by_rows:
-        n = df.count()
+        n = src.count()
         target = max(1, -(-n // ROWS_PER_PARTITION))
-        cur = df.rdd.getNumPartitions()
-        df = df.coalesce(target) if target < cur else df.repartition(target)
-    return df.checkpoint(eager=True)
+        cur = src.rdd.getNumPartitions()
+        out = src.coalesce(target) if target < cur else src.repartition(target)
+    out = out.checkpoint(eager=True)
+    src.unpersist()
+    return out
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
