@@ -125,3 +125,15 @@ def test_surrogate_ids_consecutive(spark):
     assert ids == list(range(1, 101))
     ordered = sorted(out, key=lambda r: r["id"])
     assert [(r["g"], r["s"]) for r in ordered] == sorted((r["g"], r["s"]) for r in out)
+
+
+def test_empty_portfolio_summary(spark):
+    from signals.operators.narrate import executive_summary
+    from signals.operators.reports import portfolio_kpis
+    outcomes = spark.createDataFrame([], "concept_id bigint, readiness_score double, confidence_score double, "
+                                         "recommended_outcome string")
+    concepts = spark.createDataFrame([], "concept_id bigint, concept_name string")
+    report = executive_summary(outcomes, concepts).first()["report"]
+    assert report.startswith("# Executive Summary") and "0 concepts evaluated" in report
+    k = portfolio_kpis(outcomes).first()
+    assert k["total_concepts"] == 0 and k["mean_readiness"] is None
