@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, minhash, mixing, preference, quality, sharding
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_poisson_mix": lambda spark, d: mixing.query(spark, table(spark, d, "documents")),
+    "op3_quality_rules": lambda spark, d: quality.query(spark, table(spark, d, "documents")),
     "op4_byte_bpe": lambda spark, d: bpe.query(spark, table(spark, d, "documents")),
+    "op5_minhash_dedup": lambda spark, d: minhash.query(spark, table(spark, d, "documents")),
+    "op7_shuffle_shards": lambda spark, d: sharding.query(spark, table(spark, d, "documents")),
+    "op9_preference_format": lambda spark, d: preference.query(spark, table(spark, d, "conversations")),
+}
+ORACLES: dict[str, str] = {
+    "op1_poisson_mix": mixing.SQL,
+    "op3_quality_rules": quality.SQL,
+    "op9_preference_format": preference.SQL,
 }
-ORACLES: dict[str, str] = {}
