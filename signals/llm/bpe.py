@@ -1,10 +1,10 @@
 """Byte-level BPE encoding and decoding without replaying merges over a text.
 
 Encoding. A text is cut by the vocabulary's split pattern. A piece that is a token is that token. Any other piece is
-mapped byte by byte to Latin-1 so that an Aho-Corasick automaton over the tokens lists, in one pass, every token
-starting at each byte. A walk then takes the longest token at its position that is compatible with the token before
-it; where none is, it marks the position as dead, steps back over the last token and tries that token's next shorter
-match. Two tokens are compatible if merging their joined bytes by rank gives back exactly these two; a sequence whose
+mapped byte by byte to Latin-1, so that an Aho-Corasick automaton over the tokens finds the longest match at a byte. A
+walk takes the longest token at its position that is compatible with the token before it, going from the longest match to its shorter
+prefixes; where none is, it marks the position as dead, steps back over the last token and tries that token's next
+shorter match. Two tokens are compatible if merging their joined bytes by rank gives back exactly these two; a sequence whose
 neighbours are all compatible is the one that the merges produce, so the result equals merging by rank. Every position
 is declared dead at most once and the compatibility of a pair is remembered, so the walk is linear in the piece.
 Compatibility is decided by undoing the two tokens' merges, latest first, along their border (the splits are worked out
@@ -27,6 +27,7 @@ import math
 from array import array
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -34,8 +35,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PAIR_MEMO = 1 << 18  # remembered token pairs per worker process
-PIECE_MEMO = 200_000  # remembered pieces per worker process and generation
+PIECE_MEMO = 400_000  # remembered pieces per worker process and generation
 MEMO_CHARS = 64  # longer pieces are not remembered
+LONGEST = 256  # bytes that a token may have
 SLICE_ROWS = 256  # rows encoded before their ids are handed on
 
 
@@ -80,29 +82,29 @@ class Encoder(dict):
 
     One lives in every worker process for as long as the vocabulary is the same, so that what one task has worked
     out serves the next. When ``PIECE_MEMO`` pieces are known they become the older generation, which is asked once
-    more before it goes.
+    more before it goes. Tokens are Latin-1 text here, one character for each byte.
     """
 
     def __init__(self, ranks: dict[bytes, int], merges: dict[bytes, tuple[bytes, bytes]], pattern: str):
         import ahocorasick
         import regex
         super().__init__()
-        self.ranks, self.merges = ranks, merges
+        self.ranks = {t.decode("latin-1"): r for t, r in ranks.items()}
+        self.merges = {t.decode("latin-1"): (x.decode("latin-1"), y.decode("latin-1")) for t, (x, y) in merges.items()}
         self.split = regex.compile(pattern).findall
+        self.tokens = {t for t in self.ranks if len(t) == 1 or t in self.merges}
         self.automaton = ahocorasick.Automaton()
-        tokens = [t for t in ranks if len(t) == 1 or t in merges]
-        for tok in tokens:
-            self.automaton.add_word(tok.decode("latin-1"), (len(tok) - 1, tok))
+        for tok in self.tokens:
+            self.automaton.add_word(tok, len(tok))
         self.automaton.make_automaton()
-        known = set(tokens)  # the longest token that is a proper prefix of each token
-        self.shorter = {t: next((t[:i] for i in range(len(t) - 1, 0, -1) if t[:i] in known), None) for t in tokens}
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.pairs: dict[tuple[str, str], bool] = {}
+        self.choice: dict[tuple, tuple[str, ...]] = {}  # (last token, longest match) → its compatible prefixes
         self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
         packed = self.older.get(piece)
         if packed is None:
-            packed = array("i", self.piece(piece.encode("utf-8"))).tobytes()
+            packed = array("i", self.piece(piece.encode("utf-8").decode("latin-1"))).tobytes()
         if len(piece) <= MEMO_CHARS:
             if len(self) >= PIECE_MEMO:
                 self.older = dict(self)
@@ -110,7 +112,7 @@ class Encoder(dict):
             self[piece] = packed
         return packed
 
-    def compatible(self, left: bytes, right: bytes) -> bool:
+    def compatible(self, left: str, right: str) -> bool:
         """Whether merging the joined bytes ends in exactly these two tokens.
 
         Undo the merges of both, latest first, and look at the two parts that meet at the border: if they would
@@ -120,7 +122,7 @@ class Encoder(dict):
         if key in memo:
             return memo[key]
         ranks, merges = self.ranks, self.merges
-        bound = len(ranks) + 1 + max(ranks[left], ranks[right])  # merges of a lower rank come before
+        bound = math.inf  # merges of a lower rank come before
         ok = True
         while True:
             across = ranks.get(left + right)
@@ -139,41 +141,42 @@ class Encoder(dict):
         memo[key] = ok
         return ok
 
-    def piece(self, data: bytes) -> list[int]:
-        if data in self.ranks:
-            return [self.ranks[data]]
-        n, pos, taken = len(data), 0, []
-        longest: list = [None] * n
-        for end, (back, tok) in self.automaton.iter(data.decode("latin-1")):
-            longest[end - back] = tok
-        tried: list = [None] * n  # by position: the token that the walk went on with from here
+    def pick(self, last: str | None, deepest: str) -> tuple[str, ...]:
+        """All tokens that are prefixes of ``deepest`` and compatible with ``last``, the longest first."""
+        found = (deepest[:i] for i in range(len(deepest), 0, -1) if deepest[:i] in self.tokens)
+        out = tuple(t for t in found if last is None or self.compatible(last, t))
+        if len(self.choice) >= PAIR_MEMO:
+            self.choice.clear()
+        self.choice[last, deepest] = out
+        return out
+
+    def piece(self, data: str) -> list[int]:
+        ranks = self.ranks
+        if data in ranks:
+            return [ranks[data]]
+        choice, depth, n = self.choice, self.automaton.longest_prefix, len(data)
         dead = bytearray(n + 1)
-        pairs, compatible, shorter = self.pairs, self.compatible, self.shorter
-        tok = longest[0]
-        last = None
-        while True:
-            while tok is not None:
-                if not dead[pos + len(tok)]:
-                    ok = last is None or pairs.get((last, tok))
-                    if ok or (ok is None and compatible(last, tok)):
-                        break
-                tok = shorter[tok]
-            if tok is None:
-                if last is None:
+        way: list[tuple[int, tuple[str, ...], int]] = []  # position, its options, the one taken
+        pos, last = 0, None
+        while pos < n:
+            rest = data[pos:pos + LONGEST]
+            key = (last, rest[:depth(rest)])
+            options = choice[key] if key in choice else self.pick(*key)
+            i = 0
+            while True:
+                while i < len(options) and dead[pos + len(options[i])]:
+                    i += 1
+                if i < len(options):
+                    break
+                if not way:
                     raise ValueError("the vocabulary lacks a byte of the text")
                 dead[pos] = 1
-                pos -= len(taken.pop())
-                last = taken[-1] if taken else None
-                tok = shorter[tried[pos]]
-            else:
-                tried[pos] = last = tok
-                taken.append(tok)
-                pos += len(tok)
-                if pos == n:
-                    break
-                tok = longest[pos]
-        ranks = self.ranks
-        return [ranks[t] for t in taken]
+                pos, options, i = way.pop()
+                i += 1
+            last = options[i]
+            way.append((pos, options, i))
+            pos += len(last)
+        return [ranks[options[i]] for _, options, i in way]
 
     def text(self, text: str | None) -> bytes:
         """The ids of a text, packed as 32-bit integers."""
@@ -243,10 +246,11 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids_col: str = "token_ids", b
                 tokens = vocabulary.take(flat)
                 if tokens.null_count:
                     raise ValueError("an id is not in the vocabulary")
-                joined = b"".join(tokens.to_pylist())
-                ends = [0, *pc.cumulative_sum(pc.cast(lists, pa.int64())).to_pylist()]
-                sizes = [0, *pc.cumulative_sum(pc.cast(pc.binary_length(tokens), pa.int64())).to_pylist()]
-                out = pa.array([joined[sizes[x]:sizes[y]] for x, y in zip(ends, ends[1:])], pa.binary())
+                _, ends, joined = tokens.buffers()  # the gathered tokens' bytes lie one after another
+                ends = np.frombuffer(ends, np.int64)[tokens.offset:tokens.offset + len(tokens) + 1]
+                cuts = ends[np.concatenate([[0], np.cumsum(lists.to_numpy(zero_copy_only=False))])]
+                out = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer((cuts - cuts[0]).astype(np.int32)),
+                                                                     joined.slice(int(cuts[0])) if joined else pa.py_buffer(b"")])
                 yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), out],
                                                  [*keep, bytes_col])
 
