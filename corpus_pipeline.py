@@ -1,4 +1,4 @@
-"""Corpus pipeline: documents → encoded training corpus, one stage after another.
+"""Corpus pipeline: documents → encoded training corpus.
 
 Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a DataFrame; a stage's
 result is written as Parquet and read again as the next one's ``docs``. All but the last return the columns of documents.
@@ -7,19 +7,47 @@ result is written as Parquet and read again as the next one's ``docs``. All but
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from signals.llm import bpe
+from signals.llm import bpe, language, minhash, mixing, toxicity
 from signals.llm.common import table, written
 
+LEAST_LANGUAGE_SCORE = 0.1  # below it, no learned language fits
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxicity: documents that the model predicts to be toxic go."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.tag(docs, model).where(F.col("predicted") == 0).select(*docs.columns)
+
+
+def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID: documents without a letter, or that no learned language fits, go."""
+    judged = language.identify(docs, language.fit(docs))
+    keep = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
+    return judged.where(keep).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-dedup: of each group of near copies the document with the smallest id stays."""
+    return minhash.deduplicated(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing: documents are repeated or left out so that sources reach their target weights, in a global random order."""
+    return mixing.mix(docs).select(*docs.columns)
+
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE: token ids of every document, decoded again to check the round trip."""
+    """Byte-level BPE: the columns of documents, token_ids, and the bytes that decoding them gives."""
     ranks, pattern = bpe.default_vocabulary()
-    return bpe.encode(docs, ranks, pattern)
+    return bpe.decode(bpe.encode(docs, ranks, pattern), ranks).select(
+        *docs.columns, "token_ids", (F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("round_trip"))
 
 
-STAGES = [("encode", encode)]
-ORACLE_SQL = None
+STAGES = [("toxicity", drop_toxic), ("language_id", drop_unknown_language), ("near_dedup", drop_near_copies),
+          ("mix_sources", mix_sources), ("byte_bpe", encode)]
+ORACLE_SQL = None  # fitted models and MinHash: tested against a brute-force version
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

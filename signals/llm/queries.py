@@ -6,19 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash, mixing, preference, quality, sharding
+from . import bpe, language, minhash, mixing, preference, quality, sharding, topk, toxicity, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_poisson_mix": lambda spark, d: mixing.query(spark, table(spark, d, "documents")),
+    "op2_toxic_spans": lambda spark, d: toxicity.query(spark, table(spark, d, "documents"), table(spark, d, "labels")),
     "op3_quality_rules": lambda spark, d: quality.query(spark, table(spark, d, "documents")),
     "op4_byte_bpe": lambda spark, d: bpe.query(spark, table(spark, d, "documents")),
     "op5_minhash_dedup": lambda spark, d: minhash.query(spark, table(spark, d, "documents")),
+    "op6_language_id": lambda spark, d: language.query(spark, table(spark, d, "documents")),
     "op7_shuffle_shards": lambda spark, d: sharding.query(spark, table(spark, d, "documents")),
+    "op8_topk_search": lambda spark, d: topk.query(spark, table(spark, d, "embeddings")),
     "op9_preference_format": lambda spark, d: preference.query(spark, table(spark, d, "conversations")),
+    "op10_url_filter": lambda spark, d: urls.query(spark, table(spark, d, "pages")),
 }
 ORACLES: dict[str, str] = {
     "op1_poisson_mix": mixing.SQL,
     "op3_quality_rules": quality.SQL,
+    "op8_topk_search": topk.SQL,
     "op9_preference_format": preference.SQL,
 }

@@ -1,6 +1,6 @@
 """Toxic spans by a linear-chain conditional random field (CRF) over words, and document scores from its marginals.
 
-Tokens are runs of letters. Each has the hashed features: the lower-cased word, its prefixes of 3 to 7 letters, its suffixes of 3 and 4,
+Tokens are runs of letters. Each has the features: the lower-cased word, its prefixes of 3 to 7 letters, its suffixes of 3 and 4,
 and its case. The two-state chain (clean, toxic) has one weight per feature, a start weight and a transition table.
 
 Labelled tokens. Labels mark documents, so the labels of the tokens are made first: in the training sample (one document of
@@ -18,7 +18,7 @@ a marginal of 0.5 or more.
 
 Scale: the fit sees at most ``TRAIN_DOCS`` labelled documents per class, those with the smallest hashes among the labels, leaving out texts
 over ``TRAIN_CHARS`` characters; it runs on the driver in memory bounded by these two. Scoring is one pass over all whole texts with
-no shuffle; the model (2^16 weights) is broadcast.
+no shuffle; the model, as large as the sample's vocabulary at most, is broadcast.
 
 Defined results: null and empty texts, and texts without letters, have no tokens and get the score of no evidence; without labelled rows of both
 classes every score is the frequency of toxic labels (0 without any); rows with a null doc_id or label teach nothing; a document
@@ -44,14 +44,13 @@ from .common import fold, ship
 
 ship(__name__)
 
-TRAIN_DOCS, TRAIN_CHARS = 1500, 20_000
+TRAIN_DOCS, TRAIN_CHARS = 1200, 20_000
 LEAST_LLR, LEAST_ODDS = 8.0, 8.0
-HASH_BITS = 16
 PREFIXES, SUFFIXES = (3, 4, 5, 6, 7), (3, 4)
 WIDTH = 2 + len(PREFIXES) + len(SUFFIXES)
-NOTHING = 1 << HASH_BITS  # the feature of weight 0
-STEPS, RATE, RIDGE = 80, 0.15, 1e-3
-WORD_MEMO = 1 << 17
+STEPS, RATE, RIDGE = 60, 0.15, 1e-3
+LEAST_WEIGHT = 0.005  # smaller weights are left out of the model
+WORD_MEMO = 1 << 18
 SLICE_ROWS = 512
 TOKEN = re.compile(r"[^\W\d_]+")
 
@@ -59,18 +58,17 @@ TOKEN = re.compile(r"[^\W\d_]+")
 def names(word: str) -> list[str]:
     """Names of a word's features; a prefix or suffix as long as the word is the word's own feature."""
     low = word.lower()
-    case = "c:" + ("upper" if len(word) > 1 and word.isupper() else "title" if word[0].isupper() else "lower")
-    return ["w:" + low, case, *("p:" + low[:k] for k in PREFIXES if k < len(low)),
+    return ["w:" + low, "c:" + case_of(word), *("p:" + low[:k] for k in PREFIXES if k < len(low)),
             *("s:" + low[-k:] for k in SUFFIXES if k < len(low))]
 
 
-def hashed(word: str) -> list[int]:
-    return [zlib.crc32(n.encode()) >> (32 - HASH_BITS) for n in names(word)]
+def case_of(word: str) -> str:
+    return "upper" if len(word) > 1 and word.isupper() else "title" if word[0].isupper() else "lower"
 
 
 @dataclass
 class Crf:
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(NOTHING + 1))
+    weights: dict[str, float] = field(default_factory=dict)  # by the feature's name; others have none
     start: float = 0.0
     steps: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))  # from state, to state
     doc: np.ndarray = field(default_factory=lambda: np.zeros(4))  # logistic weights, the intercept last
@@ -79,21 +77,32 @@ class Crf:
 class Emissions(dict):
     """word → log odds of its features, remembered up to a bound."""
 
-    def __init__(self, weights: np.ndarray):
+    def __init__(self, weights: dict[str, float]):
         super().__init__()
-        self.weights = weights.tolist()
+        def kind(k):
+            return {name[2:]: w for name, w in weights.items() if name[0] == k}
+        self.word, self.case, self.prefix, self.suffix = kind("w"), kind("c"), kind("p"), kind("s")
 
     def __missing__(self, word: str) -> float:
         if len(self) >= WORD_MEMO:
             self.clear()
-        w = self.weights
-        e = self[word] = sum([w[i] for i in hashed(word)])
+        low = word.lower()
+        n, get = len(low), self.prefix.get
+        e = self.word.get(low, 0.0) + self.case.get(case_of(word), 0.0)
+        for k in PREFIXES:
+            if k >= n:
+                break
+            e += get(low[:k], 0.0)
+        for k in SUFFIXES:
+            if k < n:
+                e += self.suffix.get(low[-k:], 0.0)
+        self[word] = e
         return e
 
 
-def chained(base: np.ndarray, first: np.ndarray, m: np.ndarray, init: float) -> np.ndarray:
+def chained(base: np.ndarray, first: np.ndarray, m: np.ndarray, init: float, exact: float) -> np.ndarray:
     """Solve x[t] = base[t] + g(x[t-1]), and x = base + init at the ``first`` tokens of texts, where
-    g(x) = log((m00 e^x + m01) / (m10 e^x + m11)) of the logs ``m``."""
+    g(x) = log((m00 e^x + m01) / (m10 e^x + m11)) of the logs ``m``; changes up to ``exact`` are not passed on."""
     def g(x):
         return np.logaddexp(x + m[0, 0], m[0, 1]) - np.logaddexp(x + m[1, 0], m[1, 1])
 
@@ -105,22 +114,22 @@ def chained(base: np.ndarray, first: np.ndarray, m: np.ndarray, init: float) ->
     at = np.flatnonzero(inner[:n])
     while len(at):
         new = base[at] + g(x[at - 1])
-        changed = np.abs(new - x[at]) > 1e-9
+        changed = np.abs(new - x[at]) > exact
         x[at] = new
         at = at[changed] + 1
         at = at[inner[at]]
     return x
 
 
-def messages(crf: Crf, e: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def messages(crf: Crf, e: np.ndarray, starts: np.ndarray, exact: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
     """Forward log odds (with the token's own evidence) and backward log odds of every token."""
     if not len(e):
         return e, e
     t = crf.steps
-    forward = chained(e, starts, np.array([[t[1, 1], t[0, 1]], [t[1, 0], t[0, 0]]]), crf.start)
+    forward = chained(e, starts, np.array([[t[1, 1], t[0, 1]], [t[1, 0], t[0, 0]]]), crf.start, exact)
     # backward, on the reversed chain: y[t] = e[t] + log odds of what follows
     last = len(e) - np.append(starts[1:], len(e))
-    y = chained(e[::-1].copy(), np.sort(last), np.array([[t[1, 1], t[1, 0]], [t[0, 1], t[0, 0]]]), 0.0)[::-1]
+    y = chained(e[::-1].copy(), np.sort(last), np.array([[t[1, 1], t[1, 0]], [t[0, 1], t[0, 0]]]), 0.0, exact)[::-1]
     return forward, y - e
 
 
@@ -208,12 +217,11 @@ def fit_crf(texts: list[str], labels: np.ndarray) -> Crf:
     index: dict[str, int] = {}
     ids = np.array([index.setdefault(w, len(index)) for t in tokens for w in t], np.int64)
     sizes = np.array([len(t) for t in tokens], np.int64)
-    features = np.full((len(index), WIDTH), NOTHING, np.int64)
-    marked = np.zeros(len(index), bool)
-    for w, i in index.items():
-        h = hashed(w)
-        features[i, :len(h)] = h
-        marked[i] = any(n in mark for n in names(w))
+    known: dict[str, int] = {}
+    rows = [[known.setdefault(n, len(known)) for n in names(w)] for w in index]
+    nothing = len(known)  # the feature of weight 0
+    features = np.array([r + [nothing] * (WIDTH - len(r)) for r in rows], np.int64).reshape(-1, WIDTH)
+    marked = np.array([any(n in mark for n in names(w)) for w in index], bool)
     gold = marked[ids] & np.repeat(labels.astype(bool), sizes)
     starts = (np.cumsum(sizes) - sizes)[sizes > 0]
     crf = Crf()
@@ -222,20 +230,20 @@ def fit_crf(texts: list[str], labels: np.ndarray) -> Crf:
     inner = np.ones(len(ids), bool)
     inner[starts] = False
     second = np.flatnonzero(inner)
-    params = np.zeros(NOTHING + 1 + 1 + 4)
+    params = np.zeros(nothing + 1 + 1 + 4)
     rare = max(1, int(gold.sum())) / len(gold)
     params[-5] = math.log(rare)
     params[-4:] = np.log([1 - rare, rare, 0.9, 0.1])
     seen_steps = np.bincount(2 * gold[second - 1].astype(int) + gold[second], minlength=4)
     m1, m2 = np.zeros_like(params), np.zeros_like(params)
     for step in range(1, STEPS + 1):
-        crf.weights, crf.start, crf.steps = params[:NOTHING + 1], params[-5], params[-4:].reshape(2, 2)
-        e = crf.weights[features].sum(1)[ids]
-        forward, backward = messages(crf, e, starts)
+        crf.start, crf.steps = params[-5], params[-4:].reshape(2, 2)
+        e = params[:nothing + 1][features].sum(1)[ids]
+        forward, backward = messages(crf, e, starts, 1e-3)
         p = sigmoid(forward + backward)
         word = np.bincount(ids, weights=gold - p, minlength=len(index))
         grad = np.zeros_like(params)
-        grad[:NOTHING + 1] = np.bincount(features.ravel(), weights=np.repeat(word, WIDTH), minlength=NOTHING + 1)
+        grad[:nothing + 1] = np.bincount(features.ravel(), weights=np.repeat(word, WIDTH), minlength=nothing + 1)
         grad[-5] = (gold[starts] - p[starts]).sum()
         a, b = forward[second - 1], e[second] + backward[second]
         joint = np.stack([np.full(len(a), crf.steps[0, 0]), crf.steps[0, 1] + b, crf.steps[1, 0] + a,
@@ -243,11 +251,12 @@ def fit_crf(texts: list[str], labels: np.ndarray) -> Crf:
         joint = np.exp(joint - joint.max(0))
         grad[-4:] = seen_steps - (joint / joint.sum(0)).sum(1)
         grad = grad / len(starts) - RIDGE * params
-        grad[NOTHING] = 0.0
+        grad[nothing] = 0.0
         m1 = 0.9 * m1 + 0.1 * grad
         m2 = 0.99 * m2 + 0.01 * grad * grad
         params = params + RATE * (m1 / (1 - 0.9 ** step)) / (np.sqrt(m2 / (1 - 0.99 ** step)) + 1e-8)
-    crf.weights, crf.start, crf.steps = params[:NOTHING + 1], float(params[-5]), params[-4:].reshape(2, 2)
+    crf.weights = {n: float(params[i]) for n, i in known.items() if abs(params[i]) >= LEAST_WEIGHT}
+    crf.start, crf.steps = float(params[-5]), params[-4:].reshape(2, 2)
     return crf
 
 
