@@ -13,8 +13,8 @@ base ``BINS`` (two or three). One vector that very many rows share fills one bin
 of equal scores. The prepared vectors and the intervals are tables in the shared folder.
 
 Defined results: a null vec_id, a null vector, or one that holds a null, non-finite or huge (64 · |x| ≥ 2^53) component takes no part; rows that
-repeat a vec_id count once, with the smallest vector; a query is scored against vectors of its own length only; a query with fewer than k candidates gets all; scores that do not
-fit 64 bits are an error of the data and wrap; an empty table gives no rows. Extra columns are not read.
+repeat a vec_id count once, with the smallest vector; a query is scored against vectors of its own length only; a query with fewer than k candidates gets all; scores must lie
+within ±2^61; an empty table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
