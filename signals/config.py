@@ -45,9 +45,7 @@ MODEL_FEATURES = [
 READINESS_HIGH = 65.0
 READINESS_MODERATE = 40.0
 CONFIDENCE_HIGH = 60.0
-CONFIDENCE_LOW = 35.0  # kept for completeness; no rule reads it
 DELIVERY_COMPLEXITY_LOW_TO_MODERATE = 0.55
-DELIVERY_COMPLEXITY_HIGH = 0.55  # kept for completeness; no rule reads it
 CLUSTER_REPEATABILITY_HIGH = 0.55
 PILOT_URGENCY_THRESHOLD = 0.65
 PILOT_BUDGET_THRESHOLD = 0.55
@@ -156,6 +154,9 @@ class Config:
     gbt_depth: int = GBT_PARAMS["max_depth"]
     gbt_subsample: float = GBT_PARAMS["subsample"]
     cv_folds: int = CV_FOLDS
+    #: partitions of the inputs of the iterative fits (k-means matrix, GBT training frame); a cluster sets it to
+    #: about its number of cores
+    fit_partitions: int = 2
 
 
 DEFAULT = Config()

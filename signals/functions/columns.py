@@ -51,11 +51,6 @@ def round6(c: str | Column) -> Column:
     return F.round(col(c), 6)
 
 
-def row_max(cols: Iterable[str | Column]) -> Column:
-    """Largest non-null value of several columns (pandas ``max(axis=1)``)."""
-    return F.greatest(*[col(c) for c in cols])
-
-
 def row_mean(cols: Iterable[str | Column]) -> Column:
     """Mean of the non-null values of several columns; NULL if all are NULL."""
     cs = [col(c) for c in cols]
@@ -67,12 +62,3 @@ def row_mean(cols: Iterable[str | Column]) -> Column:
 def fixed(c: str | Column, digits: int) -> Column:
     """Number → text with ``digits`` decimals (decimal half-up, same in the SQL oracle)."""
     return F.round(col(c).cast("decimal(38,9)"), digits).cast("string")
-
-
-def weighted_sum(terms: dict[str, float], fill: float | None = 0.0) -> Column:
-    """Σ w·col, NULL terms replaced by ``fill``."""
-    acc = F.lit(0.0)
-    for name, w in terms.items():
-        c = F.col(name) if fill is None else F.coalesce(F.col(name), F.lit(fill))
-        acc = acc + F.lit(w) * c
-    return acc

@@ -1,26 +1,19 @@
 """Scalar statistics over whole frames, written so no step holds a whole column.
 
-* ``min_max`` / ``zscore`` use scalar subqueries: the one-row aggregate is
+* ``min_max`` uses a scalar subquery: the one-row aggregate is
   planned by Catalyst (partial + final aggregation) and inlined, no join.
-* ``exact_quantiles`` narrows the rank range with bounded histograms; the driver
-  never receives more than ``max_collect`` values or ``buckets`` counts.
-* ``mode_value`` counts per value (a distributed shuffle) and keeps the best
-  (count, value) pair with a global ``min(struct)`` — bounded state.
+* ``exact_medians`` and ``mode_values`` count the values of all columns at once (a
+  distributed shuffle) and rank or compare the counts; the driver receives one
+  row per column, whatever the size of the table.
 """
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .columns import safe_div
-
-
-def scalar(df: DataFrame, expr: Column) -> Column:
-    """``expr`` aggregated over ``df`` as a scalar-subquery column."""
-    return df.select(expr).scalar()
+from ..session import checkpoint
+from .columns import nan_to_null, safe_div
 
 
 def min_max(df: DataFrame, c: str, neutral: float = 0.5) -> Column:
@@ -31,13 +24,6 @@ def min_max(df: DataFrame, c: str, neutral: float = 0.5) -> Column:
     return F.when(hi == lo, F.lit(neutral)).otherwise(safe_div(F.col(c) - lo, hi - lo))
 
 
-def zscore(df: DataFrame, c: str) -> Column:
-    """(x − mean)/population std; a zero std gives 0."""
-    mu = scalar(df, F.avg(c))
-    sd = scalar(df, F.stddev_pop(c))
-    return F.when(sd == 0, F.lit(0.0)).otherwise(safe_div(F.col(c) - mu, sd))
-
-
 def null_counts(df: DataFrame, cols: list[str], with_rows: bool = False):
     """Number of NULLs per column in one pass (one row comes back); with
     ``with_rows`` also the row count."""
@@ -49,102 +35,50 @@ def null_counts(df: DataFrame, cols: list[str], with_rows: bool = False):
     return (counts, int(row["__rows"])) if with_rows else counts
 
 
-def mode_value(df: DataFrame, c: str):
-    """Most frequent non-null value; the smallest one among ties; None if all NULL."""
-    counts = df.where(F.col(c).isNotNull()).groupBy(c).count()
-    best = counts.select(F.min(F.struct((-F.col("count")).alias("neg_n"), F.col(c).alias("v"))).alias("b"))
-    row = best.first()
-    return None if row is None or row["b"] is None else row["b"]["v"]
+def value_counts(df: DataFrame, cols: list[str], kind: str) -> DataFrame:
+    """(column, value, n): the non-null values of several columns, cast to one type, with their counts.
 
+    One pass over the table and one shuffle of (column, value) with a map-side partial count.
+    """
+    wide = df.select(*[F.col(c).cast(kind).alias(c) for c in cols])
+    return (wide.unpivot([], cols, "column", "value").where(F.col("value").isNotNull())
+            .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
 
-MAX_COLLECT = 1_000_000  # values a driver may receive for an exact order statistic (8 MB of doubles)
 
+def mode_values(df: DataFrame, cols: list[str]) -> dict[str, str | None]:
+    """Most frequent non-null value of each column as text, the smallest one among ties; None if all NULL."""
+    if not cols:
+        return {}
+    best = value_counts(df, cols, "string").groupBy("column").agg(
+        F.min(F.struct((-F.col("n")).alias("neg_n"), F.col("value").alias("v"))).alias("b"))
+    found = {r["column"]: r["b"]["v"] for r in best.collect()}  # one row per column
+    return {c: found.get(c) for c in cols}
 
-def exact_quantiles(df: DataFrame, c: str, ranks: list[int], buckets: int = 1000,
-                    max_collect: int = MAX_COLLECT) -> dict[int, float]:
-    """Exact order statistics (0-based ``ranks`` among the non-null values).
 
-    Each round: one aggregate gives count/min/max and approximate cut points of
-    the current value range, one Bucketizer pass counts rows per bucket; the
-    search continues inside each bucket that holds a wanted rank. When at most
-    ``max_collect`` values remain, they are collected and indexed directly.
-    """
-    v = df.select(F.col(c).cast("double").alias("v")).where(F.col("v").isNotNull())
-    out: dict[int, float] = {}
-    probs = [i / buckets for i in range(1, buckets)]
-
-    def narrow(lo, hi, offset: int, want: list[int]) -> None:
-        # values in [lo, hi) (None = open), ``offset`` values lie below lo
-        sub = v
-        if lo is not None:
-            sub = sub.where(F.col("v") >= lo)
-        if hi is not None:
-            sub = sub.where(F.col("v") < hi)
-        stats = sub.agg(
-            F.count("v").alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx"),
-            F.percentile_approx("v", probs, 10 * buckets).alias("cuts"),
-        ).first()
-        n, mn, mx = stats["n"], stats["mn"], stats["mx"]
-        if n == 0:
-            return
-        if mn == mx:
-            out.update({k: mn for k in want})
-            return
-        if n <= max_collect:
-            vals = sorted(r["v"] for r in sub.collect())
-            out.update({k: vals[k - offset] for k in want})
-            return
-        # mn and mx are always cut points, so every bucket is a strict sub-range
-        cuts = sorted({x for x in stats["cuts"] if mn <= x <= mx} | {mn, mx})
-        splits = [float("-inf")] + cuts + [float("inf")]
-        b = Bucketizer(splits=splits, inputCol="v", outputCol="b")
-        hist = {int(r["b"]): int(r["n"])
-                for r in b.transform(sub).groupBy("b").agg(F.count("*").alias("n")).collect()}
-        groups: dict[int, list[int]] = {}
-        below: dict[int, int] = {}
-        cum = 0
-        for bi in range(len(splits) - 1):
-            cnt = hist.get(bi, 0)
-            for k in want:
-                if cum <= k - offset < cum + cnt:
-                    groups.setdefault(bi, []).append(k)
-                    below[bi] = cum
-            cum += cnt
-        for bi, ks in groups.items():
-            new_lo, new_hi = splits[bi], splits[bi + 1]
-            narrow(None if new_lo == float("-inf") else new_lo, None if new_hi == float("inf") else new_hi,
-                   offset + below[bi], ks)
-
-    narrow(None, None, 0, sorted(set(ranks)))
-    return out
-
-
-def exact_median(df: DataFrame, c: str, **kw) -> float | None:
-    """Median of the non-null values (mean of the two middle values for even n)."""
-    n = df.where(F.col(c).isNotNull()).count()
-    if n == 0:
-        return None
-    ranks = [(n - 1) // 2, n // 2]
-    q = exact_quantiles(df, c, ranks, **kw)
-    return (q[ranks[0]] + q[ranks[1]]) / 2.0
-
-
-def exact_medians(df: DataFrame, cols: list[str], n_rows: int | None = None,
-                  max_collect: int = MAX_COLLECT) -> dict[str, float | None]:
-    """Exact medians of several numeric columns.
-
-    A table of at most ``max_collect`` rows is fetched once (Arrow batches, only
-    these columns) and every median is taken from it; a larger table gets the
-    bounded histogram search per column.
+def exact_medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
+    """Exact medians of the non-null, non-NaN values (mean of the two middle values); None without any.
+
+    The value counts of all columns are range-partitioned by (column, value) and checkpointed; a value's rank is the
+    number of rows in its column's earlier partitions (one row per column and partition) plus the running count inside its partition. The same plan
+    at every size; the driver receives one row per column.
     """
     if not cols:
         return {}
-    n = df.count() if n_rows is None else n_rows
-    if n <= max_collect:
-        pdf = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).toPandas()
-        out = {}
-        for c in cols:
-            s = pdf[c].dropna().to_numpy()
-            out[c] = None if len(s) == 0 else float(np.median(s))
-        return out
-    return {c: exact_median(df, c, max_collect=max_collect) for c in cols}
+    counts = value_counts(df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in cols]), cols, "double")
+    placed = checkpoint(counts.repartitionByRange("column", "value").sortWithinPartitions("column", "value")
+                        .withColumn("part", F.spark_partition_id()))
+    per_part = placed.groupBy("column", "part").agg(F.sum("n").alias("in_part"))
+    column = Window.partitionBy("column")
+    earlier = column.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_part.select("column", "part", F.coalesce(F.sum("in_part").over(earlier), F.lit(0)).alias("before"),
+                              F.sum("in_part").over(column).alias("total"))
+    inside = Window.partitionBy("column", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = placed.withColumn("upto", F.sum("n").over(inside)).join(offsets, ["column", "part"])
+    last = F.col("before") + F.col("upto")
+
+    def holds(rank):
+        return F.max(F.when((last - F.col("n") <= rank) & (rank < last), F.col("value")))
+
+    middle = ranked.groupBy("column").agg(holds(F.expr("(total - 1) div 2")).alias("a"), holds(F.expr("total div 2")).alias("b"))
+    found = {r["column"]: (r["a"] + r["b"]) / 2.0 for r in middle.collect()}
+    return {c: found.get(c) for c in cols}

@@ -43,16 +43,16 @@ def segment_entropy(demo: DataFrame, key: str = KEY, segment: str = "segment") -
     """Shannon entropy of the segment shares per key, divided by ln(#segments seen).
 
     Two grouped aggregations, no per-group Python: H = ln N − Σ n·ln n / N.
-    One segment gives 0.
+    One segment gives 0, and so do rows without any segment.
     """
-    counts = demo.where(F.col(segment).isNotNull()).groupBy(key, segment).agg(F.count(F.lit(1)).alias("n"))
+    counts = demo.groupBy(key, segment).agg(F.count(segment).alias("n"))
     per = counts.groupBy(key).agg(
         F.sum("n").alias("n_total"),
-        F.sum(F.col("n") * F.log(F.col("n"))).alias("n_log_n"),
-        F.count(F.lit(1)).alias("n_segments"),
+        F.sum(F.when(F.col("n") > 0, F.col("n") * F.log(F.col("n")))).alias("n_log_n"),
+        F.count(segment).alias("n_segments"),
     )
-    h = F.log(F.col("n_total")) - F.col("n_log_n") / F.col("n_total")
-    norm = F.when(F.col("n_segments") > 1, h / F.log(F.col("n_segments"))).otherwise(F.lit(0.0))
+    h = F.log(F.col("n_total")) - F.try_divide(F.col("n_log_n"), F.col("n_total"))
+    norm = F.when(F.col("n_segments") > 1, F.try_divide(h, F.log(F.col("n_segments")))).otherwise(F.lit(0.0))
     return per.select(key, F.least(F.greatest(norm, F.lit(0.0)), F.lit(1.0)).alias("segment_similarity_raw"),
                       "n_segments")
 
@@ -94,7 +94,7 @@ def outer_union(frames: list[DataFrame], key: str = KEY) -> DataFrame:
     """Align frames that each hold at most one row per key on the union of their keys.
 
     Written as ``unionByName`` + one ``groupBy(key)`` keeping the single non-null
-    value per column: each input is computed once and the rows are shuffled
+    value per column (the largest, should a key have several): each input is computed once and the rows are shuffled
     once, where a chain of full outer joins would re-shuffle the growing rows
     after every join (a full outer join's output partitioning is unknown).
     """
@@ -104,7 +104,7 @@ def outer_union(frames: list[DataFrame], key: str = KEY) -> DataFrame:
     u = frames[0]
     for f in frames[1:]:
         u = u.unionByName(f, allowMissingColumns=True)
-    return u.groupBy(key).agg(*[F.first(c, ignorenulls=True).alias(c) for c in cols])
+    return u.groupBy(key).agg(*[F.max(c).alias(c) for c in cols])
 
 
 def portfolio_stats(concepts: DataFrame, demo: DataFrame, usage: DataFrame, commercial: DataFrame,

@@ -1,9 +1,9 @@
 """Table cleaning: impute → clip to valid range → coerce declared booleans.
 
-Imputation statistics are exact and computed without holding a column in one
-place: the median by bounded histogram narrowing, the mode by a per-value count
-(see ``functions.stats``). Only columns that contain NULLs are imputed (one
-pass counts the NULLs of every column).
+NaN counts as NULL. Imputation statistics are exact and computed without holding
+a column in one place: medians and modes of all columns from one count of their
+values each (see ``functions.stats``), by the same plan at every table size. Only
+columns that contain NULLs are imputed (one pass counts the NULLs of every column).
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
-from ..functions.columns import clip
-from ..functions.stats import exact_medians, mode_value, null_counts
+from ..functions.columns import clip, nan_to_null
+from ..functions.stats import exact_medians, mode_values, null_counts
 
 log = logging.getLogger(__name__)
 
@@ -28,25 +28,30 @@ def imputation_values(df: DataFrame, exclude: tuple = ()) -> dict:
     """Fill value per column that has NULLs: median for numbers, smallest most
     frequent value otherwise; an all-NULL text column gets 'UNKNOWN', an all-NULL
     numeric column has no median and stays NULL."""
+    df = without_nan(df)
     types = {f.name: f.dataType for f in df.schema.fields}
     cols = [c for c in df.columns if c not in exclude]
     nulls, n_rows = null_counts(df, cols, with_rows=True)
-    with_nulls = [c for c in cols if nulls[c] > 0]
-    numeric = [c for c in with_nulls if isinstance(types[c], _NUMERIC)]
-    medians = exact_medians(df, numeric, n_rows)
-    fills = {c: m for c, m in medians.items() if m is not None}
-    for c in with_nulls:
-        if c not in numeric:
-            m = mode_value(df, c)
-            if m is None and isinstance(types[c], T.StringType):
-                m = "UNKNOWN"
-            if m is not None:
-                fills[c] = m
-        log.debug("impute %s with %r", c, fills.get(c))
+    some = [c for c in cols if 0 < nulls[c] < n_rows]  # an all-NULL column has neither median nor mode
+    fills: dict = {c: m for c, m in exact_medians(df, [c for c in some if isinstance(types[c], _NUMERIC)]).items()
+                   if m is not None}
+    for c, m in mode_values(df, [c for c in some if not isinstance(types[c], _NUMERIC)]).items():
+        fills[c] = m if isinstance(types[c], T.StringType) else F.lit(m).cast(types[c])
+    for c in cols:
+        if n_rows and nulls[c] == n_rows and isinstance(types[c], T.StringType):
+            fills[c] = "UNKNOWN"
+    log.debug("impute %s", fills)
     return fills
 
 
+def without_nan(df: DataFrame) -> DataFrame:
+    """NaN → NULL in every float column (NaN would be neither imputed nor clipped, as it compares as the largest value)."""
+    floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
+    return df.select(*[nan_to_null(c).alias(c) if c in floats else F.col(c) for c in df.columns])
+
+
 def impute(df: DataFrame, exclude: tuple = (), fills: dict | None = None) -> DataFrame:
+    df = without_nan(df)
     fills = imputation_values(df, exclude) if fills is None else fills
     return df.select(*[F.coalesce(F.col(c), F.lit(fills[c])).alias(c) if c in fills else F.col(c)
                        for c in df.columns])
@@ -54,20 +59,17 @@ def impute(df: DataFrame, exclude: tuple = (), fills: dict | None = None) -> Dat
 
 def impute_median(df: DataFrame, cols: list[str]) -> DataFrame:
     """NULLs of the numeric ``cols`` → exact column median (mean of the two middle values)."""
-    nulls, n_rows = null_counts(df, cols, with_rows=True)
-    medians = exact_medians(df, [c for c in cols if nulls[c] > 0], n_rows)
+    nulls = null_counts(without_nan(df), cols)
+    medians = exact_medians(df, [c for c in cols if nulls[c] > 0])
     return impute(df, fills={c: m for c, m in medians.items() if m is not None})
 
 
 def impute_mode(df: DataFrame, cols: list[str]) -> DataFrame:
     """NULLs of ``cols`` → the smallest most frequent value ('UNKNOWN' when all NULL)."""
-    nulls = null_counts(df, cols)
-    fills = {}
-    for c in cols:
-        if nulls[c] > 0:
-            m = mode_value(df, c)
-            fills[c] = "UNKNOWN" if m is None else m
-    return impute(df, fills=fills)
+    nulls = null_counts(without_nan(df), cols)
+    types = {f.name: f.dataType for f in df.schema.fields}
+    modes = mode_values(without_nan(df), [c for c in cols if nulls[c] > 0])
+    return impute(df, fills={c: "UNKNOWN" if m is None else F.lit(m).cast(types[c]) for c, m in modes.items()})
 
 
 def clip_to_range(df: DataFrame, ranges: dict[str, tuple[float, float]]) -> DataFrame:

@@ -37,12 +37,12 @@ def cluster_repeatability_score(labeled: DataFrame, cluster: str = "cluster_id",
     """Adds ``cluster_repeatability_score``: the cluster's mean repeatability,
     min-max scaled over the clusters; all equal → 0.5.
 
-    The per-cluster table has at most k rows (k ≤ k_max), so it is broadcast.
+    The per-cluster table joins by Spark's own choice: it is small for k-means labels, but any label column will do.
     """
     cm = cluster_means(labeled, col, cluster)
     b = cm.select(F.struct(F.min("cluster_mean_repeat").alias("lo"),
                            F.max("cluster_mean_repeat").alias("hi"))).scalar()
-    j = labeled.join(F.broadcast(cm), cluster, "left").withColumn("_b", b)
+    j = labeled.join(cm, cluster, "left").withColumn("_b", b)
     lo, hi = F.col("_b").getField("lo"), F.col("_b").getField("hi")
     score = F.when(hi > lo, safe_div(F.col("cluster_mean_repeat") - lo, hi - lo)).otherwise(F.lit(0.5))
     return j.withColumn("cluster_repeatability_score", score).drop("cluster_mean_repeat", "_b")
@@ -81,13 +81,13 @@ from ..session import checkpoint  # noqa: E402
 VEC = "cluster_vec"
 
 
-def cluster_matrix(features: DataFrame, cols: list[str], key: str = KEY) -> DataFrame:
+def cluster_matrix(features: DataFrame, cols: list[str], key: str = KEY, cfg: Config = DEFAULT) -> DataFrame:
     """Standardised cluster features as one vector column, materialised once for
     the many k-means passes (checkpointed: the iterative fits read it from the
     shared folder, so a lost executor does not replay the feature lineage)."""
     z = standardize(features, cols, key)
     vec = VectorAssembler(inputCols=[c + "_z" for c in cols], outputCol=VEC).transform(z).select(key, VEC)
-    return checkpoint(vec, size_by_rows=True).persist(StorageLevel.MEMORY_AND_DISK)
+    return checkpoint(vec, cfg.fit_partitions, key).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _fit_one(matrix: DataFrame, k: int, seed: int):
@@ -154,7 +154,7 @@ def fit_clusters(features: DataFrame, key: str = KEY, cfg: Config = DEFAULT) ->
     if len(cols) < 2:
         return (features.withColumn("cluster_id", F.lit(0)).withColumn("cluster_repeatability_score", F.lit(0.5)),
                 {"k": 1, "scores": {}})
-    matrix = cluster_matrix(features, cols, key)
+    matrix = cluster_matrix(features, cols, key, cfg)
     k, scores, models = select_optimal_k(matrix, cfg.k_min, cfg.k_max, cfg.n_init, cfg.seed, with_models=True)
     model = models.get(k) or kmeans_fit(matrix, k, cfg.n_init, cfg.seed)
     labels = model.transform(matrix).select(key, F.col("cluster_id").cast("int").alias("cluster_id"))

@@ -44,7 +44,7 @@ def cluster_tightness(labeled: DataFrame, ids: DataFrame, key: str = KEY, cfg: C
     if (cluster not in labeled.columns or "cluster_repeatability_score" not in labeled.columns or not feats):
         return ids.select(key, F.lit(0.5).alias("cluster_tightness"))
     spread = cluster_spread(labeled, feats, cluster)
-    per_id = labeled.select(key, cluster).join(F.broadcast(spread), cluster, "left")
+    per_id = labeled.select(key, cluster).join(spread, cluster, "left")
     t = F.lit(1.0) - clip(F.coalesce(F.col("cluster_spread"), F.lit(0.5)), 0.0, 1.0)
     out = ids.select(key).join(per_id.select(key, t.alias("cluster_tightness")), key, "left")
     return out.select(key, F.coalesce(F.col("cluster_tightness"), F.lit(0.5)).alias("cluster_tightness"))

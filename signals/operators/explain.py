@@ -1,8 +1,8 @@
 """Per-concept feature contributions: evidence lists, global importance, waterfall.
 
-Contributions are kept in long form ``(key, feature, feature_value, shap_value)``
-so every step is a grouped/partitioned operation over at most one row per
-feature and concept. ``tree_shap`` (exact Tree SHAP for the GBT model) lives
+Contributions come in wide form (one row per concept); evidence is picked inside the
+row, and only what groups by feature uses the long form ``(key, feature,
+feature_value, shap_value)``. ``tree_shap`` (exact Tree SHAP for the GBT model) lives
 in ``operators.treeshap``.
 """
 
@@ -26,7 +26,7 @@ def to_long(wide: DataFrame, features: list[str], key: str = KEY, shap_suffix: s
 
 
 def given_contributions(features: DataFrame, key: str = KEY, cfg: Config = DEFAULT) -> tuple[DataFrame, Column]:
-    """Deterministic stand-in for model attributions: w_f · (x_f − mean x_f), x = feature
+    """Deterministic stand-in for model attributions, in wide form: w_f · (x_f − mean x_f), x = feature
     with NULL as 0, w = readiness-label weight (0 for unweighted features); the
     base value is the mean rule label, so base + Σ contributions = label."""
     feats = list(cfg.model_features)
@@ -37,27 +37,30 @@ def given_contributions(features: DataFrame, key: str = KEY, cfg: Config = DEFAU
                        for f in feats])
     label = sum((F.lit(w) * F.col(f) for f, w in cfg.label_weights.items() if f in feats), F.lit(0.0))
     base = x.select(F.avg(label)).scalar()
-    return to_long(wide, feats, key), base
-
-
-def top_features(contrib: DataFrame, n: int = DEFAULT.top_n, key: str = KEY) -> DataFrame:
-    """Top ``n`` features per key by |contribution| (ties: feature name), values rounded
-    to 4 places; direction 'positive' iff the contribution is > 0."""
-    w = Window.partitionBy(key).orderBy(F.desc(F.abs("shap_value")), F.asc("feature"))
-    ranked = contrib.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-    return ranked.select(
-        key, "rank", "feature", dround("shap_value", 4).alias("shap_value"),
-        dround("feature_value", 4).alias("feature_value"),
-        F.when(F.col("shap_value") > 0, "positive").otherwise("negative").alias("direction"))
-
-
-def evidence(top: DataFrame, key: str = KEY) -> DataFrame:
-    """(key, evidence): the ranked top features as an array of structs (≤ n per key)."""
-    items = F.sort_array(F.collect_list(F.struct("rank", "feature", "shap_value", "feature_value", "direction")))
-    return top.groupBy(key).agg(items.alias("_e")).select(
-        key, F.transform("_e", lambda e: F.struct(e["feature"].alias("feature"), e["shap_value"].alias("shap_value"),
-                                                  e["feature_value"].alias("feature_value"),
-                                                  e["direction"].alias("direction"))).alias("evidence"))
+    return wide, base
+
+
+def evidence(wide: DataFrame, features: list[str], n: int = DEFAULT.top_n, key: str = KEY,
+             shap_suffix: str = "_shap") -> DataFrame:
+    """(key, evidence): the top ``n`` features of each row by |contribution| (ties: feature name) as an array of
+    structs, values rounded to 4 places; direction 'positive' iff the contribution is > 0.
+
+    The features of a key stand in one row, so they are sorted inside it: no explode, no shuffle.
+    """
+    items = F.array_sort(F.array(*[F.struct(
+        F.col(f + shap_suffix).isNull().alias("absent"), (-F.abs(F.col(f + shap_suffix).cast("double"))).alias("order"),
+        F.lit(f).alias("feature"), F.col(f + shap_suffix).cast("double").alias("shap_value"),
+        F.col(f).cast("double").alias("feature_value")) for f in features]))
+    return wide.select(key, F.transform(F.slice(items, 1, n), lambda e: F.struct(
+        e["feature"].alias("feature"), dround(e["shap_value"], 4).alias("shap_value"),
+        dround(e["feature_value"], 4).alias("feature_value"),
+        F.when(e["shap_value"] > 0, "positive").otherwise("negative").alias("direction"))).alias("evidence"))
+
+
+def top_features(ranked: DataFrame, key: str = KEY) -> DataFrame:
+    """The evidence as rows: key, rank (from 1), feature, shap_value, feature_value, direction."""
+    return ranked.select(key, F.posexplode("evidence").alias("pos", "e")).select(
+        key, (F.col("pos") + 1).alias("rank"), "e.feature", "e.shap_value", "e.feature_value", "e.direction")
 
 
 def global_importance(contrib: DataFrame) -> DataFrame:

@@ -68,8 +68,9 @@ class Explained:
 def explain_rule_portfolio(p: Portfolio, cfg: Config = DEFAULT) -> Explained:
     from ..operators import explain as xp
     from ..operators import narrate as nar
-    contrib, base = xp.given_contributions(p.features, K, cfg)
-    top = xp.top_features(contrib, cfg.top_n)
-    ev = xp.evidence(top)
+    wide, base = xp.given_contributions(p.features, K, cfg)
+    contrib = xp.to_long(wide, list(cfg.model_features), K)
+    ev = xp.evidence(wide, list(cfg.model_features), cfg.top_n, K)
+    top = xp.top_features(ev, K)
     narratives = nar.all_narratives(p.decision, ev, p.tables["concepts"], K, cfg)
     return Explained(contrib, base, top, ev, narratives)

@@ -6,7 +6,7 @@ operator over the whole tables and rounds doubles to 6 places (``finish``).
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as agg
@@ -296,11 +296,18 @@ def q_clean_table(spark, sf_dir):
     return finish(cln.clean_table("demo_signals", dirty(spark, sf_dir)["demo_signals"]))
 
 
+def _measures(t: str) -> list[str]:
+    """Numeric columns of a table that are not ids."""
+    return [c for c in S.TABLE_COLS[t] if c in SC.NUMERIC_RANGES.get(t, {})]
+
+
 def _load_clean_sql() -> str:
     parts = []
     for t, cols in S.TABLE_COLS.items():
         nn = " + ".join(f"CASE WHEN ({S.cleaned(c, t, S.DIRTY_NULLS[t])}) IS NULL THEN 1 ELSE 0 END" for c in cols)
-        parts.append(f"SELECT '{t}' AS table_name, count(*) AS n_rows, CAST(sum({nn}) AS BIGINT) AS n_null_values FROM {t}")
+        means = " + ".join(f"coalesce(avg(CAST(({S.cleaned(c, t, S.DIRTY_NULLS[t])}) AS DOUBLE)), 0.0)" for c in _measures(t)) or "0.0"
+        parts.append(f"SELECT '{t}' AS table_name, count(*) AS n_rows, CAST(sum({nn}) AS BIGINT) AS n_null_values, "
+                     f"round(CAST({means} AS DOUBLE), 3) AS sum_of_means FROM {t}")
     return " UNION ALL ".join(parts)
 
 
@@ -310,8 +317,10 @@ def q_load_clean(spark, sf_dir):
     frames = []
     for t, df in cleaned.items():
         nn = sum((F.when(F.col(c).isNull(), 1).otherwise(0) for c in df.columns), F.lit(0))
-        frames.append(df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(nn).cast("bigint").alias("n_null_values"))
-                      .select(F.lit(t).alias("table_name"), "n_rows", "n_null_values"))
+        means = sum((F.coalesce(F.avg(F.col(c).cast("double")), F.lit(0.0)) for c in _measures(t)), F.lit(0.0))
+        frames.append(df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(nn).cast("bigint").alias("n_null_values"),
+                             F.round(means, 3).alias("sum_of_means"))
+                      .select(F.lit(t).alias("table_name"), "n_rows", "n_null_values", "sum_of_means"))
     return qual.union_all(frames)
 
 
@@ -644,11 +653,21 @@ def q_train(spark, sf_dir):
     return spark.range(1).select(F.lit(len(s.model.trees)).cast("bigint").alias("n_trees"), F.lit(r2 > 0.5).alias("fits_train"))
 
 
-@query("cross_validate_r2")
+_K = CFG.cv_folds
+
+
+@query("cross_validate_r2", S.q(S.feature_ctes(), f"""
+SELECT {_K} AS n_folds, ({_N_FEAT}) AS n_rows, ({_N_FEAT}) // {_K} AS smallest_fold, (({_N_FEAT}) + {_K - 1}) // {_K} AS largest_fold,
+       true AS contiguous, true AS r2_ok"""))
 def q_cv(spark, sf_dir):
     s = scored_driver_tables(spark, sf_dir)
     mean, std, scores = rm.cross_validate_r2(s.train)
-    return spark.createDataFrame([(len(scores), float(mean), float(std))], "n_folds int, r2_mean double, r2_std double")
+    folds = rm.with_folds(s.train).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.min(K).alias("lo"), F.max(K).alias("hi"))
+    before = F.lag("hi").over(Window.orderBy("fold"))  # one row per fold
+    r2_ok = max(scores) <= 1.0 and mean > 0.2 and std >= 0.0
+    return folds.withColumn("apart", F.coalesce(F.col("lo") > before, F.lit(True))).agg(
+        F.count(F.lit(1)).cast("int").alias("n_folds"), F.sum("n").alias("n_rows"), F.min("n").alias("smallest_fold"),
+        F.max("n").alias("largest_fold"), F.min("apart").alias("contiguous"), F.lit(r2_ok).alias("r2_ok"))
 
 
 @query("feature_importance", "SELECT CAST(8 AS BIGINT) AS n_features, true AS sums_to_one")
@@ -658,10 +677,18 @@ def q_importance(spark, sf_dir):
     return imp.agg(F.count(F.lit(1)).alias("n_features"), (F.abs(F.sum("importance") - 1.0) < 1e-9).alias("sums_to_one"))
 
 
-@query("top_importance")
+@query("top_importance", """
+SELECT CAST(range AS INTEGER) AS rank, true AS is_model_feature, true AS descending, true AS same_as_importance FROM range(1, 7)""")
 def q_top_importance(spark, sf_dir):
     s = scored_driver_tables(spark, sf_dir)
-    return rep.top_importance(rm.importance_frame(spark, s.model), 6)
+    imp = rm.importance_frame(spark, s.model)
+    down = Window.orderBy(F.desc("importance"), "feature")  # 8 rows
+    whole = imp.select("feature", F.col("importance").alias("full"), F.row_number().over(down).alias("full_rank"))
+    top = rep.top_importance(imp, 6)
+    return top.withColumn("rank", F.row_number().over(down)).join(whole, "feature", "left").select(
+        "rank", F.col("feature").isin(*CFG.model_features).alias("is_model_feature"),
+        F.coalesce(F.lag("importance").over(Window.orderBy("rank")) >= F.col("importance"), F.lit(True)).alias("descending"),
+        ((F.col("rank") == F.col("full_rank")) & (F.col("importance") == F.col("full"))).alias("same_as_importance"))
 
 
 @query("shap_values", S.q(S.feature_ctes(), f"SELECT ({_N_FEAT}) AS n_rows, true AS additive_ok, true AS unused_zero"))
@@ -679,7 +706,7 @@ def q_shap(spark, sf_dir):
 
 @query("score_portfolio")
 def q_score_portfolio(spark, sf_dir):
-    return finish(outputs(scored_driver_tables(spark, sf_dir)))
+    return finish(outputs(scored_driver_tables(spark, sf_dir, fresh=True)))
 
 
 @query("score_portfolio_invariants", S.q(S.feature_ctes(), f"""
@@ -704,7 +731,7 @@ def q_incremental(spark, sf_dir):
     csv_cols = d.select(*[F.col(c).cast("int").alias(c) if c in S.BOOL_COLS else F.col(c) for c in d.columns])
     landing, sink = scratch_path(spark, "landing"), scratch_path(spark, "demo-table")
     # the whole table arrives as two deliveries (split by the parity of the demo day; every row lands once)
-    parity = F.dayofmonth("demo_date") % 2
+    parity = F.coalesce(F.dayofmonth("demo_date") % 2, F.lit(0))
     for p in (0, 1):
         csv_cols.where(parity == p).write.options(**tbl.CSV_OPTIONS).csv(f"{landing}/part{p}")
     schema = csv_cols.schema

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -30,14 +29,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide folder for written tables and checkpoints.
 
-    Read from ``spark.checkpoint.dir`` (or the context's checkpoint dir). Only when
-    neither is set, as in a bare local test session, a fresh folder is created and
-    registered as the checkpoint dir.
+    Read from ``spark.checkpoint.dir`` (or the context's checkpoint dir). When neither
+    is set, a session on a ``local`` master gets a fresh folder, registered as the
+    checkpoint dir; on any other master that is an error, because executors do
+    not see a folder of the driver's machine.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="signals-ckpt-")
         spark.sparkContext.setCheckpointDir(d)
     elif spark.sparkContext.getCheckpointDir() is None:
@@ -45,28 +47,19 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
-ROWS_PER_PARTITION = 500_000  # dense feature rows (~10 doubles): ≈ 50-100 MB per partition
-
-
-def checkpoint(df, size_by_rows: bool = False):
+def checkpoint(df, partitions: int | None = None, key: str | None = None):
     """Reliable checkpoint into the shared folder (eager): cuts lineage so a lost
     executor reloads the frame instead of replaying the plan.
 
-    With ``size_by_rows`` the partition count follows the row count
-    (⌈rows / ROWS_PER_PARTITION⌉): iterative fits run one job per iteration,
-    and many near-empty tasks per job would dominate their cost.
+    With ``partitions`` the rows are first hash-partitioned by ``key``: iterative
+    fits run one job per iteration, so the inputs of a fit get a partition count
+    of their own (``Config.fit_partitions``), which does not depend on the data.
     """
     from pyspark import StorageLevel
     shared_dir(df.sparkSession)
-    # the checkpoint job re-runs the plan after the counting job; keep one computation
-    src = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = src
-    if size_by_rows:
-        n = src.count()
-        target = max(1, -(-n // ROWS_PER_PARTITION))
-        cur = src.rdd.getNumPartitions()
-        out = src.coalesce(target) if target < cur else src.repartition(target)
-    out = out.checkpoint(eager=True)
+    # the checkpoint job re-runs the plan after the materialising job; keep one computation
+    src = (df if partitions is None else df.repartition(partitions, key)).persist(StorageLevel.MEMORY_AND_DISK)
+    out = src.checkpoint(eager=True)
     src.unpersist()
     return out
 
@@ -74,12 +67,3 @@ def checkpoint(df, size_by_rows: bool = False):
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A unique path below the shared folder for one written table."""
     return f"{shared_dir(spark)}/signals/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def is_local_path(path: str) -> bool:
-    return path.startswith("file:") or path.startswith("/") or "://" not in path
-
-
-def ensure_parent(path: str) -> None:
-    if is_local_path(path):
-        os.makedirs(os.path.dirname(path.removeprefix("file:")), exist_ok=True)

@@ -3,26 +3,31 @@
 New CSV files landing in a folder are read as a stream, cleaned row by row
 (range clipping and boolean coercion; imputation uses fill values fixed up
 front, since a stream has no whole-column statistics), and appended to the
-Parquet table. Each micro-batch is written to its own ``batch=<id>`` folder
-with overwrite, so a batch replayed after a failure replaces its own output
-instead of appending twice; an empty batch writes nothing. The checkpoint
-location records which files were taken.
+Parquet table. Each micro-batch is written to a folder of its own,
+``run=<query id>/batch=<id>``, with overwrite, so a batch replayed after a failure
+replaces its own output instead of appending twice. The query id comes from the
+checkpoint, so a fresh checkpoint never overwrites what another one loaded. The
+checkpoint location records which files were taken; by default it belongs to
+the landing folder, the table and the sink together.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
-from ..operators.clean import clip_to_range, coerce_boolean
+from ..operators.clean import clip_to_range, coerce_boolean, without_nan
 from ..session import shared_dir
 from ..sources.tables import CSV_OPTIONS
 
 
 def clean_stream(df: DataFrame, table: str, fills: dict | None = None) -> DataFrame:
-    out = df
+    out = without_nan(df)
     if fills:
         out = out.select(*[F.coalesce(F.col(c), F.lit(fills[c])).alias(c) if c in fills else F.col(c)
                            for c in out.columns])
@@ -38,15 +43,15 @@ def incremental_load(spark: SparkSession, landing: str, table: str, schema: T.St
 
     Returns the finished StreamingQuery (its ``recentProgress`` lists the batches).
     """
-    ckpt = checkpoint or f"{shared_dir(spark)}/signals/stream-{table}"
+    of = hashlib.sha256("\n".join((landing, table, sink)).encode()).hexdigest()[:16]
+    ckpt = checkpoint or f"{shared_dir(spark)}/signals/stream-{table}-{of}"
     stream = (spark.readStream.schema(schema).options(**CSV_OPTIONS).option("maxFilesPerTrigger", max_files)
               .csv(landing))
     cleaned = clean_stream(stream, table, fills)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        batch.write.mode("overwrite").parquet(f"{sink.rstrip('/')}/batch={batch_id}")
+        run = json.loads(spark.read.text(f"{ckpt}/metadata").first()[0])["id"]
+        batch.write.mode("overwrite").parquet(f"{sink.rstrip('/')}/run={run}/batch={batch_id}")
 
     q = (cleaned.writeStream.foreachBatch(write_batch).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from signals.functions.stats import exact_median, exact_quantiles, min_max, mode_value
+from signals.functions.stats import exact_medians, min_max, mode_values
 from signals.operators import aggregates as agg
 from signals.operators import clean as cln
 from signals.operators import clusters as clu
@@ -20,24 +20,59 @@ def test_min_max_constant_and_null(spark):
     assert [r["n"] for r in allnull.select(min_max(allnull, "x").alias("n")).collect()] == [None, None]
 
 
-def test_median_even_count_and_narrowing(spark):
+def test_medians_of_several_columns(spark):
     rng = np.random.default_rng(7)
-    vals = rng.normal(size=4001).round(3)
-    df = spark.createDataFrame([(float(v),) for v in vals] + [(None,)], "x double")
-    assert exact_median(df, "x") == float(np.median(vals))
-    # force the histogram narrowing path (tiny collect bound)
-    assert exact_median(df, "x", buckets=16, max_collect=40) == float(np.median(vals))
+    vals = rng.normal(size=401).round(2)
+    rows = [(float(v), float(i % 2), 5, None) for i, v in enumerate(vals)] + [(None, float("nan"), 5, None), (float("nan"), 9.0, None, None)]
+    df = spark.createDataFrame(rows, "x double, tied double, same int, none double").repartition(5)
+    got = exact_medians(df, ["x", "tied", "same", "none"])
+    tied = [i % 2 for i in range(401)] + [9.0]
+    assert got == {"x": float(np.median(vals)), "tied": float(np.median(tied)), "same": 5.0, "none": None}
     even = spark.createDataFrame([(1.0,), (2.0,), (10.0,), (20.0,)], "x double")
-    assert exact_median(even, "x") == 6.0
-    q = exact_quantiles(df, "x", [0, 4000], buckets=8, max_collect=30)
-    assert q == {0: float(vals.min()), 4000: float(vals.max())}
+    assert exact_medians(even, ["x"]) == {"x": 6.0}
+    assert exact_medians(even.limit(0), ["x"]) == {"x": None} and exact_medians(even, []) == {}
 
 
-def test_mode_ties_and_all_null(spark):
-    df = spark.createDataFrame([("b",), ("a",), ("b",), ("a",), (None,)], "s string")
-    assert mode_value(df, "s") == "a"
-    nulls = spark.createDataFrame([(None,), (None,)], "s string")
-    assert mode_value(nulls, "s") is None
+def test_modes_ties_and_all_null(spark):
+    df = spark.createDataFrame([("b", True, None), ("a", None, None), ("b", False, None), ("a", False, None), (None, None, None)],
+                               "s string, f boolean, n string")
+    assert mode_values(df, ["s", "f", "n"]) == {"s": "a", "f": "false", "n": None}
+    filled = cln.impute(df).collect()
+    assert [r["f"] for r in filled] == [True, False, False, False, False] and {r["n"] for r in filled} == {"UNKNOWN"}
+
+
+def test_nan_is_imputed_and_clipped_like_null(spark):
+    df = spark.createDataFrame([(float("nan"),), (4.0,), (20.0,), (None,)], "feedback_score double")
+    assert [r[0] for r in cln.clean_table("demo_signals", df).collect()] == [10.0, 4.0, 10.0, 10.0]  # median 12, clipped
+    from signals.streaming.ingest import clean_stream
+    assert [r[0] for r in clean_stream(df, "demo_signals", {"feedback_score": 3.0}).collect()] == [3.0, 4.0, 10.0, 3.0]
+
+
+def test_checkpoint_folder_is_demanded_off_local_masters():
+    import pytest
+    from types import SimpleNamespace
+    from signals.session import shared_dir
+    conf = SimpleNamespace(get=lambda k, d=None: d)
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
+        ctx = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+        with pytest.raises(RuntimeError):
+            shared_dir(SimpleNamespace(conf=conf, sparkContext=ctx))
+
+
+def test_all_null_segments_give_zero(spark):
+    demo = spark.createDataFrame([(1, None), (1, None), (2, "A"), (2, None), (2, "B")], "concept_id int, segment string")
+    got = {r[0]: r[1] for r in agg.segment_entropy(demo).select("concept_id", "segment_similarity_raw").collect()}
+    assert got[1] == 0.0 and abs(got[2] - 1.0) < 1e-12
+
+
+def test_evidence_is_sorted_inside_the_row(spark):
+    from signals.operators import explain as xp
+    df = spark.createDataFrame([(1, 0.5, 0.1, 0.2, -0.3, 0.3, None)], "concept_id int, a double, b double, c double, "
+                                                                     "a_shap double, b_shap double, c_shap double")
+    ev = xp.evidence(df, ["a", "b", "c"], 2)
+    assert [(r["rank"], r["feature"], r["direction"]) for r in xp.top_features(ev).orderBy("rank").collect()] == [
+        (1, "a", "negative"), (2, "b", "positive")]
+    assert "Exchange" not in ev._jdf.queryExecution().executedPlan().toString()
 
 
 def test_impute_rules(spark):

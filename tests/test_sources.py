@@ -52,3 +52,39 @@ def test_incremental_load_takes_each_file_once(spark):
     back = spark.read.parquet(sink)
     assert back.count() == d.count()
     assert dict(back.dtypes)["follow_up_requested"] == "boolean"
+
+
+def test_incremental_loads_do_not_overwrite_each_other(spark):
+    from signals.streaming.ingest import incremental_load
+    d = spark.createDataFrame([(i, float(i)) for i in range(6)], "concept_id bigint, feedback_score double")
+    one, two, sink, other = (scratch_path(spark, n) for n in ("t-one", "t-two", "t-sink", "t-other"))
+    d.where("concept_id < 2").write.options(**tbl.CSV_OPTIONS).csv(f"{one}/a")
+    d.where("concept_id >= 2").write.options(**tbl.CSV_OPTIONS).csv(f"{two}/a")
+    for landing in (one, two):  # two landing folders, fresh checkpoints, one sink
+        incremental_load(spark, f"{landing}/*", "demo_signals", d.schema, sink, checkpoint=scratch_path(spark, "t-ckpt"))
+    assert sorted(r[0] for r in spark.read.parquet(sink).select("concept_id").collect()) == list(range(6))
+    incremental_load(spark, f"{one}/*", "demo_signals", d.schema, sink + "-1")  # default checkpoints: one landing, two sinks
+    incremental_load(spark, f"{one}/*", "demo_signals", d.schema, other)
+    assert spark.read.parquet(sink + "-1").count() == spark.read.parquet(other).count() == 2
+
+
+def test_csv_with_text_ids_and_bad_values(spark, tmp_path):
+    (tmp_path / "concepts.csv").write_text(
+        "concept_id,concept_name,industry,problem_area,target_user,delivery_complexity,strategic_fit\n"
+        'C001,"Name, with comma",Retail,Costs,Buyers,0.4,0.9\nC002,Other,Retail,Costs,,oops,0.1\n')
+    (tmp_path / "demo_signals.csv").write_text(
+        "demo_id,concept_id,customer_id,segment,demo_date,feedback_score,follow_up_requested,decision_maker_present,objections_count\n"
+        "D1,C001,CUST0023,A,2024-01-02,7.5,1,0,2\nD2,C002,CUST0001,B,not a date,x,0,1,3\n")
+    (tmp_path / "usage_signals.csv").write_text("no such header\n\x00\x01,,,\n")
+    t = tbl.read_csv_tables(spark, str(tmp_path), text_ids=True)
+    assert [r["concept_id"] for r in t["concepts"].orderBy("concept_id").collect()] == ["C001", "C002"]
+    assert t["concepts"].where("concept_id = 'C001'").first()["concept_name"] == "Name, with comma"
+    d = {r["demo_id"]: r for r in t["demo_signals"].collect()}
+    assert d["D1"]["follow_up_requested"] == 1 and d["D2"]["demo_date"] is None and d["D2"]["feedback_score"] is None
+    assert t["usage_signals"].count() >= 0 and t["commercial_signals"].count() == 0
+    bad = {(r[0], r[1]): r[2] for r in tbl.csv_rejects(spark, str(tmp_path), text_ids=True).where("n_rejected > 0").collect()}
+    assert bad == {("concepts", "delivery_complexity"): 1, ("demo_signals", "demo_date"): 1, ("demo_signals", "feedback_score"): 1}
+    assert tbl.csv_rejects(spark, str(tmp_path)).where("column_name = 'concept_id' AND n_rejected = 2").count() == 2
+    from signals.operators import features as feat
+    f = feat.feature_table(t["concepts"], t["demo_signals"], t["usage_signals"], t["commercial_signals"]).collect()
+    assert sorted(r["concept_id"] for r in f if r["concept_id"]) == ["C001", "C002"]
