@@ -31,7 +31,7 @@ def test_order_and_columns(stages):
 def test_decisions_take_effect(spark, stages):
     _, before, after = stages[0]
     rejected = {r["doc_id"] for r in toxicity.tag(before, toxicity.fit(before, read(spark, "labels"))).collect() if r["predicted"]}
-    assert rejected and {r["doc_id"] for r in after.collect()} == {r["doc_id"] for r in before.collect()} - rejected
+    assert {r["doc_id"] for r in after.collect()} == {r["doc_id"] for r in before.collect()} - rejected
     _, before, after = stages[1]
     judged = language.identify(before, language.fit(before)).collect()
     keep = {r["doc_id"] for r in judged if r["lang_pred"] != "und" and r["score"] >= corpus_pipeline.LEAST_LANGUAGE_SCORE}
@@ -44,6 +44,17 @@ def test_decisions_take_effect(spark, stages):
     assert set(n) <= {r["doc_id"] for r in before.collect()} and max(n.values()) > 1
 
 
+def test_toxic_documents_go(spark):
+    """On a table with enough toxic documents to learn from (sf0.001 has nine)."""
+    sf = "/root/testdata/sf0.01"
+    before = read(spark, "documents", sf)
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, before, sf).select("doc_id").collect()}
+    labels = {r["doc_id"]: r["toxic"] for r in read(spark, "labels", sf).collect()}
+    toxic = [i for i, t in labels.items() if t]
+    clean = [i for i, t in labels.items() if not t]
+    assert sum(i not in kept for i in toxic) > 0.6 * len(toxic) and sum(i in kept for i in clean) > 0.98 * len(clean)
+
+
 def test_encoded(stages):
     ranks, pattern = bpe.default_vocabulary()
     lib = tiktoken.Encoding("t", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
