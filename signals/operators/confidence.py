@@ -66,6 +66,22 @@ def confidence_scores(stats_all: DataFrame, labeled: DataFrame, ids: DataFrame,
     return j.select(key, score)
 
 
+def with_confidence(wide: DataFrame, cfg: Config = DEFAULT, cluster: str = "cluster_id") -> DataFrame:
+    """The same on one frame that holds statistics, features and cluster: adds sample_size_factor, variance_penalty,
+    cluster_tightness and confidence_score as columns; only the per-cluster spread is joined."""
+    w = cfg.confidence_weights
+    feats = [f for f in cfg.tightness_features if f in wide.columns]
+    t = F.lit(0.5)
+    if cluster in wide.columns and "cluster_repeatability_score" in wide.columns and feats:
+        wide = wide.join(cluster_spread(wide, feats, cluster), cluster, "left")
+        t = F.lit(1.0) - clip(F.coalesce(F.col("cluster_spread"), F.lit(0.5)), 0.0, 1.0)
+    parts = wide.withColumns({"sample_size_factor": sample_size_factor_expr(cfg), "variance_penalty": variance_penalty_expr(cfg),
+                              "cluster_tightness": t}).drop("cluster_spread")
+    raw = (F.lit(w["sample_size"]) * F.col("sample_size_factor") + F.lit(w["variance"]) * F.col("variance_penalty")
+           + F.lit(w["tightness"]) * F.col("cluster_tightness"))
+    return parts.withColumn("confidence_score", F.bround(clip(raw * 100.0, 0.0, 100.0), 2))
+
+
 def summary_columns(col: str, prefix: str) -> list[Column]:
     return [F.avg(col).alias(f"{prefix}_mean"), F.min(col).alias(f"{prefix}_min"), F.max(col).alias(f"{prefix}_max")]
 

@@ -72,6 +72,15 @@ def decision_inputs(features: DataFrame, stats_all: DataFrame, readiness: DataFr
     j = (features.select(key, cr.alias("cluster_repeatability"), dc.alias("delivery_complexity"),
                          rp.alias("revenue_potential"))
          .join(sig, key, "left").join(readiness, key, "left").join(confidence, key, "left"))
+    return _rule_inputs(j, key)
+
+
+def decision_inputs_wide(wide: DataFrame, key: str = KEY) -> DataFrame:
+    """The same from one frame that holds features, statistics, cluster score, readiness and confidence: no join."""
+    return _rule_inputs(wide.withColumn("cluster_repeatability", F.col("cluster_repeatability_score")), key)
+
+
+def _rule_inputs(j: DataFrame, key: str) -> DataFrame:
     rate, objections = archive_signals_expr()
     urgency, budget = pilot_signals_expr()
     return j.select(
@@ -88,7 +97,12 @@ def decision_table(features: DataFrame, stats_all: DataFrame, readiness: DataFra
                    key: str = KEY, cfg: Config = DEFAULT) -> DataFrame:
     """concept_id, readiness_score, confidence_score, cluster_repeatability,
     delivery_complexity, recommended_outcome."""
-    d = classify_frame(decision_inputs(features, stats_all, readiness, confidence, key), cfg)
+    return outcomes(decision_inputs(features, stats_all, readiness, confidence, key), key, cfg)
+
+
+def outcomes(inputs: DataFrame, key: str = KEY, cfg: Config = DEFAULT) -> DataFrame:
+    """The outcome table from the nine rule inputs."""
+    d = classify_frame(inputs, cfg)
     return d.select(key, "readiness_score", "confidence_score", "cluster_repeatability", "delivery_complexity",
                     "recommended_outcome")
 

@@ -11,28 +11,30 @@ from ..functions.noise import gaussian
 from .aggregates import KEY
 
 
-def label_expr(columns: list[str], cfg: Config = DEFAULT, fill_missing: float | None = None) -> Column:
-    """Σ wᵢ·fᵢ over the label features; NULL counts as 0; an absent column is
-    skipped (or, with ``fill_missing``, counted at that value)."""
+def label_expr(columns: list[str], cfg: Config = DEFAULT) -> Column:
+    """Σ wᵢ·fᵢ over the label features; NULL counts as 0; an absent column is skipped."""
     acc = F.lit(0.0)
     for name, w in cfg.label_weights.items():
         if name in columns:
             acc = acc + F.lit(w) * F.coalesce(F.col(name), F.lit(0.0))
-        elif fill_missing is not None:
-            acc = acc + F.lit(w * fill_missing)
     return acc
 
 
-def readiness_label(features: DataFrame, key: str = KEY, cfg: Config = DEFAULT, noise: bool = False) -> DataFrame:
-    """(key, readiness_label): the rule baseline, optionally with N(0, σ) noise, clipped to [0, 1].
+def label_column(columns: list[str], key: str = KEY, cfg: Config = DEFAULT, noise: bool = False) -> Column:
+    """The rule baseline, optionally with N(0, σ) noise, clipped to [0, 1].
 
     The noise is a function of (seed, key) only, so it does not depend on
     partitioning or row order and a recomputed task yields the same values.
     """
-    base = label_expr(features.columns, cfg)
+    base = label_expr(columns, cfg)
     if noise and cfg.label_noise_std > 0:
         base = base + F.lit(cfg.label_noise_std) * gaussian(F.col(key), cfg.seed)
-    return features.select(key, clip01(base).alias("readiness_label"))
+    return clip01(base)
+
+
+def readiness_label(features: DataFrame, key: str = KEY, cfg: Config = DEFAULT, noise: bool = False) -> DataFrame:
+    """(key, readiness_label)."""
+    return features.select(key, label_column(features.columns, key, cfg, noise).alias("readiness_label"))
 
 
 def scale_scores(df: DataFrame, col: str, out: str = "readiness_score") -> Column:

@@ -9,6 +9,7 @@ Stand-ins (so the result is checkable by plain SQL):
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,34 +27,70 @@ from ..sources import adapters as ad
 K = agg.KEY
 
 
-@dataclass
-class Portfolio:
-    tables: dict
-    stats: dict
-    features: DataFrame
-    labeled: DataFrame
-    readiness: DataFrame
-    confidence: DataFrame
-    decision: DataFrame
-
-
 def given_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = ad.read_table(spark, sf_dir, "part")
     return clu.given_labels(part, "p_partkey", F.col("p_size") % 4)
 
 
+class Portfolio:
+    """The stages of the rule portfolio; each is made when it is first asked for.
+
+    All of them are columns of one row per concept: the statistics, features, cluster, readiness and confidence stand
+    in one frame, so after the statistics only the given labels and the per-cluster tables are joined.
+    Frames with many readers are checkpointed: the lineage cut keeps every later plan
+    small (a scan, not the whole aggregation tree).
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT, tables: dict | None = None):
+        self.spark, self.sf_dir, self.cfg = spark, sf_dir, cfg
+        self.tables = tables or ad.signal_model(spark, sf_dir)
+
+    @cached_property
+    def wide(self) -> DataFrame:
+        """Features and the statistics that they and the rules come from."""
+        t = self.tables
+        st = agg.portfolio_stats(t["concepts"], t["demo_signals"], t["usage_signals"], t["commercial_signals"])
+        return checkpoint(feat.features_from_stats(st, K, self.cfg, keep_stats=True))
+
+    @cached_property
+    def features(self) -> DataFrame:
+        return self.wide.select(K, *feat.FEATURES, "delivery_complexity", "concept_name")
+
+    @cached_property
+    def clustered(self) -> DataFrame:
+        return clu.with_cluster_scores(self.wide, given_labels(self.spark, self.sf_dir))
+
+    @cached_property
+    def labeled(self) -> DataFrame:
+        return self.clustered.select(*self.features.columns, "cluster_id", "cluster_repeatability_score")
+
+    @cached_property
+    def readiness(self) -> DataFrame:
+        return rdy.rule_readiness(self.features, K, self.cfg)
+
+    @cached_property
+    def confidence_parts(self) -> DataFrame:
+        return conf.with_confidence(self.clustered, self.cfg).select(
+            K, "sample_size_factor", "variance_penalty", "cluster_tightness", "confidence_score")
+
+    @cached_property
+    def confidence(self) -> DataFrame:
+        return self.confidence_parts.select(K, "confidence_score")
+
+    @cached_property
+    def rule_inputs(self) -> DataFrame:
+        label = rdy.label_column(self.wide.columns, K, self.cfg)
+        scale = rdy.scale_scores(self.wide.select(label.alias("readiness_label")), "readiness_label")
+        scored = conf.with_confidence(self.clustered, self.cfg).withColumn("readiness_label", label)
+        return dec.decision_inputs_wide(scored.withColumn("readiness_score", scale), K)
+
+    @cached_property
+    def decision(self) -> DataFrame:
+        return checkpoint(dec.outcomes(self.rule_inputs, K, self.cfg))
+
+
 def rule_portfolio(spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT, tables: dict | None = None) -> Portfolio:
-    t = tables or ad.signal_model(spark, sf_dir)
-    st = agg.portfolio_stats(t["concepts"], t["demo_signals"], t["usage_signals"], t["commercial_signals"])
-    # concept-level frames with many readers are checkpointed: the lineage cut keeps
-    # every later plan small (a scan, not the whole aggregation tree)
-    features = checkpoint(feat.features_from_stats(st, K, cfg))
-    labeled = clu.with_cluster_scores(features, given_labels(spark, sf_dir))
-    readiness = rdy.rule_readiness(features, K, cfg)
-    ids = features.select(K)
-    confidence = conf.confidence_scores(st["all"], labeled, ids, K, cfg)
-    decision = checkpoint(dec.decision_table(labeled, st["all"], readiness, confidence, K, cfg))
-    return Portfolio(t, st, features, labeled, readiness, confidence, decision)
+    return Portfolio(spark, sf_dir, cfg, tables)
 
 
 @dataclass

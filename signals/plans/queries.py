@@ -138,8 +138,7 @@ def q_readiness(spark, sf_dir):
 
 
 def _conf_parts(spark, sf_dir):
-    p = rule_portfolio(spark, sf_dir)
-    return conf.confidence_scores(p.stats["all"], p.labeled, p.features.select(K), K, CFG, keep_parts=True)
+    return rule_portfolio(spark, sf_dir).confidence_parts
 
 
 @query("sample_size_factor", S.q(S.portfolio_ctes(), f"SELECT concept_id, {S.r6('sample_size_factor')} AS sample_size_factor FROM conf_parts"))
@@ -176,8 +175,7 @@ def q_summary(spark, sf_dir):
 
 
 def _dec_inputs(spark, sf_dir):
-    p = rule_portfolio(spark, sf_dir)
-    return dec.decision_inputs(p.labeled, p.stats["all"], p.readiness, p.confidence)
+    return rule_portfolio(spark, sf_dir).rule_inputs
 
 
 @query("archive_signals", S.q(S.portfolio_ctes(), f"""
