@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PAIR_MEMO = 1 << 18  # remembered token pairs per worker process
-PIECE_MEMO = 400_000  # remembered pieces per worker process and generation
+PAIR_MEMO = 1 << 17  # remembered token pairs per worker process
+PIECE_MEMO = 250_000  # remembered pieces per worker process and generation
 MEMO_CHARS = 64  # longer pieces are not remembered
 LONGEST = 256  # bytes that a token may have
 SLICE_ROWS = 256  # rows encoded before their ids are handed on

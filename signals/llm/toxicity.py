@@ -31,7 +31,6 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -51,7 +50,7 @@ WIDTH = 2 + len(PREFIXES) + len(SUFFIXES)
 STEPS, RATE, RIDGE = 60, 0.15, 1e-3
 LEAST_WEIGHT = 0.005  # smaller weights are left out of the model
 WORD_MEMO = 1 << 18
-SLICE_ROWS = 512
+SLICE_ROWS = 256
 TOKEN = re.compile(r"[^\W\d_]+")
 
 
@@ -192,36 +191,34 @@ def distinct_texts(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
     return out
 
 
-def markers(docs: list[set[str]], labels: np.ndarray) -> set[str]:
-    """Names of the word and prefix features that mark toxic documents."""
-    toxic, clean = Counter(), Counter()
-    for words, label in zip(docs, labels):
-        (toxic if label else clean).update({n for w in words for n in names(w) if n[0] in "wp"})
-    n1, n0 = int(labels.sum()), int(len(labels) - labels.sum())
-    base = n1 / (n1 + n0)
-    out = set()
-    for name, a in toxic.items():
-        b = clean[name]
-        share = a / (a + b)
-        ratio = ((a + 0.5) / (n1 + 1)) / ((b + 0.5) / (n0 + 1))
-        llr = a * math.log(share / base) + (b * math.log((1 - share) / (1 - base)) if b else 0.0)
-        if share > base and llr >= LEAST_LLR and ratio >= LEAST_ODDS:
-            out.add(name)
-    return out
+def markers(features: np.ndarray, can_mark: np.ndarray, docs: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """Which features mark toxic documents; ``docs`` holds the distinct words of each."""
+    seen = np.zeros((2, len(can_mark)))
+    for words, label in zip(docs, labels.astype(int)):
+        seen[label, np.unique(features[words])] += 1
+    clean, toxic = seen
+    n0, n1 = len(labels) - labels.sum(), labels.sum()
+    base, share = n1 / (n0 + n1), toxic / np.maximum(1, toxic + clean)
+    odds = ((toxic + 0.5) / (n1 + 1)) / ((clean + 0.5) / (n0 + 1))
+    llr = toxic * np.log(np.maximum(share, 1e-12) / base) + clean * np.log(np.maximum(1 - share, 1e-12) / (1 - base))
+    return can_mark & (share > base) & (llr >= LEAST_LLR) & (odds >= LEAST_ODDS)
 
 
 def fit_crf(texts: list[str], labels: np.ndarray) -> Crf:
     """Maximum likelihood with a ridge by Adam, on token labels made from the documents' labels."""
-    tokens = [TOKEN.findall(t) for t in texts]
-    mark = markers([set(t) for t in tokens], labels)
     index: dict[str, int] = {}
-    ids = np.array([index.setdefault(w, len(index)) for t in tokens for w in t], np.int64)
-    sizes = np.array([len(t) for t in tokens], np.int64)
+    docs = [np.array([index.setdefault(w, len(index)) for w in TOKEN.findall(t)], np.int32) for t in texts]
+    ids = np.concatenate([*docs, np.empty(0, np.int32)])
+    sizes = np.array([len(d) for d in docs], np.int64)
     known: dict[str, int] = {}
-    rows = [[known.setdefault(n, len(known)) for n in names(w)] for w in index]
+    features = np.full((len(index), WIDTH), -1, np.int32)
+    for i, w in enumerate(index):
+        own = [known.setdefault(n, len(known)) for n in names(w)]
+        features[i, :len(own)] = own
     nothing = len(known)  # the feature of weight 0
-    features = np.array([r + [nothing] * (WIDTH - len(r)) for r in rows], np.int64).reshape(-1, WIDTH)
-    marked = np.array([any(n in mark for n in names(w)) for w in index], bool)
+    features[features < 0] = nothing
+    can_mark = np.array([n[0] in "wp" for n in known] + [False])
+    marked = markers(features, can_mark, [np.unique(d) for d in docs], labels)[features].any(1)
     gold = marked[ids] & np.repeat(labels.astype(bool), sizes)
     starts = (np.cumsum(sizes) - sizes)[sizes > 0]
     crf = Crf()
