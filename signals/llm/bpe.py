@@ -12,8 +12,7 @@ once, on the driver, from the ranks).
 
 Decoding joins the tokens' bytes; it is one vectorised gather for a whole batch.
 
-Memory of a task: the vocabulary, a bounded memo of pairs, a bounded memo of pieces, one slice of rows. The memos live as
-long as the worker process, which is why this module is imported on the executors (``--py-files`` or an installed package).
+Memory of a task: the vocabulary, a bounded memo of pairs, a bounded memo of pieces, one slice of rows.
 
 Defined results: a null or empty text encodes to no ids; null ids decode to empty bytes; an id outside of the vocabulary
 is an error. Repeated rows are encoded each on its own. A column with the output's name is replaced, all other columns pass through.
@@ -22,7 +21,6 @@ is an error. Repeated rows are encoded each on its own. A column with the output
 from __future__ import annotations
 
 import base64
-import hashlib
 import math
 from array import array
 from itertools import accumulate
@@ -34,8 +32,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PAIR_MEMO = 1 << 17  # remembered token pairs per worker process
-PIECE_MEMO = 250_000  # remembered pieces per worker process and generation
+from .common import ship
+
+ship(__name__)
+
+PAIR_MEMO = 1 << 17  # remembered token pairs per task
+PIECE_MEMO = 250_000  # remembered pieces per task and generation
 MEMO_CHARS = 64  # longer pieces are not remembered
 LONGEST = 256  # bytes that a token may have
 SLICE_ROWS = 256  # rows encoded before their ids are handed on
@@ -80,8 +82,7 @@ def last_merges(ranks: dict[bytes, int]) -> dict[bytes, tuple[bytes, bytes]]:
 class Encoder(dict):
     """Encodes the pieces of texts; a mapping piece → packed ids that fills itself.
 
-    One lives in every worker process for as long as the vocabulary is the same, so that what one task has worked
-    out serves the next. When ``PIECE_MEMO`` pieces are known they become the older generation, which is asked once
+    It lives as long as its task, so that the worker process has the memory back for other work. When ``PIECE_MEMO`` pieces are known they become the older generation, which is asked once
     more before it goes. Tokens are Latin-1 text here, one character for each byte.
     """
 
@@ -183,17 +184,6 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, self.split(text))) if text else b""
 
 
-_encoders: dict[bytes, Encoder] = {}
-
-
-def encoder(ranks: dict[bytes, int], merges: dict[bytes, tuple[bytes, bytes]], pattern: str, key: bytes) -> Encoder:
-    """The worker process's encoder of this vocabulary; one of another vocabulary goes."""
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(ranks, merges, pattern)
-    return _encoders[key]
-
-
 def _schema(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     fields = [f for f in df.schema.fields if f.name.lower() != name.lower()]
     return T.StructType([*fields, T.StructField(name, kind, True)])
@@ -206,13 +196,12 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str =
     ``ranks`` is the vocabulary (its size is the bound of what is sent to every task).
     """
     merges = last_merges(ranks)
-    key = hashlib.sha256(repr((pattern, sorted(ranks.items()))).encode()).digest()
     shared = df.sparkSession.sparkContext.broadcast((ranks, merges))
     schema = _schema(df, ids_col, T.ArrayType(T.IntegerType()))
     keep = schema.fieldNames()[:-1]
 
     def run(batches):
-        enc = encoder(*shared.value, pattern, key)
+        enc = Encoder(*shared.value, pattern)
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE_ROWS):
                 b = whole.slice(at, SLICE_ROWS)
