@@ -36,8 +36,8 @@ from .common import ship
 
 ship(__name__)
 
-PAIR_MEMO = 1 << 17  # remembered token pairs per task
-PIECE_MEMO = 250_000  # remembered pieces per task and generation
+PAIR_MEMO = 1 << 16  # remembered token pairs per task
+PIECE_MEMO = 100_000  # remembered pieces per task and generation
 MEMO_CHARS = 64  # longer pieces are not remembered
 LONGEST = 256  # bytes that a token may have
 SLICE_ROWS = 256  # rows encoded before their ids are handed on
