@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from signals.llm import bpe, language, minhash, mixing, toxicity
 from signals.llm.common import table, written
 
-LEAST_LANGUAGE_SCORE = 0.1  # below it, no learned language fits
+LEAST_LANGUAGE_SCORE = language.LEAST_FITTING  # below it, no learned language fits: such texts have score 0
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,13 @@ margins are the mean of one row of weights per gram: a gather and a sum.
 
 Level 1 separates each two families, level 2 each two languages of a family, by machines with squared hinge loss. A level's
 winner has the most votes, then the larger sum of margins, then the smaller name. Score: the mean, over the machines that
-the winner takes part in, of the logistic function of its margin, times the same of its family.
+the winner takes part in, of the logistic function of its margin, times the same of its family; 0 if the text does not fit the winner.
+
+Fit: a text fits a language if enough of its letter 3-grams are usual there, which are those in at least ``USUAL`` of the language's
+training texts. To that share, ``PRIOR_GRAMS`` grams of the language's median share are added, so a few letters decide nothing. The
+least share comes from the language's own distinct training texts alone, for any number of languages: they are halved, each is held against
+the other half's usual grams, as it is and with its letters shuffled; the limit is half way between the two medians, but not
+above the ``LOW_SHARE`` quantile of the texts as they are. A language with one distinct text has no limit.
 
 Fit: at most ``TRAIN_DOCS`` documents, equally many of each language as far as there are, chosen by the hash of the id, texts of at most
 ``TRAIN_CHARS`` characters, at most ``MAX_LANGUAGES`` languages, the most frequent; on the driver, in memory bounded by these.
@@ -15,12 +21,13 @@ Scoring is one pass over all whole texts without a shuffle; the weights are broa
 Families are a table of common language codes; a language that it lacks is a family of its own.
 
 Defined results: ``und`` with score 0 for null texts and texts without a letter, and for all texts if there is nothing to learn from; with
-one language only, that language with score 1; null ids and null languages teach nothing; repeated rows are judged each on its own; an empty table gives no
+one language only, that language with score 1, or 0 for texts that do not fit it; null ids and null languages teach nothing; repeated rows are judged each on its own; an empty table gives no
 rows. Columns of the input named lang_pred or score are replaced, all others pass through.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,6 +45,9 @@ TRAIN_DOCS, TRAIN_CHARS, MAX_LANGUAGES, MAX_PER_LANGUAGE = 4000, 20_000, 100, 30
 DIMS = 1 << 13
 STEPS, RIDGE, SCALE = 300, 1e-4, 30.0
 SLICE_ROWS = 256
+USUAL, PRIOR_GRAMS, LOW_SHARE = 0.02, 20, 0.01
+TRIPLE_BITS = 18  # of the hash that the set of a language's usual 3-grams is kept by
+LEAST_FITTING = 1 / 16  # a winner has at least half the votes, each with a chance of at least a half, at both levels
 
 # fixed values: families of common language codes
 FAMILIES = {
@@ -60,9 +70,10 @@ def letter_table() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def grams(texts: list[str | None], letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed grams of all texts, one after another, and the number of grams of each (0: no letter)."""
-    parts, sizes = [], np.zeros(len(texts), np.int64)
+def grams(texts: list[str | None], letter: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Hashed grams of all texts, one after another, the number of grams of each (0: no letter) and each text's 3-grams,
+    hashed apart from them."""
+    parts, sizes, triples = [], np.zeros(len(texts), np.int64), [np.empty(0, np.uint32)] * len(texts)
     for i, text in enumerate(texts):
         codes = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), np.uint32)
         is_letter = letter[codes]
@@ -74,11 +85,61 @@ def grams(texts: list[str | None], letter: np.ndarray) -> tuple[np.ndarray, np.n
         x = c * np.uint32(0x9E3779B1)
         pair = (x[:-1] ^ (c[1:] * np.uint32(0x85EBCA6B) + np.uint32(7))) * np.uint32(0xC2B2AE35)
         triple = (pair[:-1] ^ (c[2:] * np.uint32(0x27D4EB2F) + np.uint32(11))) * np.uint32(0x165667B1)
+        triple = triple[c[1:-1] > 0]
         single = x[c > 0]
-        g = np.concatenate([single, pair[(c[:-1] > 0) | (c[1:] > 0)], triple[c[1:-1] > 0]]) >> np.uint32(32 - 13)
+        g = np.concatenate([single, pair[(c[:-1] > 0) | (c[1:] > 0)], triple]) >> np.uint32(32 - 13)
+        triples[i] = triple >> np.uint32(32 - TRIPLE_BITS)
         parts.append(g)
         sizes[i] = len(g)
-    return (np.concatenate(parts) if parts else np.empty(0, np.uint32)), sizes
+    return (np.concatenate(parts) if parts else np.empty(0, np.uint32)), sizes, triples
+
+
+@dataclass
+class Fit:
+    """What a text must hold to be in a language."""
+    usual: np.ndarray  # bits, by the hash of a 3-gram
+    typical: float  # median share of usual 3-grams
+    least: float
+
+    def count(self, triples: np.ndarray) -> int:
+        return int(((self.usual[triples >> 3] >> (triples & 7).astype(np.uint8)) & 1).sum())
+
+    def share(self, triples: np.ndarray) -> float:
+        """Share of usual 3-grams, with the prior's."""
+        return (self.count(triples) + PRIOR_GRAMS * self.typical) / (len(triples) + PRIOR_GRAMS)
+
+
+def usual_triples(triples: list[np.ndarray]) -> np.ndarray:
+    count = np.zeros(1 << TRIPLE_BITS, np.int32)
+    for t in triples:
+        count[np.unique(t)] += 1
+    return np.packbits(count >= max(1, math.ceil(USUAL * len(triples))), bitorder="little")
+
+
+def shuffled(texts: list[str], letter: np.ndarray) -> list[str]:
+    """The texts with their letters dealt anew over the letters' places."""
+    rng, out = np.random.default_rng(0), []
+    for text in texts:
+        codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32).copy()
+        at = np.flatnonzero(letter[codes])
+        codes[at] = codes[rng.permutation(at)]
+        out.append(codes.tobytes().decode("utf-32-le", "replace"))
+    return out
+
+
+def fit_shares(texts: list[str], letter: np.ndarray) -> Fit:
+    texts = list(dict.fromkeys(texts))
+    own = [t for t in grams(texts, letter)[2] if len(t)]
+    junk = [t for t in grams(shuffled(texts, letter), letter)[2] if len(t)]
+    if len(own) < 2:
+        return Fit(usual_triples(own), 1.0, 0.0)
+    other = [Fit(usual_triples(own[k::2]), 0.0, 0.0) for k in (1, 0)]
+    typical = float(np.median([other[i % 2].count(t) / len(t) for i, t in enumerate(own)]))
+    for half in other:
+        half.typical = typical
+    as_is, mixed = (np.array([other[i % 2].share(t) for i, t in enumerate(rows)]) for rows in (own, junk))
+    least = min((np.median(as_is) + np.median(mixed)) / 2, np.quantile(as_is, LOW_SHARE))
+    return Fit(usual_triples(own), typical, float(least))
 
 
 @dataclass
@@ -89,6 +150,7 @@ class Model:
     machines: list[tuple[str, str, str]]
     weights: np.ndarray  # (DIMS, machines)
     bias: np.ndarray
+    fits: list[Fit]  # one for each language
 
 
 def fit_machines(x: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +203,7 @@ def fit_texts(by_lang: dict[str, list[str]]) -> Model | None:
     languages = sorted(by_lang)
     x, y = [], []
     for k, lang in enumerate(languages):
-        g, sizes = grams(by_lang[lang], letter)
+        g, sizes, _ = grams(by_lang[lang], letter)
         end = 0
         for n in sizes.tolist():
             if n:
@@ -152,6 +214,7 @@ def fit_texts(by_lang: dict[str, list[str]]) -> Model | None:
         return None
     y = np.array(y)
     families = [FAMILY.get(lang, lang) for lang in languages]
+    fits = [fit_shares(by_lang[lang], letter) for lang in languages]
     own = np.array(families)[y]
     machines, targets = [], []
     names = sorted(set(families))
@@ -166,9 +229,9 @@ def fit_texts(by_lang: dict[str, list[str]]) -> Model | None:
                 machines.append((f, languages[a], languages[b]))
                 targets.append((y == a) * 1.0 - (y == b) * 1.0)
     if not machines:
-        return Model(languages, families, [], np.zeros((DIMS, 0), np.float32), np.zeros(0, np.float32))
+        return Model(languages, families, [], np.zeros((DIMS, 0), np.float32), np.zeros(0, np.float32), fits)
     w, b = fit_machines(np.stack(x), np.stack(targets, 1).astype(np.float32))
-    return Model(languages, families, machines, w, b)
+    return Model(languages, families, machines, w, b, fits)
 
 
 def tournament(names: list[str], games: list[tuple[int, str, str]], margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,7 +253,7 @@ def tournament(names: list[str], games: list[tuple[int, str, str]], margin: np.n
 
 
 def predict(model: Model, texts: list[str | None], letter: np.ndarray) -> tuple[list[str], np.ndarray]:
-    g, sizes = grams(texts, letter)
+    g, sizes, triples = grams(texts, letter)
     some = np.flatnonzero(sizes)
     pred, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
     if not len(some):
@@ -209,6 +272,11 @@ def predict(model: Model, texts: list[str | None], letter: np.ndarray) -> tuple[
         best, won = tournament(inside, [(k, a, b) for k, (g_, a, b) in enumerate(model.machines) if g_ == f], margin[rows])
         pred[some[rows]] = np.array(inside, object)[best]
         score[some[rows]] = sure[rows] * won
+    fit_of = dict(zip(model.languages, model.fits))
+    for i in some:
+        own = fit_of[pred[i]]
+        if own.share(triples[i]) < own.least:
+            score[i] = 0.0
     return pred.tolist(), score
 
 

@@ -6,9 +6,13 @@ import corpus_pipeline
 import pytest
 import tiktoken
 from helpers import AWKWARD, SF, docs, read
+from pyspark.sql import functions as F
 from signals.llm import bpe, language, toxicity
+from signals.llm.common import fold
 from test_minhash import brute
 
+JUNK = "xqzj wvkqx zzjqw kxvbq jwqzx qvkjz xwzqk vjqxz qkzwj zxvqk " * 3
+
 
 @pytest.fixture(scope="module")
 def stages(spark, tmp_path_factory):
@@ -76,3 +80,20 @@ def test_awkward_and_empty_tables_pass_every_stage(spark):
             df = f(spark, df, SF)
             assert df.count() >= 0
     assert corpus_pipeline.drop_unknown_language(spark, docs(spark, ["the cat is here"] * 9 + ["", None, "123"]), SF).count() == 9
+
+
+def test_texts_in_unlearned_languages_go(spark):
+    """Rows without a language teach nothing; the learned languages' held-out documents stay."""
+    sf = "/root/testdata/sf0.01"
+    d = read(spark, "documents", sf).where("text rlike '\\\\p{L}'")
+    for foreign in ("fr", "en"):
+        before = d.withColumn("lang", F.when(F.col("lang") != foreign, F.col("lang")))
+        before = before.unionByName(docs(spark, [JUNK, JUNK.upper()], ids=[-1, -2], langs=[None, None]))
+        kept = {r["doc_id"] for r in corpus_pipeline.drop_unknown_language(spark, before, sf).select("doc_id").collect()}
+        rows = d.select("doc_id", "lang", (fold("doc_id", 4) == 2).alias("held_out")).collect()
+        gone = [r["doc_id"] not in kept for r in rows if r["lang"] == foreign]
+        assert sum(gone) > 0.95 * len(gone)
+        assert all(r["doc_id"] in kept for r in rows if r["lang"] != foreign and r["held_out"])
+        assert not {-1, -2} & kept
+    one = docs(spark, ["the cat is here", "a cat is there"] * 9 + [JUNK], langs=["en"] * 18 + [None])
+    assert corpus_pipeline.drop_unknown_language(spark, one, sf).count() == 18
