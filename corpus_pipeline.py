@@ -22,8 +22,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents without a letter, or that no learned language fits, go."""
-    judged = language.identify(docs, language.fit(docs))
+    """Language ID: documents without a letter, or that no learned language fits, go. If there is nothing to learn
+    from, no document is judged, and all that hold a letter stay."""
+    model = language.fit(docs)
+    if model is None:
+        return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
+    judged = language.identify(docs, model)
     keep = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
     return judged.where(keep).select(*docs.columns)
 

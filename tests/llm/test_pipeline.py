@@ -1,5 +1,6 @@
 """Every stage against a plain version on its own input."""
 
+import zlib
 from collections import Counter
 
 import corpus_pipeline
@@ -97,3 +98,11 @@ def test_texts_in_unlearned_languages_go(spark):
         assert not {-1, -2} & kept
     one = docs(spark, ["the cat is here", "a cat is there"] * 9 + [JUNK], langs=["en"] * 18 + [None])
     assert corpus_pipeline.drop_unknown_language(spark, one, sf).count() == 18
+
+
+def test_without_a_language_to_learn_documents_with_letters_stay(spark):
+    texts = ["some text", "é", "漢字", "", None, "0123 !!!"]
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 4 == 2][:6]
+    for df in (docs(spark, texts, langs=[None] * 6), docs(spark, texts, ids=held)):
+        assert language.fit(df) is None
+        assert [r["text"] for r in corpus_pipeline.drop_unknown_language(spark, df, SF).orderBy("doc_id").collect()] == texts[:3]
