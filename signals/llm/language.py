@@ -14,11 +14,14 @@ least share comes from the language's own distinct training texts alone, for any
 the other half's usual grams, as it is and with its letters shuffled; the limit is half way between the two medians, but not
 above the ``LOW_SHARE`` quantile of the texts as they are. A language with one distinct text has no limit.
 
-Fit: at most ``TRAIN_DOCS`` documents, equally many of each language as far as there are, chosen by the hash of the id, texts of at most
-``TRAIN_CHARS`` characters, at most ``MAX_LANGUAGES`` languages, the most frequent; on the driver, in memory bounded by these.
+Fit: all languages are learned. Of each, equally many documents as far as there are, chosen by the hash of the id: ``TRAIN_DOCS`` over the
+number of languages, but at most ``MAX_PER_LANGUAGE`` (300; so 1,200 documents with four languages) and at least ``MIN_PER_LANGUAGE``
+(20, from 200 languages on); of each text the ``TRAIN_CHARS`` characters from its first letter on. On the driver, in memory bounded by these and the
+number of languages.
 Scoring is one pass over all whole texts without a shuffle; the weights are broadcast (``DIMS`` × number of machines).
 
-Families are a table of common language codes; a language that it lacks is a family of its own.
+Families are a table of common language codes; a language that it lacks is a family of its own, but if it lacks more than ``GROUP``, these are dealt
+into families of at most ``GROUP`` by name, so the machines do not grow with the square of all languages' number.
 
 Defined results: ``und`` with score 0 for null texts and texts without a letter, and for all texts if there is nothing to learn from; with
 one language only, that language with score 1, or 0 for texts that do not fit it; null ids and null languages teach nothing; repeated rows are judged each on its own; an empty table gives no
@@ -41,7 +44,8 @@ from .common import fold, ship
 ship(__name__)
 
 UNKNOWN = "und"
-TRAIN_DOCS, TRAIN_CHARS, MAX_LANGUAGES, MAX_PER_LANGUAGE = 4000, 20_000, 100, 300
+TRAIN_DOCS, TRAIN_CHARS, MAX_PER_LANGUAGE, MIN_PER_LANGUAGE = 4000, 20_000, 300, 20
+GROUP, MACHINES_AT_ONCE = 16, 256
 DIMS = 1 << 13
 STEPS, RIDGE, SCALE = 300, 1e-4, 30.0
 SLICE_ROWS = 256
@@ -165,7 +169,13 @@ def fit_machines(x: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.nda
     top = float(np.linalg.norm(xb @ v) ** 2)
     count = np.maximum(1, (targets != 0).sum(0)).astype(np.float32)
     rate = 1.0 / (2.0 * top / count + RIDGE)
-    w = np.zeros((d + 1, targets.shape[1]), np.float32)
+    some = [slice(at, at + MACHINES_AT_ONCE) for at in range(0, targets.shape[1], MACHINES_AT_ONCE)]
+    w = np.concatenate([fit_steps(xb, targets[:, k], count[k], rate[k]) for k in some], 1)
+    return w[:-1], w[-1]
+
+
+def fit_steps(xb: np.ndarray, targets: np.ndarray, count: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    w = np.zeros((xb.shape[1], targets.shape[1]), np.float32)
     ahead, t = w, 1.0
     for _ in range(STEPS):
         slack = np.maximum(0.0, 1.0 - targets * (xb @ ahead)) * np.abs(targets)
@@ -174,30 +184,40 @@ def fit_machines(x: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.nda
         t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
         ahead = new + (t - 1) / t2 * (new - w)
         w, t = new, t2
-    return w[:-1], w[-1]
+    return w
 
 
 def fit(docs: DataFrame, folds: int = 4, held_out: int = 2, text_col: str = "text", id_col: str = "doc_id",
         lang_col: str = "lang") -> Model | None:
     """Learn from the rows with an id, a text and a language whose fold is not ``held_out``; None without any."""
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"), F.col(lang_col).alias("__lang"))
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"),
+                       F.col(lang_col).cast("string").alias("__lang"))
     rows = rows.where(F.col("__id").isNotNull() & F.col("__lang").isNotNull() & (fold("__id", folds) != held_out)
-                      & F.col("__text").rlike(r"\p{L}") & (F.length("__text") <= TRAIN_CHARS))
-    counts = (rows.groupBy("__lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "__lang")
-              .limit(MAX_LANGUAGES).collect())
+                      & F.col("__text").rlike(r"\p{L}"))
+    counts = rows.groupBy("__lang").agg(F.count(F.lit(1)).alias("n")).collect()
     if not counts:
         return None
-    quota = min(MAX_PER_LANGUAGE, TRAIN_DOCS // len(counts))
+    quota = min(MAX_PER_LANGUAGE, max(MIN_PER_LANGUAGE, TRAIN_DOCS // len(counts)))
     chance = F.pmod(F.xxhash64("__id", F.lit("lang")), F.lit(1 << 20)) / (1 << 20)
-    wanted = F.lit(False)
-    for r in counts:
-        wanted = wanted | ((F.col("__lang") == r["__lang"]) & (chance < 1.2 * quota / r["n"]))
+    wanted = max(1.2 * quota, quota + 40)  # so that chance does not leave a language out
+    limits = docs.sparkSession.createDataFrame([(r["__lang"], wanted / r["n"]) for r in counts], "__lang string, __limit double")
+    start = F.regexp_replace("__text", r"^\P{L}+", "")
+    sample = (rows.withColumn("__chance", chance).join(F.broadcast(limits), "__lang").where("__chance < __limit")  # one row a language
+              .select("__id", "__lang", F.substring(start, 1, TRAIN_CHARS).alias("__text")))
     by_lang: dict[str, list[str]] = {}
-    for r in sorted(rows.where(wanted).collect(), key=lambda r: (r["__id"], r["__text"])):
+    for r in sorted(sample.collect(), key=lambda r: (r["__id"], r["__text"])):
         by_lang.setdefault(r["__lang"], []).append(r["__text"])
     return fit_texts({k: v[:quota] for k, v in by_lang.items()})
 
 
+def families_of(languages: list[str]) -> list[str]:
+    other = sorted(lang for lang in languages if lang not in FAMILY)
+    if len(other) <= GROUP:
+        return [FAMILY.get(lang, lang) for lang in languages]
+    dealt = {lang: f"other {k // GROUP}" for k, lang in enumerate(other)}
+    return [FAMILY.get(lang) or dealt[lang] for lang in languages]
+
+
 def fit_texts(by_lang: dict[str, list[str]]) -> Model | None:
     letter = letter_table()
     languages = sorted(by_lang)
@@ -212,26 +232,25 @@ def fit_texts(by_lang: dict[str, list[str]]) -> Model | None:
             end += n
     if not x:
         return None
-    y = np.array(y)
-    families = [FAMILY.get(lang, lang) for lang in languages]
+    x, y = np.stack(x), np.array(y)
+    families = families_of(languages)
     fits = [fit_shares(by_lang[lang], letter) for lang in languages]
     own = np.array(families)[y]
-    machines, targets = [], []
     names = sorted(set(families))
-    for i, a in enumerate(names):
-        for b in names[i + 1:]:
-            machines.append(("", a, b))
-            targets.append((own == a) * 1.0 - (own == b) * 1.0)
-    for f in names:
-        inside = [k for k, name in enumerate(families) if name == f]
-        for i, a in enumerate(inside):
-            for b in inside[i + 1:]:
-                machines.append((f, languages[a], languages[b]))
-                targets.append((y == a) * 1.0 - (y == b) * 1.0)
-    if not machines:
-        return Model(languages, families, [], np.zeros((DIMS, 0), np.float32), np.zeros(0, np.float32), fits)
-    w, b = fit_machines(np.stack(x), np.stack(targets, 1).astype(np.float32))
-    return Model(languages, families, machines, w, b, fits)
+    levels = [("", names, own)]
+    levels += [(f, [lang for lang, name in zip(languages, families) if name == f], np.array(languages)[y]) for f in names]
+    machines, weights, bias = [], [np.zeros((DIMS, 0), np.float32)], [np.zeros(0, np.float32)]
+    for level, sides, side in levels:
+        games = [(a, b) for i, a in enumerate(sides) for b in sides[i + 1:]]
+        if games:
+            inside = np.isin(side, sides)
+            side = side[inside]
+            w, b = fit_machines(x if inside.all() else x[inside],
+                                np.stack([(side == p) * np.float32(1) - (side == q) * np.float32(1) for p, q in games], 1))
+            machines += [(level, p, q) for p, q in games]
+            weights.append(w)
+            bias.append(b)
+    return Model(languages, families, machines, np.concatenate(weights, 1), np.concatenate(bias), fits)
 
 
 def tournament(names: list[str], games: list[tuple[int, str, str]], margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

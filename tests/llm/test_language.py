@@ -55,3 +55,17 @@ def test_tournament_breaks_ties_by_margin_then_name():
     games = [(0, "a", "b"), (1, "a", "c"), (2, "b", "c")]
     best, won = language.tournament(["a", "b", "c"], games, np.array([[1.0, -1.0, 0.5], [1.0, -1.0, 1.0], [-1.0, 0.0, -3.0]]))
     assert best.tolist() == [2, 0, 2] and ((0 <= won) & (won <= 1)).all()
+
+
+def test_all_languages_are_learned(spark):
+    """More than a hundred languages, one of them with long texts only."""
+    rng = np.random.default_rng(1)
+    langs = [f"l{k:03d}" for k in range(119)] + ["en"]
+    words = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 4)) for _ in range(6)] for _ in langs]
+    rows = [(lang, " ".join(rng.choice(w, 30 if lang != "en" else 5000))) for lang, w in zip(langs, words) for _ in range(6)]
+    frame = docs(spark, [r[1] for r in rows], langs=[r[0] for r in rows])
+    model = language.fit(frame)
+    assert model.languages == sorted(langs) and len(model.machines) < 120 * 16
+    out = {r["doc_id"]: r["lang_pred"] for r in language.identify(frame, model).collect()}
+    assert sum(out[i] == r[0] for i, r in enumerate(rows)) > 0.97 * len(rows)
+    assert all(out[i] == "en" for i, r in enumerate(rows) if r[0] == "en")
