@@ -24,7 +24,7 @@ Families are a table of common language codes; a language that it lacks is a fam
 into families of at most ``GROUP`` by name, so the machines do not grow with the square of all languages' number.
 
 Defined results: ``und`` with score 0 for null texts and texts without a letter, and for all texts if there is nothing to learn from; with
-one language only, that language with score 1, or 0 for texts that do not fit it; null ids and null languages teach nothing; repeated rows are judged each on its own; an empty table gives no
+one language only, that language with score 1, or 0 for texts that do not fit it; null ids and null languages teach nothing, an id that rows repeat by its smallest text; repeated rows are judged each on its own; an empty table gives no
 rows. Columns of the input named lang_pred or score are replaced, all others pass through.
 """
 
@@ -194,7 +194,7 @@ def fit(docs: DataFrame, folds: int = 4, held_out: int = 2, text_col: str = "tex
                        F.col(lang_col).cast("string").alias("__lang"))
     rows = rows.where(F.col("__id").isNotNull() & F.col("__lang").isNotNull() & (fold("__id", folds) != held_out)
                       & F.col("__text").rlike(r"\p{L}"))
-    counts = rows.groupBy("__lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    counts = rows.groupBy("__lang").agg(F.count_distinct("__id").alias("n")).collect()
     if not counts:
         return None
     quota = min(MAX_PER_LANGUAGE, max(MIN_PER_LANGUAGE, TRAIN_DOCS // len(counts)))
@@ -203,7 +203,8 @@ def fit(docs: DataFrame, folds: int = 4, held_out: int = 2, text_col: str = "tex
     limits = docs.sparkSession.createDataFrame([(r["__lang"], wanted / r["n"]) for r in counts], "__lang string, __limit double")
     start = F.regexp_replace("__text", r"^\P{L}+", "")
     sample = (rows.withColumn("__chance", chance).join(F.broadcast(limits), "__lang").where("__chance < __limit")  # one row a language
-              .select("__id", "__lang", F.substring(start, 1, TRAIN_CHARS).alias("__text")))
+              .select("__id", "__lang", F.substring(start, 1, TRAIN_CHARS).alias("__text"))
+              .groupBy("__id", "__lang").agg(F.min("__text").alias("__text")))
     by_lang: dict[str, list[str]] = {}
     for r in sorted(sample.collect(), key=lambda r: (r["__id"], r["__text"])):
         by_lang.setdefault(r["__lang"], []).append(r["__text"])

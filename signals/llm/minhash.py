@@ -196,6 +196,11 @@ def forest(tile: pa.Table, within: bool) -> list[tuple[int, int]]:
     return found
 
 
+def texts_of(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """One row per (id, text_hash) of ``members``, however many rows of ``texts`` repeat it."""
+    return texts.join(members.select("id", "text_hash"), ["id", "text_hash"], "left_semi").dropDuplicates(["id", "text_hash"])
+
+
 def links(members: DataFrame, texts: DataFrame) -> DataFrame:
     """Spanning links (u, v) of candidate groups.
 
@@ -204,7 +209,7 @@ def links(members: DataFrame, texts: DataFrame) -> DataFrame:
     per_block = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n_shingles") * SHINGLE_BYTES / BLOCK_BYTES))
     sizes = members.groupBy("group").agg(per_block.cast("int").alias("blocks"))
     dealt = (members.join(sizes, "group").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-             .join(texts, ["id", "text_hash"]))
+             .join(texts_of(members, texts), ["id", "text_hash"]))
     tiles = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "group", F.least("b", "o").alias("first"), F.greatest("b", "o").alias("last"),
         (F.col("b") > F.col("o")).alias("second"), "id", "text", "planes")

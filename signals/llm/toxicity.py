@@ -281,7 +281,8 @@ def fit(docs: DataFrame, labels: DataFrame, held_out_folds: int = 5, text_col: s
         sample = part if sample is None else sample.unionByName(part)
     rows = (docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
             .where(F.length("__text") <= TRAIN_CHARS)
-            .join(F.broadcast(sample), "__id").select("__id", "__text", "__toxic").collect())  # ≤ 2 · TRAIN_DOCS rows were sampled
+            .join(F.broadcast(sample), "__id")  # ≤ 2 · TRAIN_DOCS ids were sampled
+            .groupBy("__id", "__toxic").agg(F.min("__text").alias("__text")).collect())  # one text of each, however many rows repeat it
     rows = distinct_texts([(r["__text"], int(r["__toxic"])) for r in sorted(rows, key=lambda r: (r["__id"], r["__text"]))])
     y = np.array([r[1] for r in rows], np.float64)
     if not 0 < y.sum() < len(y):

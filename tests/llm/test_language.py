@@ -1,4 +1,5 @@
 import zlib
+from unittest import mock
 
 import numpy as np
 import pytest
@@ -69,3 +70,17 @@ def test_all_languages_are_learned(spark):
     out = {r["doc_id"]: r["lang_pred"] for r in language.identify(frame, model).collect()}
     assert sum(out[i] == r[0] for i, r in enumerate(rows)) > 0.97 * len(rows)
     assert all(out[i] == "en" for i, r in enumerate(rows) if r[0] == "en")
+
+
+def test_rows_that_repeat_an_id_reach_the_driver_once(spark):
+    df = docs(spark, [f"some text {chr(97 + k % 26)}" for k in range(3000)] + ["other text"] * 40, ids=[1] * 3000 + list(range(2, 42)))
+    sizes, collect = [], type(df).collect
+
+    def counted(self):
+        rows = collect(self)
+        sizes.append(len(rows))
+        return rows
+
+    with mock.patch.object(type(df), "collect", counted):
+        assert language.fit(df).languages == ["en"]
+    assert 1 < max(sizes) <= 41

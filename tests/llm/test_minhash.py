@@ -113,3 +113,10 @@ def test_components_equal_union_find(spark):
     df = spark.createDataFrame(edges + [(None, 3)], "u long, v long")
     assert {r[0]: r[1] for r in connected_components(df).collect()} == {x: find(x) for x in list(root)}
     assert connected_components(df.where("u < 0")).count() == 0
+
+
+def test_rows_that_repeat_an_id_and_text_enter_a_tile_once(spark):
+    rows = [(1, 10, "a")] * 500 + [(1, 11, "b"), (2, 10, "a"), (3, 12, "c")]
+    texts = spark.createDataFrame(rows, "id long, text_hash long, text string")
+    members = spark.createDataFrame([(1, 10), (3, 12)], "id long, text_hash long")
+    assert sorted(tuple(r) for r in minhash.texts_of(members, texts).select("id", "text_hash", "text").collect()) == [(1, 10, "a"), (3, 12, "c")]

@@ -1,5 +1,6 @@
 import math
 import zlib
+from unittest import mock
 
 import numpy as np
 import pytest
@@ -74,3 +75,18 @@ def test_nothing_to_learn_from(spark):
     both = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
     empty = docs(spark, [None, "", "1 2 3"] * 7)
     assert toxicity.tag(empty, toxicity.fit(empty, both)).count() == 21
+
+
+def test_rows_that_repeat_an_id_reach_the_driver_once(spark):
+    df = docs(spark, [f"some text {k}" for k in range(3000)] + ["you fool"] * 20, ids=[1] * 3000 + list(range(2, 22)))
+    labels = spark.createDataFrame([(i, int(i > 1)) for i in range(1, 22)], "doc_id long, toxic int")
+    sizes, collect = [], type(df).collect
+
+    def counted(self):
+        rows = collect(self)
+        sizes.append(len(rows))
+        return rows
+
+    with mock.patch.object(type(df), "collect", counted):
+        toxicity.fit(df, labels, held_out_folds=1000)
+    assert 1 < max(sizes) <= 21
