@@ -12,9 +12,9 @@ sides meet by a shuffle; nothing is broadcast or sent to the driver but one flag
 base ``BINS`` (two or three). One vector that very many rows share fills one bin, not one task: a tile hands on at most k
 of equal scores. The prepared vectors and the intervals are tables in the shared folder.
 
-Defined results: a null vec_id, a null vector, or one that holds a null, non-finite or huge (64 · |x| ≥ 2^53) component takes no part; rows that
-repeat a vec_id count once, with the smallest vector; a query is scored against vectors of its own length only; a query with fewer than k candidates gets all; scores must lie
-within ±2^61; an empty table gives no rows. Extra columns are not read.
+Defined results: a null vec_id, a null vector, or one that holds a null or non-finite component takes no part; rows that
+repeat a vec_id count once, with the smallest vector; a query is scored against vectors of its own length only; a query with fewer than k candidates gets all; scores
+are exact, and one beyond ±(2^62 - 1), or a component with 64 · |x| ≥ 2^63, is an error; an empty table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -33,13 +33,21 @@ K = 20
 BINS = 256
 CHUNK_ROWS, BLOCK_ROWS = 2048, 1024
 EXACT = 1 << 53  # whole numbers that doubles hold
+LARGEST = (1 << 62) - 1  # score: twice it and one, the width of the first interval, is a 64-bit integer
+AT_ONCE = 4096
 
 
 def quantized(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", factor: int = 64) -> DataFrame:
     """(id, v, dim): whole-number vectors of the rows that take part."""
-    x = F.transform(F.col(vector_col), lambda c: c.cast("double") * factor)
-    usable = F.col(id_col).isNotNull() & F.coalesce(F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < EXACT)), F.lit(False))
-    return (vectors.where(usable).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda c: F.floor(c)).alias("v"))
+    x = F.transform(F.col(vector_col), lambda c: c.cast("double"))
+    finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    usable = F.col(id_col).isNotNull() & F.coalesce(finite, F.lit(False))
+
+    def whole(c):
+        error = F.raise_error(F.lit("a vector's component does not fit a 64-bit integer")).cast("long")
+        return F.when(F.abs(c * factor) < float(1 << 63), F.floor(c * factor)).otherwise(error)
+
+    return (vectors.where(usable).select(F.col(id_col).cast("long").alias("id"), F.transform(x, whole).alias("v"))
             .groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")))
 
 
@@ -48,12 +56,22 @@ def matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).reshape(len(column), dim)
 
 
-def scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact inner products: by floating point while its whole numbers are exact, else by 64-bit integers."""
+def scores(q: np.ndarray, c: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Exact inner products: by floating point while its whole numbers are exact, else by 64-bit integers, and by unbounded ones
+    where these could wrap. Those of a query with itself (``own``) are not used and may be anything."""
     most = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1])
     if most < EXACT:
         return (q.astype(np.float64) @ c.T.astype(np.float64)).astype(np.int64)
-    return q @ c.T
+    s = q @ c.T
+    size = np.abs(q).astype(np.float64) @ np.abs(c).astype(np.float64).T  # no sum of the products' parts is larger
+    row, col = np.nonzero((size >= LARGEST * (1 - 1e-6)) & ~own)
+    for at in range(0, len(row), AT_ONCE):
+        r, k = row[at:at + AT_ONCE], col[at:at + AT_ONCE]
+        exact = (q[r].astype(object) * c[k].astype(object)).sum(1)
+        if max(abs(e) for e in exact) > LARGEST:
+            raise OverflowError(f"a score is beyond {LARGEST}")
+        s[r, k] = exact.astype(np.int64)
+    return s
 
 
 def highest_bins(s: np.ndarray, own: np.ndarray, low: np.ndarray, width: np.ndarray, wanted: np.ndarray):
@@ -95,7 +113,8 @@ def pair(q: pa.Table, c: pa.Table):
     c = c.sort_by("id")
     dim = q.column("dim")[0].as_py()
     qi, ci = q.column("id").to_numpy(), c.column("id").to_numpy()
-    return qi, ci, scores(matrix(q.column("v"), dim), matrix(c.column("v"), dim)), qi[:, None] == ci[None, :]
+    own = qi[:, None] == ci[None, :]
+    return qi, ci, scores(matrix(q.column("v"), dim), matrix(c.column("v"), dim), own), own
 
 
 def count_bins(q: pa.Table, c: pa.Table) -> pa.Table:
@@ -125,7 +144,7 @@ def top_k(rows: DataFrame, is_query: Column, k: int = K) -> DataFrame:
                      F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)).alias("square")).first()
     chunks, blocks = max(1, -(-total["n"] // CHUNK_ROWS)), max(1, -(-total["q"] // BLOCK_ROWS))
     # by Cauchy-Schwarz all scores lie within the largest squared length
-    bound = min(int(total["square"] or 0) + 1, (1 << 62) - 1)
+    bound = min(int((total["square"] or 0) * (1 + 1e-9)) + 1, LARGEST)
     width = 2 * bound + 1
     state = rows.where(is_query).withColumns({"low": F.lit(-bound).cast("long"), "wanted": F.lit(k).cast("long")})
     while width > 1:

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from helpers import read, same_as_sql
 from pyspark.sql import functions as F
 from signals.llm import topk
@@ -55,3 +56,12 @@ def test_large_components_and_empty_tables(spark):
 def test_extra_columns_with_clashing_names(spark):
     df = read(spark, "embeddings").withColumns({"id": F.lit("x"), "v": F.lit(1), "score": F.lit(2), "low": F.lit(3)})
     assert topk.query(spark, df.where("vec_id < 50")).count() == 3 * 20
+
+
+def test_wide_scores_are_exact_or_an_error(spark):
+    rows = [(0, [2.0 ** 48, 1.0]), (1, [1.5, 2.5]), (2, [-1.25, 2.5]), (20, [2.0 ** 40, 2.0 ** 40]), (3, [0.0, 2.0])]
+    rows += [(40, [2.0 ** 35, 2.0 ** 35, 1.0]), (41, [2.0 ** 30, -(2.0 ** 30), 3.0]), (42, [2.0 ** 30, -(2.0 ** 30), 5.0])]
+    assert got(spark, [r for r in rows if r[0] != 20]) == brute([r for r in rows if r[0] != 20])
+    for wrong in (rows, [(0, [1e30]), (1, [1.0])], [(0, [3e10]), (1, [3e10])]):
+        with pytest.raises(Exception, match="beyond|does not fit"):
+            got(spark, wrong)
