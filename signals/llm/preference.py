@@ -103,8 +103,27 @@ def query(spark: SparkSession, turns: DataFrame) -> DataFrame:
     """
     both = conversations(turns, F.shiftright(F.col("__id").cast("long"), 1))
     even = F.pmod(F.col("__id"), F.lit(2)) == 0
-    pairs = preference_pairs(both.where(even), both.where(~even | even.isNull()))
-
+    return masks_as_text(preference_pairs(both.where(even), both.where(~even | even.isNull())))
+
+
+def query_replaced(spark: SparkSession, turns: DataFrame) -> DataFrame:
+    """All of ``conversations``, each as the chosen side of its own pair. The rejected side is the same conversation with its last
+    assistant turn's text replaced by that of the neighbour's (2j and 2j + 1 are neighbours; rejected_id is the neighbour), so both share
+    the turns before it. Without an assistant turn in both there is no rejected side."""
+    both = conversations(turns, F.col("__id"))
+    numbered = F.transform("__turns", lambda t, i: F.when(t["role"] == TRAINED_ROLE, i))
+    last = both.withColumn("__last", F.array_max(numbered))
+    said = last.where(F.col("__last").isNotNull()).select(
+        F.col("__id").cast("long").bitwiseXOR(F.lit(1).cast("long")).alias("__key"), F.col("__id").alias("__other"),
+        F.get("__turns", F.col("__last"))["text"].alias("__said"))
+    rejected = last.where(F.col("__last").isNotNull()).join(said, "__key").select(
+        "__key", F.col("__other").alias("__id"),
+        F.transform("__turns", lambda t, i: F.struct(t["turn"], t["role"], F.when(i == F.col("__last"), F.col("__said"))
+                                                     .otherwise(t["text"]).alias("text"))).alias("__turns"))
+    return masks_as_text(preference_pairs(both, rejected))
+
+
+def masks_as_text(pairs: DataFrame) -> DataFrame:
     def text(mask):
         return F.array_join(F.transform(mask, lambda s: F.concat_ws("-", s["start"], s["stop"])), ",")
 
@@ -149,3 +168,13 @@ SELECT pair_id, chosen_id, rejected_id, (a IS NOT NULL AND b IS NOT NULL) AS com
   CASE WHEN b IS NOT NULL THEN coalesce(array_to_string(mb, ','), '') END AS rejected_mask
 FROM masks
 """
+
+#: ``SQL`` with the other derivation of the two sides
+SQL_REPLACED = SQL[:SQL.index("pairs AS (")] + """last AS (
+  SELECT conv_id, t, list_max(list_filter(generate_series(1, len(t)), lambda i: t[i].role = 'assistant')) AS k FROM turns),
+pairs AS (
+  SELECT c.conv_id AS pair_id, c.conv_id AS chosen_id, o.conv_id AS rejected_id, c.t AS a,
+    CASE WHEN o.conv_id IS NOT NULL THEN list_transform(generate_series(1, len(c.t)), lambda i:
+      {'turn': c.t[i].turn, 'role': c.t[i].role, 'text': CASE WHEN i = c.k THEN o.t[o.k].text ELSE c.t[i].text END}) END AS b
+  FROM last c LEFT JOIN last o ON c.k IS NOT NULL AND o.k IS NOT NULL AND o.conv_id = xor(c.conv_id, 1)),
+""" + SQL[SQL.index("prefix AS ("):]

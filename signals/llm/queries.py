@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_shuffle_shards": lambda spark, d: sharding.query(spark, table(spark, d, "documents")),
     "op8_topk_search": lambda spark, d: topk.query(spark, table(spark, d, "embeddings")),
     "op9_preference_format": lambda spark, d: preference.query(spark, table(spark, d, "conversations")),
+    "op9_preference_replaced": lambda spark, d: preference.query_replaced(spark, table(spark, d, "conversations")),
     "op10_url_filter": lambda spark, d: urls.query(spark, table(spark, d, "pages")),
 }
 ORACLES: dict[str, str] = {
@@ -26,4 +27,5 @@ ORACLES: dict[str, str] = {
     "op3_quality_rules": quality.SQL,
     "op8_topk_search": topk.SQL,
     "op9_preference_format": preference.SQL,
+    "op9_preference_replaced": preference.SQL_REPLACED,
 }

@@ -47,3 +47,19 @@ def test_awkward_rows(spark):
 def test_no_python_in_the_plan(spark):
     plan = preference.query(spark, read(spark, "conversations"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def test_replaced_turns_leave_a_prefix(spark):
+    assert same_as_sql(spark, "op9_preference_replaced")
+    turns = read(spark, "conversations")
+    rows = preference.query_replaced(spark, turns).collect()
+    assert len(rows) == turns.select("conv_id").distinct().count()
+    first = {r["conv_id"]: r["role"] for r in turns.where("turn = 0").collect()}
+    pairs = [r for r in rows if r["complete"] and first.get(r["pair_id"]) != "assistant"]
+    assert len(pairs) > 0.5 * len(rows) and all(r["prefix_turns"] > 0 and r["prompt"] for r in pairs)
+    small = frame(spark, [(0, [("user", "q"), ("assistant", "a"), ("user", "x")]), (1, [("assistant", "b")]), (2, [("assistant", "c")]),
+                          (3, [("user", "d")])])
+    out = {r["pair_id"]: r for r in preference.query_replaced(spark, small).collect()}
+    assert out[0]["prompt"] == "<|user|>\nq<|end|>\n" and out[0]["rejected_id"] == 1
+    assert out[0]["rejected"] == "<|assistant|>\nb<|end|>\n<|user|>\nx<|end|>\n"
+    assert not out[2]["complete"] and not out[3]["complete"] and out[3]["rejected"] is None
