@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import types
 import uuid
 
 from pyspark import cloudpickle
@@ -20,6 +21,12 @@ def ship(module_name: str) -> None:
 ship(__name__)
 
 
+def worker_cache() -> dict:
+    """What a Python worker process keeps from task to task; its users bound what they put there."""
+    home = sys.modules.setdefault("_signals_llm_worker_cache", types.ModuleType("_signals_llm_worker_cache"))
+    return home.__dict__.setdefault("kept", {})
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -71,3 +71,29 @@ def test_clashing_columns_empty_table_and_bad_ids(spark, vocabulary):
     with pytest.raises(Exception):
         bpe.decode(bad, ranks).collect()
     assert bytes(bpe.decode(spark.createDataFrame([(None,)], "token_ids array<int>"), ranks).first()["decoded"]) == b""
+
+
+def test_tokens_of_any_length_and_dead_ends():
+    long, rnd = b"a" * 300, random.Random(8)
+    ranks = {bytes([b]): b for b in range(256)}
+    for size in (2, 4, 8, 16, 32, 64, 128, 256, 12, 44, 300):
+        ranks[b"a" * size] = len(ranks)
+    while len(ranks) < 400:  # a vocabulary made by merges: neighbours in a random text become a token
+        parts = bpe.merge_by_rank(bytes(rnd.choice(b"abcd") for _ in range(12)), ranks)
+        i = rnd.randrange(max(1, len(parts) - 1))
+        token = b"".join(parts[i:i + 2])
+        if token not in ranks and len(bpe.merge_by_rank(token, ranks)) == 2:
+            ranks[token] = len(ranks)
+    enc = bpe.Encoder(ranks, bpe.last_merges(ranks), r"(?s).+")
+    for data in [long, long + b"b", long * 3, *(bytes(rnd.choice(b"abcde") for _ in range(rnd.randint(1, 30))) for _ in range(2000))]:
+        assert enc.piece(data.decode("latin-1")) == [ranks[p] for p in bpe.merge_by_rank(data, ranks)]
+
+
+def test_one_pass_digests_equal_encode_and_decode(spark, vocabulary):
+    ranks, pattern, _ = vocabulary
+    df = spark.createDataFrame([(i, t, i) for i, t in enumerate(AWKWARD)], "doc_id long, text string, __text long").repartition(2)
+    two = bpe.digests(bpe.decode(bpe.encode(df, ranks, pattern), ranks))
+    one = bpe.digested(df, ranks, pattern).select(two.columns)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+    trips = bpe.round_trips(df, ranks, pattern)
+    assert trips.columns == ["doc_id", "text", "__text", "token_ids", "round_trip"] and all(r["round_trip"] for r in trips.collect())
