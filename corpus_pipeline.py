@@ -43,10 +43,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE: the columns of documents, token_ids, and the bytes that decoding them gives."""
-    ranks, pattern = bpe.default_vocabulary()
-    return bpe.decode(bpe.encode(docs, ranks, pattern), ranks).select(
-        *docs.columns, "token_ids", (F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("round_trip"))
+    """Byte-level BPE: the columns of documents, token_ids, and whether decoding them gives the text's bytes."""
+    return bpe.round_trips(docs, *bpe.default_vocabulary()).select(*docs.columns, "token_ids", "round_trip")
 
 
 STAGES = [("toxicity", drop_toxic), ("language_id", drop_unknown_language), ("near_dedup", drop_near_copies),
