@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, minhash, mixing, preference, quality, sharding, topk, toxicity, urls
+from . import bpe, hard_negatives, language, minhash, mixing, preference, quality, sharding, topk, toxicity, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_preference_format": lambda spark, d: preference.query(spark, table(spark, d, "conversations")),
     "op9_preference_replaced": lambda spark, d: preference.query_replaced(spark, table(spark, d, "conversations")),
     "op10_url_filter": lambda spark, d: urls.query(spark, table(spark, d, "pages")),
+    "op11_hard_negatives": lambda spark, d: hard_negatives.query(spark, table(spark, d, "embeddings")),
 }
 ORACLES: dict[str, str] = {
     "op1_poisson_mix": mixing.SQL,
@@ -28,4 +29,5 @@ ORACLES: dict[str, str] = {
     "op8_topk_search": topk.SQL,
     "op9_preference_format": preference.SQL,
     "op9_preference_replaced": preference.SQL_REPLACED,
+    "op11_hard_negatives": hard_negatives.SQL,
 }

@@ -37,17 +37,22 @@ LARGEST = (1 << 62) - 1  # score: twice it and one, the width of the first inter
 AT_ONCE = 4096
 
 
-def quantized(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", factor: int = 64) -> DataFrame:
-    """(id, v, dim): whole-number vectors of the rows that take part."""
+def whole_vectors(vector_col: str, factor: int) -> tuple[Column, Column]:
+    """Whether a row's vector can take part, and its components times ``factor`` as whole numbers."""
     x = F.transform(F.col(vector_col), lambda c: c.cast("double"))
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    usable = F.col(id_col).isNotNull() & F.coalesce(finite, F.lit(False))
 
     def whole(c):
         error = F.raise_error(F.lit("a vector's component does not fit a 64-bit integer")).cast("long")
         return F.when(F.abs(c * factor) < float(1 << 63), F.floor(c * factor)).otherwise(error)
 
-    return (vectors.where(usable).select(F.col(id_col).cast("long").alias("id"), F.transform(x, whole).alias("v"))
+    return F.coalesce(finite, F.lit(False)), F.transform(x, whole)
+
+
+def quantized(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", factor: int = 64) -> DataFrame:
+    """(id, v, dim): whole-number vectors of the rows that take part."""
+    usable, whole = whole_vectors(vector_col, factor)
+    return (vectors.where(F.col(id_col).isNotNull() & usable).select(F.col(id_col).cast("long").alias("id"), whole.alias("v"))
             .groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")))
 
 
