@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, bpe, hard_negatives, language, minhash, mixing, preference, quality, sharding, topk, toxicity, urls
+from . import alignment, bpe, embedding_dedup, hard_negatives, language, minhash, mixing, preference, quality, sharding, topk, toxicity, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filter": lambda spark, d: urls.query(spark, table(spark, d, "pages")),
     "op11_hard_negatives": lambda spark, d: hard_negatives.query(spark, table(spark, d, "embeddings")),
     "op12_token_alignment": lambda spark, d: alignment.query(spark, table(spark, d, "documents")),
+    "op13_embedding_dedup": lambda spark, d: embedding_dedup.query(spark, table(spark, d, "embeddings")),
 }
 ORACLES: dict[str, str] = {
     "op1_poisson_mix": mixing.SQL,
