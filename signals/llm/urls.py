@@ -9,11 +9,12 @@ Rules are written ``host/path``. A rule fits its host and all subdomains of it i
 fitting rule wins. The rules are compiled into the projection, so their number is a parameter of the plan (``MAX_RULES``).
 
 Scale: URLs are read once for the counts by suffix (partial aggregates: a suffix that a third of all rows share is one row per task), once for the
-sample, once for the scores. The sample is bounded: ``TRAIN_ROWS`` labelled rows in expectation, chosen by the hash of the URL, so copies of one URL come and go together.
+sample, once for the scores. The sample is bounded: at most ``TRAIN_ROWS`` rows, of each verdict the half with the smallest hashes among distinct URLs, so a URL that most rows repeat is one row
+and a rare verdict is learned. In training a suffix's share of blocked URLs comes from the other folds.
 The suffix table joins by Spark's own choice; adaptive execution splits a hot suffix.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, fits no rule and is scored by its features; repeated rows are judged
-each on its own; without labelled URLs of both verdicts the method's verdict is the only labelled one, or allow; an empty table gives no rows.
+each on its own; a URL labelled with both verdicts teaches both; null labelled URLs teach nothing; without labelled URLs of both verdicts the method's verdict is the only labelled one, or allow; an empty table gives no rows.
 Columns of the input named host, path, rule, verdict or score are replaced, all others pass through.
 """
 
@@ -32,6 +33,7 @@ from ..session import shared_dir
 TRAIN_ROWS = 10_000
 TREES, DEPTH = 20, 4
 MAX_RULES = 1000
+FOLDS = 5  # of training rows, for the share of blocked ones of a suffix
 PRIOR_ROWS = 20.0  # rows of the overall share that a suffix's share is smoothed with
 ADDED = ("host", "path", "rule", "verdict", "score")
 
@@ -116,6 +118,22 @@ def features(df: DataFrame, url_col: str) -> DataFrame:
     })
 
 
+def training_sample(known: DataFrame, seed: int) -> DataFrame:
+    """Of each verdict the ``TRAIN_ROWS`` / 2 distinct URLs of smallest hash (all, if there are fewer).
+
+    A sketch counts the distinct URLs of each verdict; URLs whose hash is far beyond what the quota can reach go before any shuffle.
+    """
+    quota = TRAIN_ROWS // 2
+    size = {r["verdict"]: r["n"] for r in known.groupBy("verdict").agg(F.approx_count_distinct("url", 0.02).alias("n")).collect()}
+    place = F.pmod(F.xxhash64("url", F.lit(seed)), F.lit(1 << 40)) / (1 << 40)
+    parts = []
+    for verdict in ("allow", "block"):
+        share = min(1.0, 2 * quota / max(1, size.get(verdict, 0)) + 1e-9)
+        own = known.where((F.col("verdict") == verdict) & (place < share)).withColumn("__place", place)
+        parts.append(own.dropDuplicates(["url"]).orderBy("__place", "url").limit(quota).drop("__place"))
+    return parts[0].unionByName(parts[1])
+
+
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, labelled: DataFrame | None = None, url_col: str = "url",
           seed: int = 10) -> DataFrame:
     """All rows with host, path, rule, verdict and score (the trees' probability of block).
@@ -131,29 +149,38 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, labelled: DataFrame
     if labelled is None:
         known = parsed.where(F.col("__ruled").isNotNull()).select(url.alias("url"), "host", "path", F.col("__ruled").alias("verdict"))
     else:
-        known = labelled.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "verdict")
-    counts = {r["verdict"]: r["n"] for r in known.groupBy("verdict").agg(F.count(F.lit(1)).alias("n")).collect()}
+        known = labelled.where(F.col("url").isNotNull()).select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "verdict")
+    train = features(training_sample(known, seed), "url").withColumns({
+        "label": F.when(F.col("verdict") == "block", 1.0).otherwise(0.0),
+        "__fold": F.pmod(F.xxhash64("url", F.lit(seed + 1)), F.lit(FOLDS))}).checkpoint()
+    counts = {r["verdict"]: r["n"] for r in train.groupBy("verdict").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not (counts.get("allow") and counts.get("block")):
         only = "block" if counts.get("block") else "allow"
         return parsed.select(*pages.columns, "host", "path", "rule", F.coalesce("__ruled", F.lit(only)).alias("verdict"),
                              F.lit(1.0 if only == "block" else 0.0).alias("score"))
-    chance = F.pmod(F.xxhash64("url", F.lit(seed)), F.lit(1 << 20)) / (1 << 20)
-    train = features(known.where(chance < TRAIN_ROWS / sum(counts.values())), "url").withColumn(
-        "label", F.when(F.col("verdict") == "block", 1.0).otherwise(0.0)).checkpoint()
     prior = counts["block"] / sum(counts.values())
-    learned = train.groupBy("__suffix").agg(F.count(F.lit(1)).alias("__n"), F.sum("label").alias("__b"))
+    by_fold = train.groupBy("__suffix", "__fold").agg(F.count(F.lit(1)).alias("__in"), F.sum("label").alias("__ib"))
+    learned = by_fold.groupBy("__suffix").agg(F.sum("__in").alias("__n"), F.sum("__ib").alias("__b"))
     seen = features(parsed, url_col).groupBy("__suffix").agg(F.count(F.lit(1)).alias("__all")).checkpoint()
     total = seen.agg(F.sum("__all")).scalar()
+
+    def blocked(n, b):
+        return (F.coalesce(b, F.lit(0.0)) + prior * PRIOR_ROWS) / (F.coalesce(n, F.lit(0)) + PRIOR_ROWS)
+
     suffixes = (seen.join(learned, "__suffix", "left")
                 .select("__suffix", (F.col("__all") / total).alias("suffix_share"),
-                        ((F.coalesce("__b", F.lit(0.0)) + prior * PRIOR_ROWS) / (F.coalesce("__n", F.lit(0)) + PRIOR_ROWS))
-                        .alias("suffix_blocked"))).checkpoint()
+                        blocked(F.col("__n"), F.col("__b")).alias("suffix_blocked"))).checkpoint()
+    # a training row's suffix is judged by the other folds: its own label must not speak through it
+    others = by_fold.join(learned, "__suffix").select(
+        "__suffix", "__fold", blocked(F.col("__n") - F.col("__in"), F.col("__b") - F.col("__ib")).alias("suffix_blocked"))
 
     def complete(df):
         return df.join(suffixes, "__suffix", "left").fillna(0.0, ["suffix_share"]).fillna(prior, ["suffix_blocked"])
 
+    train = (train.join(suffixes.drop("suffix_blocked"), "__suffix", "left").fillna(0.0, ["suffix_share"])
+             .join(others, ["__suffix", "__fold"], "left"))
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="__features")
-    sample = assembler.transform(complete(train)).select("__features", "label").coalesce(4).cache()
+    sample = assembler.transform(train).select("__features", "label").coalesce(4).cache()
     model = GBTClassifier(featuresCol="__features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=seed,
                           predictionCol="__prediction").fit(sample)
     model.setProbabilityCol("__probability").setRawPredictionCol("__raw")

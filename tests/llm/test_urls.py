@@ -78,3 +78,30 @@ def test_empty_one_sided_and_clashing(spark):
 def test_too_many_rules(spark):
     with pytest.raises(ValueError):
         urls.ruled(tuple(urls.Rule(f"h{i}/", "allow") for i in range(urls.MAX_RULES + 1)))
+
+
+def test_sample_is_bounded_and_holds_both_verdicts(spark, monkeypatch):
+    """One URL in nearly all rows, and a rare verdict: distinct URLs are drawn, of each verdict its share."""
+    from pyspark.sql import functions as F
+    monkeypatch.setattr(urls, "TRAIN_ROWS", 200)
+    hot = spark.range(20_000).select(F.lit("http://hot.test/a").alias("url"), F.lit("block").alias("verdict"))
+    many = spark.range(3_000).select(F.concat(F.lit("http://n"), "id", F.lit(".test/")).alias("url"), F.lit("block").alias("verdict"))
+    few = spark.range(7).select(F.concat(F.lit("http://ok"), "id", F.lit(".test/")).alias("url"), F.lit("allow").alias("verdict"))
+    for seed in range(6):
+        rows = urls.training_sample(hot.unionByName(many).unionByName(few), seed).collect()
+        assert len({r["url"] for r in rows}) == len(rows) == 107 and sum(r["verdict"] == "allow" for r in rows) == 7
+    hashes = {r["url"]: r["h"] for r in many.select("url", F.pmod(F.xxhash64("url", F.lit(3)), F.lit(1 << 40)).alias("h")).collect()}
+    got = {r["url"] for r in urls.training_sample(many, 3).collect()}
+    assert got == set(sorted(hashes, key=hashes.get)[:100])
+
+
+def test_repeated_url_does_not_decide_the_others(spark):
+    """The case of one URL in 99 % of the rows: URLs without a rule are still told apart."""
+    from pyspark.sql import functions as F
+    hot = spark.range(20_000).select(F.lit("http://w.example.com/de/1").alias("url"))
+    block = spark.range(60).select(F.concat(F.lit("http://s"), "id", F.lit(".com/de/9?a=1&b=2&c="), "id").alias("url"))
+    allow = spark.range(60).select(F.concat(F.lit("https://s"), "id", F.lit(".com/fr/x")).alias("url"))
+    new = spark.createDataFrame([("http://s7.net/de/9?a=1&b=2&c=3",), ("https://s7.net/fr/x",)], "url string")
+    for seed in (10, 11):
+        rows = {r["url"]: r["verdict"] for r in urls.judge(hot.unionByName(block).unionByName(allow).unionByName(new), seed=seed).distinct().collect()}
+        assert rows["http://s7.net/de/9?a=1&b=2&c=3"] == "block" and rows["https://s7.net/fr/x"] == "allow"
