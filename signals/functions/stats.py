@@ -2,17 +2,20 @@
 
 * ``min_max`` uses a scalar subquery: the one-row aggregate is
   planned by Catalyst (partial + final aggregation) and inlined, no join.
-* ``exact_medians`` and ``mode_values`` count the values of all columns at once (a
-  distributed shuffle) and rank or compare the counts; the driver receives one
-  row per column, whatever the size of the table.
+* ``mode_values`` counts the values of all columns at once (a distributed shuffle)
+  and compares the counts; the driver receives one row per column.
+* ``exact_medians`` brackets the middle ranks of all columns by a mergeable sketch
+  and counts only the values inside the brackets.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
 from .columns import nan_to_null, safe_div
 
 
@@ -55,30 +58,109 @@ def mode_values(df: DataFrame, cols: list[str]) -> dict[str, str | None]:
     return {c: found.get(c) for c in cols}
 
 
-def exact_medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
-    """Exact medians of the non-null, non-NaN values (mean of the two middle values); None without any.
+#: quantiles of a sketch that one pass brings to the driver, and the sketch's accuracy (its rank error is rows / ACCURACY)
+GRID, ACCURACY = 512, 10_000
+#: rows of one column that may be left inside its bracket when the values themselves are counted
+FINAL_ROWS = 1_000_000
+
+
+def quantile_grid(value: Column) -> Column:
+    """Mergeable aggregate: GRID + 1 evenly spaced approximate quantiles (NULLs are skipped; NULL without values)."""
+    return F.percentile_approx(value, [i / GRID for i in range(GRID + 1)], ACCURACY)
+
+
+@dataclass(frozen=True)
+class Bracket:
+    """Values [lo, hi] of a column (None: unbounded) that hold both middle ranks of its ``n`` values; about ``inside`` rows lie in it."""
+
+    n: int
+    lo: float | None = None
+    hi: float | None = None
+    inside: float = math.inf
+
+    def holds(self, value: Column) -> Column:
+        above = F.lit(True) if self.lo is None else value >= F.lit(self.lo)
+        return above if self.hi is None else above & (value <= F.lit(self.hi))
+
+    def narrowed(self, below: int, inside: int, grid: list[float]) -> Bracket:
+        """The grid cells around the middle ranks, one more on either side for the sketch's error."""
+        cell = [(r - below) / max(1, inside) * GRID for r in ((self.n - 1) // 2, self.n // 2)]
+        i, j = math.floor(cell[0]) - 1, math.ceil(cell[1]) + 1
+        return Bracket(self.n, grid[i] if i > 0 else self.lo, grid[j] if j < GRID else self.hi, inside * (j - i) / GRID)
+
+
+def narrow(df: DataFrame, brackets: dict[str, Bracket]) -> dict[str, Bracket]:
+    """One pass: rows below and inside every bracket and a sketch of what lies inside, for all columns at once."""
+    parts = []
+    for c, b in brackets.items():
+        inside = b.holds(F.col(c))
+        parts.append(F.struct(F.count(F.when(F.col(c) < F.lit(b.lo), 1)).alias("below") if b.lo is not None else F.lit(0).alias("below"),
+                              F.count(F.when(inside, F.col(c))).alias("inside"),
+                              quantile_grid(F.when(inside, F.col(c))).alias("grid")).alias(c))
+    row = df.agg(*parts).first()
+    return {c: b.narrowed(row[c]["below"], row[c]["inside"], row[c]["grid"]) for c, b in brackets.items()}
+
+
+def medians_inside(df: DataFrame, brackets: dict[str, Bracket]) -> dict[str, float]:
+    """Exact medians from the values inside the brackets; the values below only count.
 
-    The value counts of all columns are range-partitioned by (column, value) and checkpointed; a value's rank is the
-    number of rows in its column's earlier partitions (one row per column and partition) plus the running count inside its partition. The same plan
-    at every size; the driver receives one row per column.
+    What is shuffled is one row per task for the values below and one per distinct value inside.
     """
-    if not cols:
-        return {}
-    counts = value_counts(df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in cols]), cols, "double")
-    placed = checkpoint(counts.repartitionByRange("column", "value").sortWithinPartitions("column", "value")
-                        .withColumn("part", F.spark_partition_id()))
-    per_part = placed.groupBy("column", "part").agg(F.sum("n").alias("in_part"))
-    column = Window.partitionBy("column")
-    earlier = column.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_part.select("column", "part", F.coalesce(F.sum("in_part").over(earlier), F.lit(0)).alias("before"),
-                              F.sum("in_part").over(column).alias("total"))
-    inside = Window.partitionBy("column", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = placed.withColumn("upto", F.sum("n").over(inside)).join(offsets, ["column", "part"])
-    last = F.col("before") + F.col("upto")
+    cells = [F.struct(F.lit(c).alias("column"), F.col(c).alias("value"), b.holds(F.col(c)).alias("inside"))
+             for c, b in brackets.items()]
+    at = df.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+    highest = F.lit(None).cast("double")
+    for c, b in brackets.items():
+        if b.hi is not None:
+            highest = F.when(F.col("column") == c, F.lit(b.hi)).otherwise(highest)
+    kept = at.where(F.col("value").isNotNull() & (F.col("inside") | highest.isNull() | (F.col("value") <= highest)))
+    counts = (kept.groupBy("column", F.when(F.col("inside"), F.col("value")).alias("value"))  # all below: one NULL
+              .agg(F.count(F.lit(1)).alias("n")))
+    up = Window.partitionBy("column").orderBy(F.asc_nulls_first("value")).rowsBetween(Window.unboundedPreceding, 0)
+    last = F.col("upto")  # at most FINAL_ROWS values of a column are ranked in one task
 
     def holds(rank):
         return F.max(F.when((last - F.col("n") <= rank) & (rank < last), F.col("value")))
 
-    middle = ranked.groupBy("column").agg(holds(F.expr("(total - 1) div 2")).alias("a"), holds(F.expr("total div 2")).alias("b"))
-    found = {r["column"]: (r["a"] + r["b"]) / 2.0 for r in middle.collect()}
+    low, high = F.lit(None).cast("long"), F.lit(None).cast("long")
+    for c, b in brackets.items():
+        low = F.when(F.col("column") == c, F.lit((b.n - 1) // 2)).otherwise(low)
+        high = F.when(F.col("column") == c, F.lit(b.n // 2)).otherwise(high)
+    middle = counts.withColumn("upto", F.sum("n").over(up)).groupBy("column").agg(holds(low).alias("a"), holds(high).alias("b"))
+    return {r["column"]: (r["a"] + r["b"]) / 2.0 for r in middle.collect()}  # one row per column
+
+
+def exact_medians(df: DataFrame, cols: list[str], first: dict[str, Bracket] | None = None) -> dict[str, float | None]:
+    """Exact medians of the non-null, non-NaN values (mean of the two middle values); None without any.
+
+    A mergeable sketch of every column brackets its two middle ranks in one pass over the table. While more than ``FINAL_ROWS``
+    rows can lie inside a bracket, another pass sketches what lies inside, which leaves about 3 / ``GRID`` of it; then the values inside are
+    counted and ranked exactly. No column's values are shuffled but those. Passes grow with the logarithm of the rows to base
+    ``GRID`` / 3; the driver receives one row a pass.
+
+    ``first``: brackets of a pass made before (``profile``).
+    """
+    if not cols:
+        return {}
+    df = df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in cols])
+    brackets = {c: first[c] for c in cols if c in first} if first else profile(df, cols)[2]
+    brackets = {c: b for c, b in brackets.items() if b.n}
+    while wide := {c: b for c, b in brackets.items() if b.inside > FINAL_ROWS and (b.lo is None or b.hi is None or b.lo < b.hi)}:
+        finer = narrow(df, wide)
+        brackets |= finer
+        if all(finer[c].inside >= 0.9 * wide[c].inside for c in wide):
+            break  # no sketch can part them: few distinct values
+    found = medians_inside(df, brackets) if brackets else {}
     return {c: found.get(c) for c in cols}
+
+
+def profile(df: DataFrame, numeric: list[str], other: tuple | list = ()) -> tuple[dict[str, int], int, dict[str, Bracket]]:
+    """One pass over a table: NULLs of every column, rows, and brackets of the medians of the numeric columns."""
+    value = {c: nan_to_null(F.col(c).cast("double")) for c in numeric}
+    row = df.agg(F.count(F.lit(1)).alias("__rows"),
+                 *[F.struct(F.count(value[c]).alias("n"), quantile_grid(value[c]).alias("grid")).alias(c) for c in numeric],
+                 *[F.count(c).alias(c) for c in other]).first()
+    rows = int(row["__rows"])
+    counts = {**{c: int(row[c]["n"]) for c in numeric}, **{c: int(row[c]) for c in other}}
+    brackets = {c: Bracket(counts[c]).narrowed(0, counts[c], row[c]["grid"]) if counts[c] else Bracket(0) for c in numeric}
+    return {c: rows - n for c, n in counts.items()}, rows, brackets

@@ -1,9 +1,10 @@
 """Table cleaning: impute → clip to valid range → coerce declared booleans.
 
 NaN counts as NULL. Imputation statistics are exact and computed without holding
-a column in one place: medians and modes of all columns from one count of their
-values each (see ``functions.stats``), by the same plan at every table size. Only
-columns that contain NULLs are imputed (one pass counts the NULLs of every column).
+a column in one place: one pass counts the NULLs of every column and brackets the
+medians by a sketch, a second counts the values inside the brackets, and one count of
+their values gives the modes (see ``functions.stats``). Only columns that contain
+NULLs are imputed.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions.columns import clip, nan_to_null
-from ..functions.stats import exact_medians, mode_values, null_counts
+from ..functions.stats import exact_medians, mode_values, null_counts, profile
 
 log = logging.getLogger(__name__)
 
@@ -31,10 +32,10 @@ def imputation_values(df: DataFrame, exclude: tuple = ()) -> dict:
     df = without_nan(df)
     types = {f.name: f.dataType for f in df.schema.fields}
     cols = [c for c in df.columns if c not in exclude]
-    nulls, n_rows = null_counts(df, cols, with_rows=True)
+    numeric = [c for c in cols if isinstance(types[c], _NUMERIC)]
+    nulls, n_rows, brackets = profile(df, numeric, [c for c in cols if c not in numeric])
     some = [c for c in cols if 0 < nulls[c] < n_rows]  # an all-NULL column has neither median nor mode
-    fills: dict = {c: m for c, m in exact_medians(df, [c for c in some if isinstance(types[c], _NUMERIC)]).items()
-                   if m is not None}
+    fills: dict = {c: m for c, m in exact_medians(df, [c for c in some if c in numeric], brackets).items() if m is not None}
     for c, m in mode_values(df, [c for c in some if not isinstance(types[c], _NUMERIC)]).items():
         fills[c] = m if isinstance(types[c], T.StringType) else F.lit(m).cast(types[c])
     for c in cols:
@@ -59,8 +60,8 @@ def impute(df: DataFrame, exclude: tuple = (), fills: dict | None = None) -> Dat
 
 def impute_median(df: DataFrame, cols: list[str]) -> DataFrame:
     """NULLs of the numeric ``cols`` → exact column median (mean of the two middle values)."""
-    nulls = null_counts(without_nan(df), cols)
-    medians = exact_medians(df, [c for c in cols if nulls[c] > 0])
+    nulls, _, brackets = profile(df, cols)
+    medians = exact_medians(df, [c for c in cols if nulls[c] > 0], brackets)
     return impute(df, fills={c: m for c, m in medians.items() if m is not None})
 
 

@@ -172,3 +172,24 @@ def test_empty_portfolio_summary(spark):
     assert report.startswith("# Executive Summary") and "0 concepts evaluated" in report
     k = portfolio_kpis(outcomes).first()
     assert k["total_concepts"] == 0 and k["mean_readiness"] is None
+
+
+def test_medians_by_narrowing_brackets(spark, monkeypatch):
+    """Several passes over the table, ties and few distinct values: always the exact median."""
+    from signals.functions import stats
+    monkeypatch.setattr(stats, "GRID", 16)
+    monkeypatch.setattr(stats, "ACCURACY", 100)
+    monkeypatch.setattr(stats, "FINAL_ROWS", 40)
+    rng = np.random.default_rng(3)
+    n = 5000
+    cols = {"normal": rng.normal(size=n), "ties": rng.integers(0, 7, n).astype(float), "skew": np.exp(8 * rng.normal(size=n)),
+            "two": np.repeat([1.0, 2.0], n // 2), "most": np.where(rng.random(n) < 0.9, 5.0, rng.normal(size=n)), "wide": rng.normal(size=n) * 1e300}
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(*cols.values())], ", ".join(f"{c} double" for c in cols)).repartition(6)
+    passes = []
+    whole = stats.narrow
+    monkeypatch.setattr(stats, "narrow", lambda d, b: passes.append(len(b)) or whole(d, b))
+    got = stats.exact_medians(df, list(cols))
+    for c, v in cols.items():
+        s = np.sort(v)
+        assert got[c] == (s[(n - 1) // 2] + s[n // 2]) / 2.0, c
+    assert passes  # at least one pass narrowed a bracket
