@@ -58,15 +58,17 @@ def mode_values(df: DataFrame, cols: list[str]) -> dict[str, str | None]:
     return {c: found.get(c) for c in cols}
 
 
-#: quantiles of a sketch that one pass brings to the driver, and the sketch's accuracy (its rank error is rows / ACCURACY)
-GRID, ACCURACY = 512, 10_000
+#: accuracy of a quantile sketch: its rank error is rows / ACCURACY
+ACCURACY = 1_000
+#: quantiles that one pass brings to the driver, closest around the middle
+PROBES = (0.0, 0.1, 0.25, 0.4, 0.45, 0.475, 0.49, 0.495, 0.4975, 0.5025, 0.505, 0.51, 0.525, 0.55, 0.6, 0.75, 0.9, 1.0)
 #: rows of one column that may be left inside its bracket when the values themselves are counted
 FINAL_ROWS = 1_000_000
 
 
-def quantile_grid(value: Column) -> Column:
-    """Mergeable aggregate: GRID + 1 evenly spaced approximate quantiles (NULLs are skipped; NULL without values)."""
-    return F.percentile_approx(value, [i / GRID for i in range(GRID + 1)], ACCURACY)
+def quantile_probes(value: Column) -> Column:
+    """Mergeable aggregate: approximate quantiles at PROBES (NULLs are skipped; NULL without values)."""
+    return F.percentile_approx(value, list(PROBES), ACCURACY)
 
 
 @dataclass(frozen=True)
@@ -82,11 +84,15 @@ class Bracket:
         above = F.lit(True) if self.lo is None else value >= F.lit(self.lo)
         return above if self.hi is None else above & (value <= F.lit(self.hi))
 
-    def narrowed(self, below: int, inside: int, grid: list[float]) -> Bracket:
-        """The grid cells around the middle ranks, one more on either side for the sketch's error."""
-        cell = [(r - below) / max(1, inside) * GRID for r in ((self.n - 1) // 2, self.n // 2)]
-        i, j = math.floor(cell[0]) - 1, math.ceil(cell[1]) + 1
-        return Bracket(self.n, grid[i] if i > 0 else self.lo, grid[j] if j < GRID else self.hi, inside * (j - i) / GRID)
+    def narrowed(self, below: int, inside: int, probes: list[float]) -> Bracket:
+        """The closest probes around the middle ranks that the sketch's error cannot carry across them."""
+        error = 2 / ACCURACY
+        lowest = ((self.n - 1) // 2 - below) / max(1, inside) - error
+        highest = (self.n // 2 + 1 - below) / max(1, inside) + error
+        under = [i for i, p in enumerate(PROBES) if p <= lowest]
+        over = [i for i, p in enumerate(PROBES) if p >= highest]
+        share = (PROBES[over[0]] if over else 1.0) - (PROBES[under[-1]] if under else 0.0) + 2 * error
+        return Bracket(self.n, probes[under[-1]] if under else self.lo, probes[over[0]] if over else self.hi, inside * min(1.0, share))
 
 
 def narrow(df: DataFrame, brackets: dict[str, Bracket]) -> dict[str, Bracket]:
@@ -96,37 +102,33 @@ def narrow(df: DataFrame, brackets: dict[str, Bracket]) -> dict[str, Bracket]:
         inside = b.holds(F.col(c))
         parts.append(F.struct(F.count(F.when(F.col(c) < F.lit(b.lo), 1)).alias("below") if b.lo is not None else F.lit(0).alias("below"),
                               F.count(F.when(inside, F.col(c))).alias("inside"),
-                              quantile_grid(F.when(inside, F.col(c))).alias("grid")).alias(c))
+                              quantile_probes(F.when(inside, F.col(c))).alias("probes")).alias(c))
     row = df.agg(*parts).first()
-    return {c: b.narrowed(row[c]["below"], row[c]["inside"], row[c]["grid"]) for c, b in brackets.items()}
+    return {c: b.narrowed(row[c]["below"], row[c]["inside"], row[c]["probes"]) for c, b in brackets.items()}
 
 
 def medians_inside(df: DataFrame, brackets: dict[str, Bracket]) -> dict[str, float]:
     """Exact medians from the values inside the brackets; the values below only count.
 
-    What is shuffled is one row per task for the values below and one per distinct value inside.
+    All values below a bracket count as −∞ (which a bracket only holds if it has no lower end), those above go. What is shuffled is one
+    row per task for the values below and one per distinct value inside.
     """
-    cells = [F.struct(F.lit(c).alias("column"), F.col(c).alias("value"), b.holds(F.col(c)).alias("inside"))
-             for c, b in brackets.items()]
-    at = df.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
-    highest = F.lit(None).cast("double")
-    for c, b in brackets.items():
-        if b.hi is not None:
-            highest = F.when(F.col("column") == c, F.lit(b.hi)).otherwise(highest)
-    kept = at.where(F.col("value").isNotNull() & (F.col("inside") | highest.isNull() | (F.col("value") <= highest)))
-    counts = (kept.groupBy("column", F.when(F.col("inside"), F.col("value")).alias("value"))  # all below: one NULL
-              .agg(F.count(F.lit(1)).alias("n")))
-    up = Window.partitionBy("column").orderBy(F.asc_nulls_first("value")).rowsBetween(Window.unboundedPreceding, 0)
-    last = F.col("upto")  # at most FINAL_ROWS values of a column are ranked in one task
-
-    def holds(rank):
-        return F.max(F.when((last - F.col("n") <= rank) & (rank < last), F.col("value")))
+    def kept(c, b):
+        value = F.col(c) if b.lo is None else F.when(F.col(c) < F.lit(b.lo), F.lit(-math.inf)).otherwise(F.col(c))
+        return value if b.hi is None else F.when(F.col(c) <= F.lit(b.hi), value)
 
+    counts = value_counts(df.select(*[kept(c, b).alias(c) for c, b in brackets.items()]), list(brackets), "double")
+    upto = F.sum("n").over(Window.partitionBy("column").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
     low, high = F.lit(None).cast("long"), F.lit(None).cast("long")
     for c, b in brackets.items():
         low = F.when(F.col("column") == c, F.lit((b.n - 1) // 2)).otherwise(low)
         high = F.when(F.col("column") == c, F.lit(b.n // 2)).otherwise(high)
-    middle = counts.withColumn("upto", F.sum("n").over(up)).groupBy("column").agg(holds(low).alias("a"), holds(high).alias("b"))
+
+    def holds(rank):
+        return F.max(F.when((F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto")), F.col("value")))
+
+    # at most FINAL_ROWS values of a column are ranked in one task
+    middle = counts.withColumn("upto", upto).groupBy("column").agg(holds(low).alias("a"), holds(high).alias("b"))
     return {r["column"]: (r["a"] + r["b"]) / 2.0 for r in middle.collect()}  # one row per column
 
 
@@ -134,9 +136,9 @@ def exact_medians(df: DataFrame, cols: list[str], first: dict[str, Bracket] | No
     """Exact medians of the non-null, non-NaN values (mean of the two middle values); None without any.
 
     A mergeable sketch of every column brackets its two middle ranks in one pass over the table. While more than ``FINAL_ROWS``
-    rows can lie inside a bracket, another pass sketches what lies inside, which leaves about 3 / ``GRID`` of it; then the values inside are
+    rows can lie inside a bracket, another pass sketches what lies inside, which leaves about a hundredth of it; then the values inside are
     counted and ranked exactly. No column's values are shuffled but those. Passes grow with the logarithm of the rows to base
-    ``GRID`` / 3; the driver receives one row a pass.
+    100; the driver receives one row a pass.
 
     ``first``: brackets of a pass made before (``profile``).
     """
@@ -158,9 +160,9 @@ def profile(df: DataFrame, numeric: list[str], other: tuple | list = ()) -> tupl
     """One pass over a table: NULLs of every column, rows, and brackets of the medians of the numeric columns."""
     value = {c: nan_to_null(F.col(c).cast("double")) for c in numeric}
     row = df.agg(F.count(F.lit(1)).alias("__rows"),
-                 *[F.struct(F.count(value[c]).alias("n"), quantile_grid(value[c]).alias("grid")).alias(c) for c in numeric],
+                 *[F.struct(F.count(value[c]).alias("n"), quantile_probes(value[c]).alias("probes")).alias(c) for c in numeric],
                  *[F.count(c).alias(c) for c in other]).first()
     rows = int(row["__rows"])
     counts = {**{c: int(row[c]["n"]) for c in numeric}, **{c: int(row[c]) for c in other}}
-    brackets = {c: Bracket(counts[c]).narrowed(0, counts[c], row[c]["grid"]) if counts[c] else Bracket(0) for c in numeric}
+    brackets = {c: Bracket(counts[c]).narrowed(0, counts[c], row[c]["probes"]) if counts[c] else Bracket(0) for c in numeric}
     return {c: rows - n for c, n in counts.items()}, rows, brackets

@@ -10,6 +10,7 @@ NULLs are imputed.
 from __future__ import annotations
 
 import logging
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -117,4 +118,7 @@ def clean_table(name: str, df: DataFrame, exclude: tuple = ()) -> DataFrame:
 
 
 def load_and_clean(tables: dict[str, DataFrame], exclude: tuple = ()) -> dict[str, DataFrame]:
-    return {name: clean_table(name, df, exclude) for name, df in tables.items()}
+    """Clean every table; the tables' passes are independent jobs, submitted together so that small ones do not queue."""
+    with ThreadPoolExecutor(max_workers=max(1, len(tables))) as pool:
+        cleaned = pool.map(lambda item: clean_table(*item, exclude), tables.items())
+        return dict(zip(tables, cleaned))

@@ -177,7 +177,6 @@ def test_empty_portfolio_summary(spark):
 def test_medians_by_narrowing_brackets(spark, monkeypatch):
     """Several passes over the table, ties and few distinct values: always the exact median."""
     from signals.functions import stats
-    monkeypatch.setattr(stats, "GRID", 16)
     monkeypatch.setattr(stats, "ACCURACY", 100)
     monkeypatch.setattr(stats, "FINAL_ROWS", 40)
     rng = np.random.default_rng(3)
