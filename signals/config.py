@@ -154,9 +154,9 @@ class Config:
     gbt_depth: int = GBT_PARAMS["max_depth"]
     gbt_subsample: float = GBT_PARAMS["subsample"]
     cv_folds: int = CV_FOLDS
-    #: partitions of the inputs of the iterative fits (k-means matrix, GBT training frame); a cluster sets it to
-    #: about its number of cores
-    fit_partitions: int = 2
+    #: partitions of the inputs of the iterative fits (k-means matrix, GBT training frame); None: as many as the
+    #: session's shuffles have
+    fit_partitions: int | None = None
 
 
 DEFAULT = Config()

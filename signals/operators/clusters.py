@@ -67,16 +67,17 @@ def with_cluster_scores(features: DataFrame, labels: DataFrame, key: str = KEY,
     return cluster_repeatability_score(with_labels(features, labels, key))
 
 
-# ---------------------------------------------------------------- k-means (MLlib)
+# ---------------------------------------------------------------- k-means (all searches in one batch)
 
-from concurrent.futures import ThreadPoolExecutor  # noqa: E402
+from itertools import permutations  # noqa: E402
 
+import numpy as np  # noqa: E402
 from pyspark import StorageLevel  # noqa: E402
-from pyspark.ml.clustering import KMeans  # noqa: E402
 from pyspark.ml.evaluation import ClusteringEvaluator  # noqa: E402
 from pyspark.ml.feature import VectorAssembler  # noqa: E402
 
-from ..session import checkpoint  # noqa: E402
+from ..session import checkpoint, fit_partitions  # noqa: E402
+from .kmeans import Centers, points, searched, silhouettes  # noqa: E402
 
 VEC = "cluster_vec"
 
@@ -87,31 +88,26 @@ def cluster_matrix(features: DataFrame, cols: list[str], key: str = KEY, cfg: Co
     shared folder, so a lost executor does not replay the feature lineage)."""
     z = standardize(features, cols, key)
     vec = VectorAssembler(inputCols=[c + "_z" for c in cols], outputCol=VEC).transform(z).select(key, VEC)
-    return checkpoint(vec, cfg.fit_partitions, key).persist(StorageLevel.MEMORY_AND_DISK)
+    return checkpoint(vec, fit_partitions(features.sparkSession, cfg.fit_partitions), key).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _fit_one(matrix: DataFrame, k: int, seed: int):
-    m = KMeans(k=k, seed=seed, featuresCol=VEC, predictionCol="cluster_id", maxIter=300, tol=1e-4).fit(matrix)
-    return m.summary.trainingCost, m
-
-
-def kmeans_fits(matrix: DataFrame, ks: list[int], n_init: int, seed: int, threads: int = 8) -> dict:
+def kmeans_fits(matrix: DataFrame, ks: list[int], n_init: int, seed: int, key: str = KEY) -> dict[int, Centers]:
     """Best of ``n_init`` runs (seeds seed…seed+n_init−1, lowest within-cluster sum of
-    squares, ties → lower seed) for every k. All runs are independent Spark jobs,
-    submitted concurrently so small fits overlap instead of queueing."""
+    squares, ties → lower seed) for every k. All runs go through the rows together (see ``kmeans``)."""
     jobs = [(k, i) for k in ks for i in range(n_init)]
-    with ThreadPoolExecutor(max_workers=max(1, min(threads, len(jobs)))) as pool:
-        res = list(pool.map(lambda kj: (kj, _fit_one(matrix, kj[0], seed + kj[1])), jobs))
+    if not jobs:
+        return {}
+    found = searched(points(matrix, VEC, key), [k for k, _ in jobs], [seed + i for _, i in jobs])
     best = {}
-    for (k, i), (cost, m) in res:
+    for (k, i), (cost, centers) in zip(jobs, found):
         if k not in best or (cost, i) < best[k][:2]:
-            best[k] = (cost, i, m)
-    return {k: v[2] for k, v in best.items()}
+            best[k] = (cost, i, centers)
+    return {k: Centers(c, cost, VEC) for k, (cost, _, c) in best.items()}
 
 
-def kmeans_fit(matrix: DataFrame, k: int, n_init: int = DEFAULT.n_init, seed: int = DEFAULT.seed):
+def kmeans_fit(matrix: DataFrame, k: int, n_init: int = DEFAULT.n_init, seed: int = DEFAULT.seed, key: str = KEY) -> Centers:
     """Best of ``n_init`` k-means runs for one k."""
-    return kmeans_fits(matrix, [k], n_init, seed)[k]
+    return kmeans_fits(matrix, [k], n_init, seed, key)[k]
 
 
 def silhouette(predictions: DataFrame, prediction_col: str = "cluster_id") -> float:
@@ -123,7 +119,7 @@ def silhouette(predictions: DataFrame, prediction_col: str = "cluster_id") -> fl
 
 
 def select_optimal_k(matrix: DataFrame, k_min: int = DEFAULT.k_min, k_max: int = DEFAULT.k_max,
-                     n_init: int = DEFAULT.n_init, seed: int = DEFAULT.seed, with_models: bool = False):
+                     n_init: int = DEFAULT.n_init, seed: int = DEFAULT.seed, with_models: bool = False, key: str = KEY):
     """k in [k_min, min(k_max, n−1)] with the highest silhouette; ties keep the smaller k.
 
     Returns (k, silhouette per k) and, with ``with_models``, the best model per k
@@ -131,13 +127,9 @@ def select_optimal_k(matrix: DataFrame, k_min: int = DEFAULT.k_min, k_max: int =
     """
     n = matrix.count()
     ks = list(range(k_min, min(k_max, n - 1) + 1))
-    models = kmeans_fits(matrix, ks, n_init, seed)
-
-    def score(k):
-        return k, silhouette(models[k].transform(matrix).withColumn("cluster_id", F.col("cluster_id").cast("int")))
-
-    with ThreadPoolExecutor(max_workers=max(1, len(ks))) as pool:
-        scores = dict(pool.map(score, ks))
+    models = kmeans_fits(matrix, ks, n_init, seed, key)
+    means = silhouettes(points(matrix, VEC, key), [models[k].centers for k in ks]) if ks else []
+    scores = dict(zip(ks, means))
     best_k, best = k_min, -1.0
     for k in ks:
         if scores[k] > best:
@@ -145,9 +137,44 @@ def select_optimal_k(matrix: DataFrame, k_min: int = DEFAULT.k_min, k_max: int =
     return (best_k, scores, models) if with_models else (best_k, scores)
 
 
-def fit_clusters(features: DataFrame, key: str = KEY, cfg: Config = DEFAULT) -> tuple[DataFrame, dict]:
+def stable_labels(model: Centers, matrix: DataFrame, features: DataFrame, previous: np.ndarray | None = None,
+                  key: str = KEY, by: str = "repeatability") -> Centers:
+    """The same clusters under ids that do not depend on the order in which a fit found them.
+
+    Ids ascend with the clusters' mean of ``by`` (ties: by centre). With the centres of a ``previous`` run each cluster takes the id of the one
+    that it replaces: the assignment of new to old centres with the least sum of squared distances (k ≤ 6, so all
+    are tried); ids that no old centre gives follow in the order of the means. The order goes by cluster, so two
+    clusters of one run never share an id.
+    """
+    mean_by = F.avg(by) if by in features.columns else F.lit(None).cast("double")
+    means = {r["cluster_id"]: r["m"] for r in model.transform(matrix).join(features.drop("cluster_id"), key, "left")
+             .groupBy("cluster_id").agg(mean_by.alias("m")).collect()}  # one row per cluster
+    k = len(model.centers)
+    order = sorted(range(k), key=lambda c: (means.get(c) is None, means.get(c) or 0.0, model.centers[c].tolist()))
+    if previous is not None and len(previous):
+        order = matched(model.centers[order], np.asarray(previous), order)
+    return Centers(model.centers[order], model.cost, VEC)
+
+
+def matched(centers: np.ndarray, previous: np.ndarray, order: list[int]) -> list[int]:
+    """``order`` rearranged so that each place holds the cluster nearest, over all places together, to the previous centre of it."""
+    k, p = len(centers), len(previous)
+    d = ((centers[:, None] - previous[None]) ** 2).sum(2)
+    few = min(k, p)
+    best = min(((sum(d[c, o] for c, o in zip(new, old)), new, old)
+                for new in (permutations(range(k), few) if k > p else [tuple(range(k))])
+                for old in (permutations(range(p), few) if k <= p else [tuple(range(p))])), key=lambda t: t[0])
+    place = dict(zip(best[1], best[2]))
+    rest = [c for c in range(k) if c not in place]
+    by_place = sorted(place, key=place.get)
+    # with fewer clusters than before the places close up in their old order; new clusters come last
+    return [order[c] for c in [*by_place, *rest]]
+
+
+def fit_clusters(features: DataFrame, key: str = KEY, cfg: Config = DEFAULT, previous: np.ndarray | None = None) -> tuple[DataFrame, dict]:
     """Adds cluster_id and cluster_repeatability_score to the feature table.
 
+    Cluster ids are stable (``stable_labels``): by mean repeatability, or matched to the centres of a ``previous`` run.
     Fewer than two cluster features present → everything in cluster 0 with score 0.5.
     """
     cols = [c for c in cfg.cluster_features if c in features.columns]
@@ -155,8 +182,9 @@ def fit_clusters(features: DataFrame, key: str = KEY, cfg: Config = DEFAULT) ->
         return (features.withColumn("cluster_id", F.lit(0)).withColumn("cluster_repeatability_score", F.lit(0.5)),
                 {"k": 1, "scores": {}})
     matrix = cluster_matrix(features, cols, key, cfg)
-    k, scores, models = select_optimal_k(matrix, cfg.k_min, cfg.k_max, cfg.n_init, cfg.seed, with_models=True)
-    model = models.get(k) or kmeans_fit(matrix, k, cfg.n_init, cfg.seed)
+    k, scores, models = select_optimal_k(matrix, cfg.k_min, cfg.k_max, cfg.n_init, cfg.seed, with_models=True, key=key)
+    model = models.get(k) or kmeans_fit(matrix, k, cfg.n_init, cfg.seed, key)
+    model = stable_labels(model, matrix, features, previous, key)
     labels = model.transform(matrix).select(key, F.col("cluster_id").cast("int").alias("cluster_id"))
     labeled = cluster_repeatability_score(features.join(labels, key, "left"))
     return labeled, {"k": k, "scores": scores, "model": model, "matrix": matrix}

@@ -47,13 +47,17 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+def fit_partitions(spark: SparkSession, configured: int | None = None) -> int:
+    """Partitions of the inputs of iterative fits: as many as the session's shuffles have, unless configured."""
+    return configured or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def checkpoint(df, partitions: int | None = None, key: str | None = None):
     """Reliable checkpoint into the shared folder (eager): cuts lineage so a lost
     executor reloads the frame instead of replaying the plan.
 
-    With ``partitions`` the rows are first hash-partitioned by ``key``: iterative
-    fits run one job per iteration, so the inputs of a fit get a partition count
-    of their own (``Config.fit_partitions``), which does not depend on the data.
+    With ``partitions`` the rows are first hash-partitioned by ``key`` (the inputs of
+    iterative fits: see ``fit_partitions``), whatever the data.
     """
     from pyspark import StorageLevel
     shared_dir(df.sparkSession)
