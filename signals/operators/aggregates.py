@@ -45,7 +45,11 @@ def segment_entropy(demo: DataFrame, key: str = KEY, segment: str = "segment") -
     Two grouped aggregations, no per-group Python: H = ln N − Σ n·ln n / N.
     One segment gives 0, and so do rows without any segment.
     """
-    counts = demo.groupBy(key, segment).agg(F.count(segment).alias("n"))
+    return segment_entropy_of(demo.groupBy(key, segment).agg(F.count(segment).alias("n")), key, segment)
+
+
+def segment_entropy_of(counts: DataFrame, key: str = KEY, segment: str = "segment") -> DataFrame:
+    """``segment_entropy`` from the rows ``n`` per (key, segment)."""
     per = counts.groupBy(key).agg(
         F.sum("n").alias("n_total"),
         F.sum(F.when(F.col("n") > 0, F.col("n") * F.log(F.col("n")))).alias("n_log_n"),

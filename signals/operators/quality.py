@@ -13,6 +13,14 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > 1)
 
 
+def key_violations(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Key values that occur more than once, and a NULL key however often it occurs, with their count."""
+    no_key = F.lit(False)
+    for k in keys:
+        no_key = no_key | F.col(k).isNull()
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).where((F.col("n_rows") > 1) | no_key)
+
+
 def orphans(child: DataFrame, parent: DataFrame, key: str, table: str = "") -> DataFrame:
     """(table_name, key, n_rows) for child keys missing from the parent (left anti join)."""
     missing = child.join(parent.select(key), key, "left_anti")

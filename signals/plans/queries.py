@@ -754,3 +754,180 @@ def q_feature_table_dirty(spark, sf_dir):
 @query("decision_table_dirty", S.q_cleaned_dirty(S.portfolio_ctes(), _DEC_SQL))
 def q_decision_dirty(spark, sf_dir):
     return finish(_dirty_portfolio(spark, sf_dir).decision)
+
+
+# ---------------------------------------------------------------- constraints on load, merged scores, k-means on given centres
+
+from .. import schemas as _schemas  # noqa: E402
+from ..operators import kmeans as km  # noqa: E402
+from ..sources import constraints as con  # noqa: E402
+
+
+def _keys_sql() -> str:
+    return S.with_ctes(ad.deliveries_sql(), " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, id, count(*) AS n_rows FROM d_{t} GROUP BY id HAVING count(*) > 1 OR id IS NULL" for t in ad.DELIVERED))
+
+
+@query("check_primary_keys", _keys_sql())
+def q_pks(spark, sf_dir):
+    frames = []
+    for t, d in ad.deliveries(spark, sf_dir).items():
+        key = _schemas.PRIMARY_KEYS[t]
+        frames.append(qual.key_violations(d, [key]).select(F.lit(t).alias("table_name"), F.col(key).alias("id"), "n_rows"))
+    return qual.union_all(frames)
+
+
+def _enforced_sql() -> str:
+    ctes = ad.deliveries_sql()
+    for t in ad.DELIVERED:
+        orphan = "false" if t == "concepts" else "concept_id IS NOT NULL AND concept_id NOT IN (SELECT id FROM a_concepts)"
+        bad = "WHEN id IS NULL OR NOT named THEN 'not_null' WHEN count(*) OVER (PARTITION BY id) > 1 THEN 'repeated_key'"
+        ctes.append((f"j0_{t}", f"SELECT *, CASE {bad} WHEN {orphan} THEN 'foreign_key' ELSE 'accepted' END AS outcome FROM d_{t} WHERE batch = 0"))
+        ctes.append((f"j1_{t}", f"SELECT *, CASE {bad} WHEN id IN (SELECT id FROM j0_{t} WHERE outcome = 'accepted') THEN 'stored_key' "
+                                f"WHEN {orphan} THEN 'foreign_key' ELSE 'accepted' END AS outcome FROM d_{t} WHERE batch = 1"))
+        ctes.append((f"a_{t}", f"SELECT id FROM j0_{t} WHERE outcome = 'accepted' UNION ALL SELECT id FROM j1_{t} WHERE outcome = 'accepted'"))
+    rows = " UNION ALL ".join(f"SELECT '{t}' AS table_name, outcome, id FROM j{b}_{t}" for t in ad.DELIVERED for b in (0, 1))
+    return S.with_ctes(ctes, "SELECT table_name, outcome, count(*) AS n_rows, CAST(sum(coalesce(id, 0)) AS BIGINT) AS sum_of_ids "
+                             f"FROM ({rows}) GROUP BY table_name, outcome")
+
+
+@query("append_enforced", _enforced_sql())
+def q_append_enforced(spark, sf_dir):
+    """Both loads of all six tables; what was accepted and what is in quarantine is read back from the written tables."""
+    frames, concepts = [], None
+    for t, d in ad.deliveries(spark, sf_dir).items():
+        path, key = scratch_path(spark, f"enforced-{t}"), _schemas.PRIMARY_KEYS[t]
+        for b in (0, 1):
+            con.append_checked(d.where(F.col("batch") == b).drop("batch"), path, con.declared(t, concepts))
+        accepted = spark.read.parquet(path).select(F.lit("accepted").alias("outcome"), F.col(key).alias("id"))
+        if t == "concepts":
+            concepts = spark.read.parquet(path)
+        refused = con.quarantined(spark, path)
+        if refused is not None:
+            accepted = accepted.unionByName(refused.select(F.col("rule").alias("outcome"), F.col(key).alias("id")))
+        frames.append(accepted.groupBy("outcome").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.coalesce("id", F.lit(0))).alias("sum_of_ids"))
+                      .select(F.lit(t).alias("table_name"), "outcome", "n_rows", "sum_of_ids"))
+    return qual.union_all(frames)
+
+
+@query("upsert_scores", S.q(S.portfolio_ctes(), f"""
+SELECT concept_id, {S.r6('CASE WHEN concept_id % 3 = 0 THEN readiness_score / 2.0 ELSE readiness_score END')} AS readiness_score, recommended_outcome,
+       concept_id % 3 = 0 AS second_load FROM decision
+UNION ALL SELECT -concept_id - 1, {S.r6('readiness_score')}, recommended_outcome, true FROM decision WHERE concept_id % 5 = 0"""))
+def q_upsert_scores(spark, sf_dir):
+    d = rule_portfolio(spark, sf_dir).decision.select(K, "readiness_score", "recommended_outcome")
+    path = scratch_path(spark, "scores-merged")
+    tbl.upsert(d.withColumn("second_load", F.lit(False)), path, K)
+    again = d.where(F.col(K) % 3 == 0).withColumn("readiness_score", F.col("readiness_score") / 2.0)
+    new = d.where(F.col(K) % 5 == 0).withColumn(K, -F.col(K) - 1)
+    tbl.upsert(again.unionByName(new).withColumn("second_load", F.lit(True)), path, K)
+    return finish(tbl.read_upserted(spark, path))
+
+
+def _z_ctes() -> list[tuple[str, str]]:
+    cf = list(CFG.cluster_features)
+    z = ", ".join(f"CASE WHEN stddev_pop(coalesce({c}, 0.0)) OVER () = 0 THEN 0.0 ELSE (coalesce({c}, 0.0) - avg(coalesce({c}, 0.0)) OVER ()) / stddev_pop(coalesce({c}, 0.0)) OVER () END AS z{i}"
+                  for i, c in enumerate(cf))
+    return S.portfolio_ctes() + [("z", f"SELECT concept_id, row_number() OVER (ORDER BY concept_id) AS pos, {z} FROM feat")]
+
+
+_DIST = " + ".join(f"(p.z{i} - c.z{i}) * (p.z{i} - c.z{i})" for i in range(len(CFG.cluster_features)))
+
+
+def _given_centers(matrix, sets: list[list[int]]) -> list:
+    """Centre sets made of the rows at the given positions (from 1, by concept id)."""
+    from pyspark.ml.functions import vector_to_array
+    import numpy as np
+    rows = matrix.orderBy(K).limit(max(map(max, sets))).select(vector_to_array(clu.VEC).alias("x")).collect()
+    return [np.array([rows[i - 1]["x"] for i in s]) for s in sets]
+
+
+@query("kmeans_best_of_ten", S.q(_z_ctes() + [
+    ("near", f"""SELECT s.range AS run, p.concept_id, min({_DIST}) AS d FROM range(10) s, z p, z c
+                 WHERE c.pos BETWEEN 3 * s.range + 1 AND 3 * s.range + 3 GROUP BY s.range, p.concept_id"""),
+    ("cost", "SELECT run, sum(d) AS cost FROM near GROUP BY run")],
+    f"SELECT CAST(run AS INTEGER) AS run, {S.r6('cost')} AS cost, cost = (SELECT min(cost) FROM cost) AS is_best FROM cost"))
+def q_best_of_ten(spark, sf_dir):
+    """Ten given sets of three centres, assigned in one pass over the rows; the cheapest is the one that a search keeps."""
+    m = _rule_matrix(spark, sf_dir)
+    centers = _given_centers(m, [[3 * i + j for j in (1, 2, 3)] for i in range(10)])
+    costs = [a.cost for a in km.assigned(km.points(m, clu.VEC, K), centers)]
+    rows = [(i, float(c), c == min(costs)) for i, c in enumerate(costs)]
+    return finish(spark.createDataFrame(rows, "run int, cost double, is_best boolean"))
+
+
+def _silhouettes_sql() -> str:
+    cf = range(len(CFG.cluster_features))
+    sums, dot = ", ".join(f"sum(z{i}) AS s{i}" for i in cf), " + ".join(f"p.z{i} * c.s{i}" for i in cf)
+    sq = " + ".join(f"p.z{i} * p.z{i}" for i in cf)
+    return S.q(_z_ctes() + [
+        ("pts", f"""SELECT k.range AS k, p.*, {sq} AS nrm, arg_min(c.pos, {_DIST}) AS own FROM range(2, 7) k, z p, z c
+                    WHERE c.pos <= k.range GROUP BY ALL"""),
+        ("cst", f"SELECT k, own AS cluster, count(*) AS n, sum(nrm) AS psi, {sums} FROM pts GROUP BY k, own"),
+        ("dd", f"""SELECT p.k, p.concept_id, p.own, c.cluster, c.n, p.nrm + c.psi / c.n - 2 * ({dot}) / c.n AS d
+                   FROM pts p JOIN cst c ON c.k = p.k"""),
+        ("ab", """SELECT k, concept_id, max(CASE WHEN own = cluster THEN n END) AS n_own,
+                  max(CASE WHEN own = cluster THEN d * n / (n - 1) END) AS a, min(CASE WHEN own <> cluster THEN d END) AS b
+                  FROM dd GROUP BY k, concept_id"""),
+        ("sil", "SELECT k, avg(CASE WHEN n_own = 1 THEN 0.0 WHEN a < b THEN 1 - a / b WHEN a > b THEN b / a - 1 ELSE 0.0 END) AS s FROM ab GROUP BY k")],
+        f"SELECT CAST(k AS INTEGER) AS k, {S.r6('s')} AS silhouette, s = (SELECT max(s) FROM sil) AS is_best FROM sil")
+
+
+@query("silhouette_by_k", _silhouettes_sql())
+def q_silhouette_by_k(spark, sf_dir):
+    """Silhouettes of five given clusterings (k = 2…6: the first k rows are the centres), in two passes over the rows."""
+    m = _rule_matrix(spark, sf_dir)
+    ks = range(2, 7)
+    means = km.silhouettes(km.points(m, clu.VEC, K), _given_centers(m, [list(range(1, k + 1)) for k in ks]))
+    return finish(spark.createDataFrame([(k, s, s == max(means)) for k, s in zip(ks, means)], "k int, silhouette double, is_best boolean"))
+
+
+# ---------------------------------------------------------------- batch by batch: statistics, distinct counts, ids
+
+from ..operators import incremental as inc  # noqa: E402
+
+_BATCHES = ("even", "odd")
+
+
+def _in_batches(df):
+    """The rows of even and of odd customers (those without one with the even)."""
+    odd = F.coalesce(F.col("customer_id") % 2, F.lit(0))
+    return {b: df.where(odd == i) for i, b in enumerate(_BATCHES)}
+
+
+@query("features_by_batches", S.q(S.feature_ctes(), f"SELECT concept_id, {_FEAT_SELECT} FROM feat"))
+def q_features_by_batches(spark, sf_dir):
+    """Two batches, the second loaded twice; the features come from the stored states alone."""
+    m = model(spark, sf_dir)
+    path = scratch_path(spark, "states")
+    split = {t: _in_batches(m[t]) for t in inc.PARTS}
+    for b in (*_BATCHES, _BATCHES[1]):
+        inc.save_batch(path, b, {t: split[t][b] for t in inc.PARTS})
+    return finish(feat.features_from_stats(inc.portfolio_stats(spark, path, m["concepts"]), K))
+
+
+_SIGNALS = ["demo_signals", "usage_signals", "commercial_signals"]
+
+
+@query("approximate_customers", S.q([("c", " UNION ALL ".join(f"SELECT concept_id, customer_id FROM {t}" for t in _SIGNALS))], """
+SELECT concept_id, count(DISTINCT customer_id) AS n_customers, true AS within_bound FROM c GROUP BY concept_id"""))
+def q_approx_customers(spark, sf_dir):
+    """Sketches of the three signal tables, put together without reading them again, against the exact count."""
+    m = model(spark, sf_dir)
+    approx = inc.approximate_customers([inc.customer_sketches(m[t]) for t in _SIGNALS])
+    every = qual.union_all([m[t].select(K, "customer_id") for t in _SIGNALS])
+    exact = every.groupBy(K).agg(F.countDistinct("customer_id").alias("n_customers"))
+    bound = F.greatest(F.lit(1.0), F.col("n_customers") * 5 * 0.8 / 64)  # five standard errors at lg_k = 12
+    return exact.join(approx, K).select(K, "n_customers", (F.abs(F.col("approx_customers") - F.col("n_customers")) <= bound).alias("within_bound"))
+
+
+@query("ids_over_loads", S.q([], "SELECT row_number() OVER (ORDER BY coalesce(customer_id % 2, 0), " + ", ".join(f"{c} ASC NULLS FIRST" for c in _DEMO_ORDER)
+                             + ") AS demo_id, " + ", ".join(f"{S.r6(c)} AS {c}" if c == "feedback_score" else c for c in _DEMO_ORDER)
+                             + ", CASE WHEN coalesce(customer_id % 2, 0) = 0 THEN 'even' ELSE 'odd' END AS batch FROM demo_signals"))
+def q_ids_over_loads(spark, sf_dir):
+    """Two loads and a retry of each: one row of ids from 1, without gaps."""
+    path = scratch_path(spark, "numbered")
+    split = _in_batches(model(spark, sf_dir)["demo_signals"])
+    for b in ("even", "even", "odd", "even", "odd"):
+        tbl.load_with_ids(split[b], path, _DEMO_ORDER, "demo_id", b)
+    return finish(spark.read.parquet(path).select("demo_id", *_DEMO_ORDER, "batch"))

@@ -161,6 +161,46 @@ def signal_model(spark: SparkSession, sf_dir: str, dirty: bool = False) -> dict[
     }
 
 
+#: column of each table's key in the deliveries below
+DELIVERED = ("concepts", "demo_signals", "usage_signals", "commercial_signals", "text_feedback", "concept_scores")
+
+
+def deliveries(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Two loads of every table, with ids and with rows that break the declared constraints.
+
+    Columns: ``batch`` (0, 1), the table's key, concept_id, and for concepts concept_name. Signals of one order share ids within
+    the first load (line items 1 and 4) and with it (5, 6, 7), some have none, some name an orphan concept; concepts may lack a name;
+    scores of a third of the concepts come twice.
+    """
+    out = {"concepts": concepts(spark, sf_dir, dirty=True).select((F.col("concept_id") % 2).cast("int").alias("batch"), "concept_id", "concept_name")}
+    for name, flag, residue in (("demo_signals", "R", 3), ("usage_signals", "A", 4), ("commercial_signals", "N", 5)):
+        key = F.when(F.col("l_suppkey") % 31 != 0, F.col("l_orderkey") * 8 + F.col("l_linenumber") % 3)
+        out[name] = read_table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == flag).select(
+            (F.col("l_linenumber") > 4).cast("int").alias("batch"), key.cast("long").alias(name.split("_")[0] + "_id"),
+            _concept_key(True, residue).alias("concept_id"))
+    out["text_feedback"] = text_feedback(spark, sf_dir).select((F.col("feedback_id") % 2).cast("int").alias("batch"), "feedback_id", "concept_id")
+    parts = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("concept_id"))
+    third = F.col("concept_id") % 3
+    out["concept_scores"] = parts.where(third < 2).select(F.lit(0).alias("batch"), "concept_id").unionByName(
+        parts.where(third > 0).select(F.lit(1).alias("batch"), "concept_id"))
+    return out
+
+
+def deliveries_sql() -> list[tuple[str, str]]:
+    """CTEs ``d_<table>`` (batch, id, named, concept_id) of the same loads."""
+    out = [("d_concepts", "SELECT p_partkey % 2 AS batch, p_partkey AS id, p_partkey % 17 <> 0 AS named, p_partkey AS concept_id FROM part")]
+    for name, flag, residue in (("demo_signals", "R", 3), ("usage_signals", "A", 4), ("commercial_signals", "N", 5)):
+        out.append((f"d_{name}", f"""
+SELECT CASE WHEN l_linenumber > 4 THEN 1 ELSE 0 END AS batch, CASE WHEN l_suppkey % 31 <> 0 THEN l_orderkey * 8 + l_linenumber % 3 END AS id,
+       true AS named, CASE WHEN l_partkey % 10 = {residue} THEN -l_partkey - 1 ELSE l_partkey END AS concept_id
+FROM lineitem WHERE l_returnflag = '{flag}'"""))
+    out.append(("d_text_feedback", "SELECT doc_id % 2 AS batch, doc_id AS id, true AS named, doc_id % (SELECT count(*) FROM part) AS concept_id FROM documents"))
+    out.append(("d_concept_scores", """
+SELECT 0 AS batch, p_partkey AS id, true AS named, p_partkey AS concept_id FROM part WHERE p_partkey % 3 < 2
+UNION ALL SELECT 1, p_partkey, true, p_partkey FROM part WHERE p_partkey % 3 > 0"""))
+    return out
+
+
 # ---------------------------------------------------------------------------
 # The same binding in SQL (DuckDB dialect), for the oracle queries.
 # ---------------------------------------------------------------------------
