@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_id": lambda spark, d: language.query(spark, table(spark, d, "documents")),
     "op7_shuffle_shards": lambda spark, d: sharding.query(spark, table(spark, d, "documents")),
     "op8_topk_search": lambda spark, d: topk.query(spark, table(spark, d, "embeddings")),
+    "op8_topk_rows": lambda spark, d: topk.query_rows(spark, table(spark, d, "embeddings")),
     "op9_preference_format": lambda spark, d: preference.query(spark, table(spark, d, "conversations")),
     "op9_preference_replaced": lambda spark, d: preference.query_replaced(spark, table(spark, d, "conversations")),
     "op10_url_filter": lambda spark, d: urls.query(spark, table(spark, d, "pages")),
@@ -29,6 +30,7 @@ ORACLES: dict[str, str] = {
     "op1_poisson_mix": mixing.SQL,
     "op3_quality_rules": quality.SQL,
     "op8_topk_search": topk.SQL,
+    "op8_topk_rows": topk.SQL_ROWS,
     "op9_preference_format": preference.SQL,
     "op9_preference_replaced": preference.SQL_REPLACED,
     "op11_hard_negatives": hard_negatives.SQL,

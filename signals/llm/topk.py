@@ -13,7 +13,7 @@ base ``BINS`` (two or three). One vector that very many rows share fills one bin
 of equal scores. The prepared vectors and the intervals are tables in the shared folder.
 
 Defined results: a null vec_id, a null vector, or one that holds a null or non-finite component takes no part; rows that
-repeat a vec_id count once, with the smallest vector; a query is scored against vectors of its own length only; a query with fewer than k candidates gets all; scores
+repeat a vec_id count once, with the smallest vector, in ``op8_topk_search``, and are rows of their own in ``op8_topk_rows``; a query is scored against vectors of its own length only; a query with fewer than k candidates gets all; scores
 are exact, and one beyond ±(2^62 - 1), or a component with 64 · |x| ≥ 2^63, is an error; an empty table gives no rows. Extra columns are not read.
 """
 
@@ -50,10 +50,15 @@ def whole_vectors(vector_col: str, factor: int) -> tuple[Column, Column]:
 
 
 def quantized(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", factor: int = 64) -> DataFrame:
-    """(id, v, dim): whole-number vectors of the rows that take part."""
+    """(id, v, dim): whole-number vectors of the rows that take part; an id's smallest one."""
+    return each_row(vectors, id_col, vector_col, factor).groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+
+
+def each_row(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", factor: int = 64) -> DataFrame:
+    """(id, v, dim) of all rows that take part, those that repeat an id included."""
     usable, whole = whole_vectors(vector_col, factor)
     return (vectors.where(F.col(id_col).isNotNull() & usable).select(F.col(id_col).cast("long").alias("id"), whole.alias("v"))
-            .groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")))
+            .withColumn("dim", F.size("v")))
 
 
 def matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -102,49 +107,49 @@ def last_candidates(s: np.ndarray, own: np.ndarray, kth: np.ndarray, ids: np.nda
 def tiles(queries: DataFrame, rows: DataFrame, chunks: int, blocks: int):
     """The two sides of all tiles, grouped by (dim, chunk, block)."""
     def deal(n, salt):
-        return F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n).cast("long")).cast("int")
+        return F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(n).cast("long")).cast("int")
 
     def every(n):
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
     a = queries.withColumn("block", deal(blocks, "block")).select("*", every(chunks).alias("chunk"))
-    b = rows.withColumn("chunk", deal(chunks, "chunk")).select("id", "v", "dim", "chunk", every(blocks).alias("block"))
+    b = rows.withColumn("chunk", deal(chunks, "chunk")).select("row", "id", "v", "dim", "chunk", every(blocks).alias("block"))
     key = ["dim", "chunk", "block"]
     return a.groupBy(*key).cogroup(b.groupBy(*key))
 
 
 def pair(q: pa.Table, c: pa.Table):
-    """Ids and scores of a tile, candidates in the order of their ids, and which score is a query's own."""
-    c = c.sort_by("id")
+    """The queries' rows, the candidates' ids in their order, the scores of a tile, and which score is a query's own."""
+    c = c.sort_by([("id", "ascending"), ("row", "ascending")])
     dim = q.column("dim")[0].as_py()
-    qi, ci = q.column("id").to_numpy(), c.column("id").to_numpy()
-    own = qi[:, None] == ci[None, :]
-    return qi, ci, scores(matrix(q.column("v"), dim), matrix(c.column("v"), dim), own), own
+    qr, ci = q.column("row").to_numpy(), c.column("id").to_numpy()
+    own = qr[:, None] == c.column("row").to_numpy()[None, :]
+    return qr, ci, scores(matrix(q.column("v"), dim), matrix(c.column("v"), dim), own), own
 
 
 def count_bins(q: pa.Table, c: pa.Table) -> pa.Table:
     row, b, n = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    qi = np.empty(0, np.int64)
+    qr = np.empty(0, np.int64)
     if q.num_rows and c.num_rows:
-        qi, _, s, own = pair(q, c)
+        qr, _, s, own = pair(q, c)
         row, b, n = highest_bins(s, own, *(q.column(x).to_numpy() for x in ("low", "width", "wanted")))
-    return pa.table({"id": pa.array(qi[row] if len(row) else qi[:0], pa.int64()), "bin": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())})
+    return pa.table({"row": pa.array(qr[row] if len(row) else qr[:0], pa.int64()), "bin": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())})
 
 
 def gather(k: int):
     def run(q: pa.Table, c: pa.Table) -> pa.Table:
-        out = [np.empty(0, np.int64)] * 3
+        out = [np.empty(0, np.int64)] * 4
         if q.num_rows and c.num_rows:
-            qi, ci, s, own = pair(q, c)
+            qr, ci, s, own = pair(q, c)
             row, col = last_candidates(s, own, q.column("low").to_numpy(), ci, k)
-            out = [qi[row], ci[col], s[row, col]]
-        return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("query_id", "vec_id", "score"), out)})
+            out = [qr[row], q.column("id").to_numpy()[row], ci[col], s[row, col]]
+        return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("row", "query_id", "vec_id", "score"), out)})
     return run
 
 
 def top_k(rows: DataFrame, is_query: Column, k: int = K) -> DataFrame:
-    """``rows``: frame from ``quantized``. Each query's k highest scores: query_id, rank, vec_id, score."""
-    rows = written(rows, "topk-rows")
+    """``rows``: frame from ``quantized`` or ``each_row``. Each query's k highest scores: query_id, rank, vec_id, score."""
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "topk-rows")  # numbered once, in the table
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(is_query, 1)).alias("q"),
                      F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)).alias("square")).first()
     chunks, blocks = max(1, -(-total["n"] // CHUNK_ROWS)), max(1, -(-total["q"] // BLOCK_ROWS))
@@ -155,20 +160,20 @@ def top_k(rows: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     while width > 1:
         step = -(-width // BINS)
         counted = (tiles(state.withColumn("width", F.lit(width).cast("long")), rows, chunks, blocks)
-                   .applyInArrow(count_bins, "id long, bin long, n long").groupBy("id", "bin").agg(F.sum("n").alias("n")))
-        down = W.partitionBy("id").orderBy(F.desc("bin"))
-        with_sum = counted.withColumn("reached", F.sum("n").over(down)).join(state.select("id", F.col("wanted").alias("w")), "id")
-        hit = (with_sum.where(F.col("reached") >= F.col("w")).groupBy("id")
+                   .applyInArrow(count_bins, "row long, bin long, n long").groupBy("row", "bin").agg(F.sum("n").alias("n")))
+        down = W.partitionBy("row").orderBy(F.desc("bin"))
+        with_sum = counted.withColumn("reached", F.sum("n").over(down)).join(state.select("row", F.col("wanted").alias("w")), "row")
+        hit = (with_sum.where(F.col("reached") >= F.col("w")).groupBy("row")
                .agg(F.max(F.struct("bin", "reached", "n")).alias("hit")))
         # with fewer candidates than wanted there is no kth value: the interval stays at its lower end
-        state = written(state.join(hit, "id", "left").select(
-            "id", "v", "dim",
+        state = written(state.join(hit, "row", "left").select(
+            "row", "id", "v", "dim",
             F.when(F.col("hit").isNotNull(), F.col("low") + F.col("hit.bin") * step).otherwise(F.col("low")).alias("low"),
             F.when(F.col("hit").isNotNull(), F.col("wanted") - (F.col("hit.reached") - F.col("hit.n")))
             .otherwise(F.col("wanted")).alias("wanted")), "topk-state")
         width = step
-    found = tiles(state, rows, chunks, blocks).applyInArrow(gather(k), "query_id long, vec_id long, score long")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = tiles(state, rows, chunks, blocks).applyInArrow(gather(k), "row long, query_id long, vec_id long, score long")
+    order = W.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
 
@@ -177,6 +182,11 @@ def query(spark: SparkSession, vectors: DataFrame) -> DataFrame:
     return top_k(quantized(vectors), F.pmod(F.col("id"), F.lit(20)) == 0)
 
 
+def query_rows(spark: SparkSession, vectors: DataFrame) -> DataFrame:
+    """Every row is a candidate, and a query if its id says so, also where rows repeat an id."""
+    return top_k(each_row(vectors), F.pmod(F.col("id"), F.lit(20)) == 0)
+
+
 SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
@@ -188,3 +198,6 @@ s AS (
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
 """
+SQL_ROWS = (SQL.replace("SELECT vec_id, list_transform", "SELECT row_number() OVER () AS rid, vec_id, list_transform")
+            .replace("SELECT q.vec_id AS query_id,", "SELECT q.rid, q.vec_id AS query_id,")
+            .replace("q.vec_id <> c.vec_id", "q.rid <> c.rid").replace("PARTITION BY query_id", "PARTITION BY rid"))

@@ -65,3 +65,23 @@ def test_wide_scores_are_exact_or_an_error(spark):
     for wrong in (rows, [(0, [1e30]), (1, [1.0])], [(0, [3e10]), (1, [3e10])]):
         with pytest.raises(Exception, match="beyond|does not fit"):
             got(spark, wrong)
+
+
+def test_rows_that_repeat_an_id_are_rows_of_their_own(spark, monkeypatch):
+    from math import floor
+
+    import numpy as np
+    monkeypatch.setattr(topk, "CHUNK_ROWS", 30)
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 3)
+    assert same_as_sql(spark, "op8_topk_rows")
+    rnd = random.Random(4)
+    rows = [(rnd.randrange(45), [rnd.uniform(-1, 1) for _ in range(3)]) for _ in range(120)] + [(0, [0.25, 0.5, 0.5])] * 30 + [(1, [2.0, 0.0, 0.0]), (1, [5.0, 0.0, 0.0])]
+    v = [(i, [floor(64 * float(np.float32(x))) for x in e]) for i, e in rows]
+    want = []
+    for a, (q, x) in enumerate(v):
+        if q % 20 == 0:
+            s = sorted((-sum(m * n for m, n in zip(x, y)), c) for b, (c, y) in enumerate(v) if b != a)
+            want += [(q, r + 1, c, -t) for r, (t, c) in enumerate(s[:20])]
+    df = spark.createDataFrame([(i, e, 0) for i, e in rows], SCHEMA)
+    assert sorted(tuple(r) for r in topk.query_rows(spark, df).collect()) == sorted(want)
+    assert topk.query_rows(spark, df.limit(0)).count() == 0
