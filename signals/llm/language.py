@@ -16,8 +16,8 @@ above the ``LOW_SHARE`` quantile of the texts as they are. A language with one d
 
 Fit: all languages are learned. Of each, equally many documents as far as there are, chosen by the hash of the id: ``TRAIN_DOCS`` over the
 number of languages, but at most ``MAX_PER_LANGUAGE`` (300; so 1,200 documents with four languages) and at least ``MIN_PER_LANGUAGE``
-(20, from 200 languages on); of each text the ``TRAIN_CHARS`` characters from its first letter on. On the driver, in memory bounded by these and the
-number of languages.
+(20, from 200 languages on). Whole texts teach, those of at most ``TRAIN_CHARS`` characters; of a language that has longer ones only, its
+shortest. On the driver, in memory bounded by these and the number of languages.
 Scoring is one pass over all whole texts without a shuffle; the weights are broadcast (``DIMS`` × number of machines).
 
 Families are a table of common language codes; a language that it lacks is a family of its own, but if it lacks more than ``GROUP``, these are dealt
@@ -194,16 +194,18 @@ def fit(docs: DataFrame, folds: int = 4, held_out: int = 2, text_col: str = "tex
                        F.col(lang_col).cast("string").alias("__lang"))
     rows = rows.where(F.col("__id").isNotNull() & F.col("__lang").isNotNull() & (fold("__id", folds) != held_out)
                       & F.col("__text").rlike(r"\p{L}"))
-    counts = rows.groupBy("__lang").agg(F.count_distinct("__id").alias("n")).collect()
+    rows = rows.withColumn("__chars", F.length("__text"))
+    short = F.count_distinct(F.when(F.col("__chars") <= TRAIN_CHARS, F.col("__id")))
+    counts = rows.groupBy("__lang").agg(F.greatest(short, F.lit(1)).alias("n"), F.min("__chars").alias("least")).collect()
     if not counts:
         return None
     quota = min(MAX_PER_LANGUAGE, max(MIN_PER_LANGUAGE, TRAIN_DOCS // len(counts)))
     chance = F.pmod(F.xxhash64("__id", F.lit("lang")), F.lit(1 << 20)) / (1 << 20)
     wanted = max(1.2 * quota, quota + 40)  # so that chance does not leave a language out
-    limits = docs.sparkSession.createDataFrame([(r["__lang"], wanted / r["n"]) for r in counts], "__lang string, __limit double")
-    start = F.regexp_replace("__text", r"^\P{L}+", "")
-    sample = (rows.withColumn("__chance", chance).join(F.broadcast(limits), "__lang").where("__chance < __limit")  # one row a language
-              .select("__id", "__lang", F.substring(start, 1, TRAIN_CHARS).alias("__text"))
+    limits = docs.sparkSession.createDataFrame([(r["__lang"], wanted / r["n"] if r["least"] <= TRAIN_CHARS else 2.0, max(TRAIN_CHARS, r["least"]))
+                                                for r in counts], "__lang string, __limit double, __most long")
+    sample = (rows.withColumn("__chance", chance).join(F.broadcast(limits), "__lang")  # one row a language
+              .where("__chance < __limit AND __chars <= __most").select("__id", "__lang", "__text")
               .groupBy("__id", "__lang").agg(F.min("__text").alias("__text")))
     by_lang: dict[str, list[str]] = {}
     for r in sorted(sample.collect(), key=lambda r: (r["__id"], r["__text"])):

@@ -84,3 +84,16 @@ def test_rows_that_repeat_an_id_reach_the_driver_once(spark):
     with mock.patch.object(type(df), "collect", counted):
         assert language.fit(df).languages == ["en"]
     assert 1 < max(sizes) <= 41
+
+
+def test_whole_texts_teach_and_a_language_of_long_texts_is_learned(spark, monkeypatch):
+    """No text is cut: those over the limit teach nothing, unless their language has no others."""
+    monkeypatch.setattr(language, "TRAIN_CHARS", 60)
+    seen = {}
+    monkeypatch.setattr(language, "fit_texts", seen.update)
+    rows = [(i, f"kurzer text nummer {i} " + "und so weiter " * (i % 2) * 9, "de") for i in range(40)]
+    rows += [(100 + i, "una frase larga " * (9 + i % 3), "es") for i in range(30)]
+    language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts = {t for _, t, _ in rows}
+    assert set(seen) == {"de", "es"} and all(t in texts for v in seen.values() for t in v)
+    assert all(len(t) <= 60 for t in seen["de"]) and {len(t) for t in seen["es"]} == {144}
