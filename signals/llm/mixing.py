@@ -8,8 +8,9 @@ copies. Rows are exploded by their count and dealt out globally by a seeded hash
 hash's place in [0, 1), so partitions follow each other in hash order, and every partition is sorted.
 
 Scale: the sources are counted with a map-side partial count, so a source holding a third of all rows is one row per
-task there. The table of sources (rate and distribution function) is broadcast only if it has been counted to hold at
-most ``MAX_BROADCAST_SOURCES`` rows; beyond that Spark joins it by a shuffle, where adaptive execution splits large
+task there. A source's distribution function is made in time linear in its rate and kept around the rate only, in 24 √rate numbers.
+The table of sources is broadcast only if it has been counted to hold at
+most ``MAX_BROADCAST_SOURCES`` rows and ``MAX_BROADCAST_BYTES`` bytes; beyond that Spark joins it by a shuffle, where adaptive execution splits large
 partitions. The documents' texts are shuffled once, by a uniform hash.
 
 Defined results: a null source is a source of its own; a null id draws as the empty text; rows that repeat an id get the
@@ -21,11 +22,13 @@ or weights that sum to 0 give an empty result. Texts are never looked at. Column
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import written
 
 MAX_BROADCAST_SOURCES = 10_000
+MAX_BROADCAST_BYTES = 8 << 20  # of their distribution functions
 HASH_STEPS = float(1 << 52)  # 13 hexadecimal digits
 ADDED = ("n_copies", "copy", "shuffle_key")
 
@@ -37,37 +40,39 @@ def uniform(*parts: Column | str | int) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(HASH_STEPS)
 
 
-def poisson_cdf(rate: Column) -> Column:
-    """P(X ≤ k) for k = 0, 1, … far beyond the point where it rounds to 1, by the recurrence of log P(X = k)."""
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-    start = F.struct((-rate).alias("log_p"), F.exp(-rate).alias("cdf"), F.array(F.exp(-rate)).alias("all"))
+def poisson_cdf(rates: DataFrame, key: str) -> DataFrame:
+    """(key, first, cdf): P(X ≤ k) for k = first, first + 1, … by the recurrence of log P(X = k), one row for each (``key``, rate).
 
-    def step(acc, k):
-        log_p = acc["log_p"] + F.log(rate / k)
-        cdf = acc["cdf"] + F.exp(log_p)
-        return F.struct(log_p.alias("log_p"), cdf.alias("cdf"), F.concat(acc["all"], F.array(cdf)).alias("all"))
-
-    return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["all"])
+    Running sums over k, linear in the rate. Kept are the k within 12 √rate + 30 of the rate; P(X < first) is under 1e-30.
+    """
+    reach = 12 * F.sqrt("rate") + 30
+    k = rates.select(key, "rate", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("rate") + reach).cast("long"))).alias("k"))
+    up = W.partitionBy(key).orderBy("k").rowsBetween(W.unboundedPreceding, 0)
+    step = F.when(F.col("k") == 0, -F.col("rate")).otherwise(F.log(F.col("rate") / F.col("k")))
+    cdf = k.withColumn("log_p", F.sum(step).over(up)).withColumn("cdf", F.sum(F.exp("log_p")).over(up))
+    kept = cdf.where(F.col("k") >= F.floor(F.col("rate") - reach))
+    each = kept.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("k", "cdf"))).alias("all"))  # 24 √rate + 63 at most
+    return each.select(key, F.get("all.k", F.lit(0)).alias("first"), F.col("all.cdf").alias("cdf"))
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None, default_weight: float, source_col: str, total: int | None,
           temperature: float) -> DataFrame:
-    """One row per source: its weight, its rate and the distribution function of its counts."""
-    n = F.col("__n").cast("double")
+    """One row per source with a positive rate: its name (``source``), and the distribution function of its counts."""
+    n = F.col("n").cast("double")
     if weights is None:
         weight = F.pow(n, F.lit(1.0 / temperature))
     else:
         weight = F.lit(float(default_weight))
         for name, w in sorted(weights.items()):
-            weight = F.when(F.col("__source") == name, F.lit(float(w))).otherwise(weight)
-    counts = written(docs.groupBy(F.col(source_col).cast("string").alias("__source")).agg(F.count(F.lit(1)).alias("__n")),
-                     "mix-sources").withColumn("__weight", weight)
-    sums = counts.select(F.struct(F.sum("__weight").alias("w"), F.sum("__n").alias("n"))).scalar()
+            weight = F.when(F.col("source") == name, F.lit(float(w))).otherwise(weight)
+    counts = written(docs.groupBy(F.col(source_col).cast("string").alias("source")).agg(F.count(F.lit(1)).alias("n")),
+                     "mix-sources").withColumn("weight", weight)
+    sums = counts.select(F.struct(F.sum("weight").alias("w"), F.sum("n").alias("n"))).scalar()
     rows = F.lit(float(total)) if total is not None else sums.getField("n").cast("double")
-    out = (counts.withColumn("__rate", F.try_divide(rows * F.col("__weight"), sums.getField("w") * n))
-           .where(F.col("__rate") > 0)
-           .select("__source", "__rate", poisson_cdf(F.col("__rate")).alias("__cdf")))
-    return F.broadcast(out) if counts.count() <= MAX_BROADCAST_SOURCES else out
+    rated = counts.withColumn("rate", F.try_divide(rows * F.col("weight"), sums.getField("w") * n)).where(F.col("rate") > 0)
+    size = rated.agg(F.count(F.lit(1)).alias("n"), F.sum((24 * F.sqrt("rate") + 63) * 8).alias("bytes")).first()
+    out = written(poisson_cdf(rated.select("source", "rate"), "source"), "mix-distributions")
+    return F.broadcast(out) if size["n"] <= MAX_BROADCAST_SOURCES and (size["bytes"] or 0) <= MAX_BROADCAST_BYTES else out
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, default_weight: float = 0.0, total: int | None = None,
@@ -82,11 +87,12 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, default_weight
     spark = docs.sparkSession
     docs = docs.drop(*ADDED)
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    by_source = rates(docs, weights, default_weight, source_col, total, temperature)
+    own = "_" * (1 + max(map(len, docs.columns)))  # names that no column has
+    by_source = rates(docs, weights, default_weight, source_col, total, temperature).toDF(own + "source", own + "first", own + "cdf")
     source = F.col(source_col).cast("string")
-    drawn = (docs.withColumn("__u", uniform("copies", seed, F.col(id_col)))
-             .join(by_source, source.eqNullSafe(F.col("__source")))
-             .withColumn("n_copies", F.size(F.filter("__cdf", lambda c: c <= F.col("__u"))))
+    drawn = (docs.withColumn(own + "u", uniform("copies", seed, F.col(id_col)))
+             .join(by_source, source.eqNullSafe(F.col(own + "source")))
+             .withColumn("n_copies", (F.col(own + "first") + F.size(F.filter(own + "cdf", lambda c: c <= F.col(own + "u")))).cast("int"))
              .where(F.col("n_copies") > 0)
              .select(*docs.columns, "n_copies"))
     dealt = (drawn.select("*", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy"))

@@ -57,3 +57,30 @@ def test_awkward_rows(spark):
 def test_no_python_in_the_plan(spark):
     plan = mixing.query(spark, read(spark, "documents"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_distribution_of_large_rates_in_linear_time(spark):
+    import math
+    import time
+    rates = [0.3, 5.0, 700.0, 20_000.0, 1_000_000.0]
+    begin = time.time()
+    got = {r["source"]: r for r in mixing.poisson_cdf(
+        spark.createDataFrame([(str(x), x) for x in rates], "source string, rate double"), "source").collect()}
+    assert time.time() - begin < 60
+    for x in rates:
+        first, cdf = got[str(x)]["first"], got[str(x)]["cdf"]
+        assert first == max(0, math.floor(x - 12 * math.sqrt(x) - 30)) and len(cdf) <= 24 * math.sqrt(x) + 63
+        p = [math.exp(-x + k * math.log(x) - math.lgamma(k + 1)) for k in range(first, first + len(cdf))]
+        total = 0.0
+        for c, q in zip(cdf, p):
+            total += q
+            assert abs(c - total) < 1e-6
+
+
+def test_a_source_of_one_row_and_internal_names(spark):
+    df = spark.range(400).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 0, "one").otherwise("many").alias("source"),
+                                 F.lit(1).alias("__source"), F.lit(2).alias("rate"), F.lit(3).alias("first"), F.lit(4).alias("cdf"), F.lit(5).alias("u"))
+    out = mixing.mix(df, weights={"one": 1.0, "many": 1.0}, total=40_000)
+    assert out.columns == [*df.columns, "n_copies", "copy", "shuffle_key"]
+    n = {r["source"]: r["count"] for r in out.groupBy("source").count().collect()}
+    assert abs(n["one"] - 20_000) < 900 and abs(n["many"] - 20_000) < 900
