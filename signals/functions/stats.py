@@ -19,12 +19,16 @@ from pyspark.sql import functions as F
 from .columns import nan_to_null, safe_div
 
 
+def scaled(x: Column, lo: Column, hi: Column, neutral: float = 0.5) -> Column:
+    """(x − lo)/(hi − lo); ``neutral`` where lo = hi, NULL where there are no bounds."""
+    return F.when(hi == lo, F.lit(neutral)).otherwise(safe_div(x - lo, hi - lo))
+
+
 def min_max(df: DataFrame, c: str, neutral: float = 0.5) -> Column:
     """(x − min)/(max − min) over all rows of ``df``; every row gets ``neutral``
     when min = max (also rows whose x is NULL); all-NULL input stays NULL."""
     b = df.select(F.struct(F.min(c).alias("lo"), F.max(c).alias("hi"))).scalar()
-    lo, hi = b.getField("lo"), b.getField("hi")
-    return F.when(hi == lo, F.lit(neutral)).otherwise(safe_div(F.col(c) - lo, hi - lo))
+    return scaled(F.col(c), b.getField("lo"), b.getField("hi"), neutral)
 
 
 def null_counts(df: DataFrame, cols: list[str], with_rows: bool = False):

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..functions.columns import clip01, safe_div
+from ..functions.columns import clip01
+from ..functions.stats import scaled
 from .aggregates import KEY, commercial_stats, demo_stats, materialize, portfolio_stats, segment_entropy, usage_stats
 
 FEATURES = ["demand_intensity", "repeatability", "engagement_depth", "segment_similarity_raw",
@@ -40,8 +41,7 @@ def bounds(df: DataFrame, exprs: dict[str, Column]) -> Column:
 
 
 def _mm(e: Column, b: Column, name: str, neutral: float = 0.5) -> Column:
-    lo, hi = b.getField(f"{name}_min"), b.getField(f"{name}_max")
-    return F.when(hi == lo, F.lit(neutral)).otherwise(safe_div(e - lo, hi - lo))
+    return scaled(e, b.getField(f"{name}_min"), b.getField(f"{name}_max"), neutral)
 
 
 def _demand(b: Column, cfg: Config) -> Column:

@@ -931,3 +931,53 @@ def q_ids_over_loads(spark, sf_dir):
     for b in ("even", "even", "odd", "even", "odd"):
         tbl.load_with_ids(split[b], path, _DEMO_ORDER, "demo_id", b)
     return finish(spark.read.parquet(path).select("demo_id", *_DEMO_ORDER, "batch"))
+
+
+# ---------------------------------------------------------------- importances from the trees, loads that appear as a whole
+
+from ..sources import versions as ver  # noqa: E402
+
+_FEATURES_SQL = " UNION ALL ".join(f"SELECT '{f}' AS feature, true AS equals_split_gains, true AS within_one" for f in CFG.model_features)
+
+
+@query("importance_from_splits", _FEATURES_SQL)
+def q_importance_from_splits(spark, sf_dir):
+    """The model's importances against the gains read from its saved trees, feature by feature."""
+    s = scored_driver_tables(spark, sf_dir)
+    told = rm.importance_frame(spark, s.model)
+    gains = rm.split_gains(spark, s.model).withColumnRenamed("importance", "from_splits")
+    return gains.join(told, "feature").select("feature", (F.abs(F.col("importance") - F.col("from_splits")) < 1e-9).alias("equals_split_gains"),
+                                              F.col("importance").between(0.0, 1.0).alias("within_one"))
+
+
+_LOADED = ["concepts", "demo_signals", "usage_signals", "commercial_signals", "text_feedback"]
+
+
+@query("atomic_load", S.q([], " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, count(*) AS after_first, count(*) AS after_failed, 2 * count(*) AS after_second, count(*) AS after_reset FROM {t}"
+    for t in _LOADED)))
+def q_atomic_load(spark, sf_dir):
+    """A load, one that dies in its last table, one that appends, and a reset: rows per table after each."""
+    m = model(spark, sf_dir)
+    d = scratch_path(spark, "versions")
+
+    def rows():
+        return [ver.read(spark, d, t).agg(F.count(F.lit(1)).alias("n")).withColumn("t", F.lit(t)) for t in _LOADED]
+
+    ver.load(spark, d, m)
+    after = [rows()]
+    dies = m["text_feedback"].withColumn("customer_comments", F.raise_error(F.lit("this load dies")).cast("string"))
+    try:
+        ver.load(spark, d, {**m, "text_feedback": dies}, reset=True)
+        raise AssertionError("the load was to die")
+    except Exception as e:  # noqa: BLE001 — Spark wraps the task's error
+        if "this load dies" not in str(e):
+            raise
+    after.append(rows())
+    ver.load(spark, d, m)
+    after.append(rows())
+    ver.load(spark, d, m, reset=True)
+    after.append(rows())
+    names = ["after_first", "after_failed", "after_second", "after_reset"]
+    every = qual.union_all([f.withColumn("step", F.lit(n)) for n, frames in zip(names, after) for f in frames])
+    return every.groupBy(F.col("t").alias("table_name")).pivot("step", names).agg(F.max("n"))
