@@ -9,12 +9,14 @@ takes one bucket at a time, puts its rows into a fixed order, shuffles them by F
 Law: ``key``. The key and the number of shards alone decide the shard; shards are near equal in rows and bytes only by
 the uniformity of the hash.
 
-Scale: one task holds one bucket, whatever the size of the corpus or of a shard; texts are shuffled once. The buckets'
+Scale: one task holds one bucket, whatever the size of the corpus or of a shard, and there are as many tasks as buckets; texts are shuffled once.
+Rows that are equal in all columns and very many are counted and dealt by (row, number) over their shard's buckets. The buckets'
 counts (one row per bucket) are summed per shard and meet their bucket in a cogroup, so nothing is broadcast or sent
 to the driver but the total number of bytes. A lost task repeats with the same result, as the order within a bucket does not depend on the order of arrival.
 
 Defined results: null keys hash as one value; a null or empty text has 16 bytes and crc32 0; rows that repeat a key
-share its shard, and their buckets differ as far as their texts do; equal texts of different keys part freely; an
+share its shard, and their buckets differ as far as their texts do, or, where very many are equal, by their number; within a bucket equal keys and
+texts are ordered by a hash of all columns (but maps); equal texts of different keys part freely; an
 empty table gives no rows. Columns of the input named shard, slot or grown_shard are replaced, all others pass through.
 """
 
@@ -28,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship
+from .common import ship, written
 
 ship(__name__)
 
@@ -59,6 +61,14 @@ def fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
     return order
 
 
+def repeated(own: DataFrame, text: Column, bucket_bytes: int) -> DataFrame | None:
+    """(__row): hashes of rows that repeat so often that together they take over an eighth of a bucket; None without any."""
+    bytes_, n = F.sum(size_of(text)), F.count(F.lit(1))
+    often = own.groupBy("__row").agg(n.alias("__n"), bytes_.alias("__b")).where((F.col("__n") > 1) & (F.col("__b") > bucket_bytes // 8))
+    often = written(often.select("__row"), "shards-repeated")
+    return None if often.isEmpty() else often
+
+
 def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, seed: int = 7, bucket_bytes: int = BUCKET_BYTES,
                         key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows with their shard, slot (0, 1, … within the shard, in shuffled order) and grown_shard."""
@@ -66,14 +76,24 @@ def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, seed: int = 7, bu
     text = F.col(text_col).cast("string")
     total = docs.agg(F.sum(size_of(text)).alias("n")).first()["n"] or 0
     per_shard = max(1, -(-total // (shards * bucket_bytes)))
-    bucket = F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key_col), text), F.lit(per_shard).cast("long")).cast("int")
-    dealt = docs.withColumns({"shard": shard_of(F.col(key_col), shards, seed), "__bucket": bucket})
+    buckets = F.lit(per_shard).cast("long")
+    own = docs.withColumns({"shard": shard_of(F.col(key_col), shards, seed),
+                            "__row": F.xxhash64(*[c for c, kind in docs.dtypes if not kind.startswith("map")])})
+    rare, copies = own, None
+    if per_shard > 1 and (often := repeated(own, text, bucket_bytes)) is not None:  # else all rows of a shard are in one bucket anyhow
+        rare = own.join(often, "__row", "left_anti")
+        equal = own.join(often, "__row", "left_semi").groupBy(*own.columns).agg(F.count(F.lit(1)).alias("__n"))
+        copies = (equal.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))
+                  .withColumn("__bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "__row", "__i"), buckets).cast("int")).drop("__n", "__i"))
+    dealt = rare.withColumn("__bucket", F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key_col), text), buckets).cast("int"))
+    dealt = dealt if copies is None else dealt.unionByName(copies)
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), shards * per_shard)
     counts = dealt.groupBy("shard", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = W.partitionBy("shard").orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
-    first = counts.select("shard", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    first = counts.select(F.col("shard").alias("__s"), F.col("__bucket").alias("__b"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
     new = F.pmod(F.xxhash64(F.lit(seed), F.lit(shards), F.col(key_col)), F.lit(shards + 1).cast("long")) == 0
     schema = T.StructType([*docs.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
-    names, by = docs.columns, [key_col, text_col]
+    names, by = docs.columns, [key_col, text_col, "__row"]
 
     def run(rows: pa.Table, offset: pa.Table) -> pa.Table:
         if rows.num_rows == 0:
@@ -87,7 +107,8 @@ def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, seed: int = 7, bu
                         names=[*names, "shard", "slot"])
 
     keys = ["shard", "__bucket"]
-    out = dealt.groupBy(*keys).cogroup(first.groupBy(*keys)).applyInArrow(run, schema)
+    out = (dealt.repartition(tasks, *keys).groupBy(*keys)
+           .cogroup(first.repartition(tasks, "__s", "__b").groupBy("__s", "__b")).applyInArrow(run, schema))
     return out.withColumn("grown_shard", F.when(new, F.lit(shards)).otherwise(F.col("shard")))
 
 

@@ -59,3 +59,20 @@ def test_awkward_rows_and_files(spark, tmp_path):
     path = str(tmp_path / "shards")
     sharding.write_shards(sharding.shuffle_into_shards(read(spark, "documents"), shards=4), path)
     assert spark.read.parquet(path).count() == 200
+
+
+def test_repeated_rows_are_dealt_over_buckets(spark):
+    """One key and text in most rows, some of them equal in all columns: tasks stay small, nothing is lost, equal keys share a shard."""
+    from pyspark.sql import functions as F
+    hot = spark.range(4000).select(F.lit(7).alias("doc_id"), F.lit("one text that repeats").alias("text"), (F.col("id") % 2).alias("extra"))
+    df = hot.unionByName(spark.range(400).select(F.col("id").alias("doc_id"), F.lit("other").alias("text"), F.lit(0).alias("extra")))
+    out = [sharding.shuffle_into_shards(x, shards=3, bucket_bytes=6000).withColumn("task", F.spark_partition_id()).collect()
+           for x in (df, df.repartition(7))]
+    assert all(len(r) == 4400 and gapless(r) for r in out)
+    assert [(r["doc_id"], r["extra"], r["shard"], r["slot"]) for r in sorted(out[0], key=lambda r: (r["shard"], r["slot"]))] == \
+           [(r["doc_id"], r["extra"], r["shard"], r["slot"]) for r in sorted(out[1], key=lambda r: (r["shard"], r["slot"]))]
+    assert len({r["shard"] for r in out[0] if r["doc_id"] == 7}) == 1
+    tasks = defaultdict(int)
+    for r in out[0]:
+        tasks[r["task"]] += 1
+    assert len(tasks) > 10 and max(tasks.values()) < 1000
