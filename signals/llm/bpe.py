@@ -39,8 +39,8 @@ from .common import ship, worker_cache
 
 ship(__name__)
 
-PAIR_MEMO = 1 << 18  # remembered token pairs per worker process
-PIECE_MEMO = 200_000  # remembered pieces per worker process and generation
+PAIR_MEMO = 1 << 16  # remembered token pairs per worker process
+PIECE_MEMO = 100_000  # remembered pieces per worker process and generation
 MEMO_CHARS = 64  # longer pieces are not remembered
 SLICE_ROWS = 256  # rows encoded before their ids are handed on
 
