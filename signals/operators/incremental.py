@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
+from ..session import checkpoint, stored
 from .aggregates import CUSTOMER, KEY, concept_meta, outer_union, segment_entropy_of
 
 #: per table: prefix, {statistic: column} of the means, variances, sums and maxima (the columns of ``aggregates``' frames)
@@ -55,13 +55,16 @@ def merged(name: str, states: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def save_batch(path: str, batch: str, tables: dict[str, DataFrame], key: str = KEY, customer: str = CUSTOMER) -> None:
-    """Write the states of a batch's signal tables; a batch of the same name is replaced."""
-    for name in PARTS:
-        df = tables[name]
+    """Write the states of a batch's signal tables; a batch of the same name is replaced. A batch's rows are stored first, so the plan that
+    they come from runs once."""
+    for name, (_, means, variances, sums, maxima) in PARTS.items():
+        used = dict.fromkeys([key, customer, *means.values(), *variances.values(), *sums.values(), *maxima.values()])
+        df = stored(tables[name].select(*used, *(["segment"] if name == "demo_signals" else [])), "batch")
         batch_state(name, df, key).write.mode("overwrite").parquet(f"{path}/{name}/states/batch={batch}")
         df.select(key, customer).where(F.col(customer).isNotNull()).distinct().write.mode("overwrite").parquet(f"{path}/{name}/customers/batch={batch}")
-    segments = tables["demo_signals"].groupBy(key, "segment").agg(F.count("segment").alias("n"))
-    segments.write.mode("overwrite").parquet(f"{path}/segments/batch={batch}")
+        if name == "demo_signals":
+            segments = df.groupBy(key, "segment").agg(F.count("segment").alias("n"))
+            segments.write.mode("overwrite").parquet(f"{path}/segments/batch={batch}")
 
 
 def portfolio_stats(spark: SparkSession, path: str, concepts: DataFrame, key: str = KEY, customer: str = CUSTOMER) -> dict[str, DataFrame]:

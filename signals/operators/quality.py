@@ -36,5 +36,15 @@ def null_counts(df: DataFrame, table: str = "", cols: list[str] | None = None) -
         F.lit(table).alias("table_name"), "column_name", "n_null")
 
 
+def row_differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: rows of ``a``, rows missing in ``b`` and rows that ``b`` has beyond ``a``; equal rows count as often as they occur (like
+    ``exceptAll`` both ways, but each frame is read and moved once)."""
+    both = a.withColumn("__in_a", F.lit(1)).unionByName(b.withColumn("__in_a", F.lit(0)))
+    per = both.groupBy(*a.columns).agg(F.sum("__in_a").alias("__a"), F.sum(1 - F.col("__in_a")).alias("__b"))
+    more = F.col("__a") - F.col("__b")
+    return per.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(name) for n, name in [
+        (F.col("__a"), "n_rows"), (F.greatest(more, F.lit(0)), "n_missing"), (F.greatest(-more, F.lit(0)), "n_extra")]])
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)

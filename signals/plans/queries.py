@@ -6,6 +6,8 @@ operator over the whole tables and rounds doubles to 6 places (``finish``).
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +20,8 @@ from .registry import finish, query
 K = "concept_id"
 
 
-def model(spark: SparkSession, sf_dir: str, dirty: bool = False):
-    return ad.signal_model(spark, sf_dir, dirty)
+def model(spark: SparkSession, sf_dir: str, dirty: bool = False, by_customer: bool | None = None):
+    return ad.signal_model(spark, sf_dir, dirty, by_customer)
 
 
 # ---------------------------------------------------------------- features
@@ -219,7 +221,7 @@ def q_outcomes(spark, sf_dir):
 from .. import schemas as SC  # noqa: E402
 from ..operators import clean as cln  # noqa: E402
 from ..operators import quality as qual  # noqa: E402
-from ..session import scratch_path  # noqa: E402
+from ..session import scratch_path, stored  # noqa: E402
 from ..sources import tables as tbl  # noqa: E402
 
 
@@ -358,7 +360,7 @@ def q_surrogate(spark, sf_dir):
 
 
 def _round_trip(spark, sf_dir):
-    m = model(spark, sf_dir)
+    m = model(spark, sf_dir, by_customer=False)
     path = scratch_path(spark, "csv")
     tbl.write_csv_tables(m, path)
     back = tbl.read_csv_tables(spark, path)
@@ -382,12 +384,8 @@ def q_write_csv(spark, sf_dir):
     for t, df in m.items():
         orig = df.select(*[F.col(f.name).cast("int").alias(f.name) if f.name in S.BOOL_COLS else F.col(f.name)
                            for f in df.schema.fields])
-        b = back[t].select(*orig.columns)
-        tagged = (orig.select(F.lit("rows").alias("k")).unionByName(orig.exceptAll(b).select(F.lit("missing").alias("k")))
-                  .unionByName(b.exceptAll(orig).select(F.lit("extra").alias("k"))))
-        frames.append(tagged.agg(*[F.count(F.when(F.col("k") == k, 1)).alias(n) for k, n in
-                                   [("rows", "n_rows"), ("missing", "n_missing"), ("extra", "n_extra")]])
-                      .select(F.lit(t).alias("table_name"), "n_rows", "n_missing", "n_extra"))
+        diff = qual.row_differences(orig, back[t].select(*orig.columns))
+        frames.append(diff.select(F.lit(t).alias("table_name"), "n_rows", "n_missing", "n_extra"))
     return qual.union_all(frames)
 
 
@@ -794,20 +792,25 @@ def _enforced_sql() -> str:
 @query("append_enforced", _enforced_sql())
 def q_append_enforced(spark, sf_dir):
     """Both loads of all six tables; what was accepted and what is in quarantine is read back from the written tables."""
-    frames, concepts = [], None
-    for t, d in ad.deliveries(spark, sf_dir).items():
-        path, key = scratch_path(spark, f"enforced-{t}"), _schemas.PRIMARY_KEYS[t]
+    loads = ad.deliveries(spark, sf_dir)
+
+    def load(t, concepts=None):
+        d, path, key = loads[t], scratch_path(spark, f"enforced-{t}"), _schemas.PRIMARY_KEYS[t]
         for b in (0, 1):
             con.append_checked(d.where(F.col("batch") == b).drop("batch"), path, con.declared(t, concepts))
         accepted = spark.read.parquet(path).select(F.lit("accepted").alias("outcome"), F.col(key).alias("id"))
-        if t == "concepts":
-            concepts = spark.read.parquet(path)
         refused = con.quarantined(spark, path)
         if refused is not None:
             accepted = accepted.unionByName(refused.select(F.col("rule").alias("outcome"), F.col(key).alias("id")))
-        frames.append(accepted.groupBy("outcome").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.coalesce("id", F.lit(0))).alias("sum_of_ids"))
+        return path, (accepted.groupBy("outcome").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.coalesce("id", F.lit(0))).alias("sum_of_ids"))
                       .select(F.lit(t).alias("table_name"), "outcome", "n_rows", "sum_of_ids"))
-    return qual.union_all(frames)
+
+    path, parents = load("concepts")
+    concepts = spark.read.parquet(path)
+    children = [t for t in loads if t != "concepts"]
+    with ThreadPoolExecutor(max_workers=len(children)) as pool:  # they only depend on the concepts
+        frames = [f for _, f in pool.map(lambda t: load(t, concepts), children)]
+    return qual.union_all([parents, *frames])
 
 
 @query("upsert_scores", S.q(S.portfolio_ctes(), f"""
@@ -898,7 +901,7 @@ def _in_batches(df):
 @query("features_by_batches", S.q(S.feature_ctes(), f"SELECT concept_id, {_FEAT_SELECT} FROM feat"))
 def q_features_by_batches(spark, sf_dir):
     """Two batches, the second loaded twice; the features come from the stored states alone."""
-    m = model(spark, sf_dir)
+    m = model(spark, sf_dir, by_customer=False)
     path = scratch_path(spark, "states")
     split = {t: _in_batches(m[t]) for t in inc.PARTS}
     for b in (*_BATCHES, _BATCHES[1]):
@@ -958,7 +961,7 @@ _LOADED = ["concepts", "demo_signals", "usage_signals", "commercial_signals", "t
     for t in _LOADED)))
 def q_atomic_load(spark, sf_dir):
     """A load, one that dies in its last table, one that appends, and a reset: rows per table after each."""
-    m = model(spark, sf_dir)
+    m = {t: stored(df, t) if t in _SIGNALS else df for t, df in model(spark, sf_dir, by_customer=False).items()}  # four loads of the same rows: joined once
     d = scratch_path(spark, "versions")
 
     def rows():

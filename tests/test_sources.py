@@ -88,3 +88,45 @@ def test_csv_with_text_ids_and_bad_values(spark, tmp_path):
     from signals.operators import features as feat
     f = feat.feature_table(t["concepts"], t["demo_signals"], t["usage_signals"], t["commercial_signals"]).collect()
     assert sorted(r["concept_id"] for r in f if r["concept_id"]) == ["C001", "C002"]
+
+
+def test_row_differences_count_repeats_and_nulls(spark):
+    from signals.operators import quality as qual
+    schema = "a long, b string"
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (2, None), (2, None), (3, "y")], schema)
+    b = spark.createDataFrame([(1, "x"), (2, None), (2, None), (2, None), (4, "z")], schema)
+    assert tuple(qual.row_differences(a, b).select("n_rows", "n_missing", "n_extra").first()) == (5, 2, 2)
+    assert tuple(qual.row_differences(a.limit(0), b.limit(0)).first()) == (0, 0, 0)
+
+
+def _readings(spark, tmp_path, use):
+    """How often the rows behind a frame are made while ``use`` works on it, and what it returns."""
+    from pyspark.sql import functions as F
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(i % 3, i, None if i % 4 == 0 else float(i), None if i % 5 == 0 else "s") for i in range(60)],
+                                 "concept_id long, customer_id long, x double, segment string")
+    out = use(rows.mapInArrow(count, rows.schema))
+    return made.value / 60, out
+
+
+def test_cleaning_makes_its_rows_twice(spark, tmp_path):
+    """One pass for the profile and one that stores the rows; medians, modes and readers of the result use the stored rows."""
+    from signals.operators import clean as cln
+    times, rows = _readings(spark, tmp_path, lambda df: [cln.impute(df).collect() for _ in range(1)][0])
+    assert times == 2 and len(rows) == 60 and all(r["x"] is not None and r["segment"] == "s" for r in rows)
+
+
+def test_a_batch_makes_its_rows_once(spark, tmp_path, monkeypatch):
+    from signals.operators import incremental as inc
+    from signals.session import scratch_path
+    monkeypatch.setattr(inc, "PARTS", {"demo_signals": ("demo", {"mean_x": "x"}, {"x_var": "x"}, {}, {})})
+    path = scratch_path(spark, "t-once")
+    times, _ = _readings(spark, tmp_path, lambda df: inc.save_batch(path, "b", {"demo_signals": df}))
+    assert times == 1 and spark.read.parquet(f"{path}/segments").count() > 0
+    assert spark.read.parquet(f"{path}/demo_signals/customers").count() == 60
