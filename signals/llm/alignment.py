@@ -47,6 +47,9 @@ SLICE_CHARS = 1 << 19  # of text whose tokens are arrays at one time
 PART_CHARS = 1 << 16  # of text that the libraries encode at one time
 PART_MEMO, MEMO_CHARS = 200_000, 64  # remembered parts per worker process and generation, and their longest
 CHUNK_BYTES = 24 << 20  # of text whose pairs are counted together
+READ_ROWS = 256  # of a batch that are Python strings at one time, besides those of a slice
+LOOKUP_LINKS = 1 << 18  # about so many of a chunk's counted links are looked up at one time
+BLOCK_BYTES = 16 << 20  # of the stored links that a writer or reader holds at one time
 CUT = re.compile(r"(?<=\S)(?= \S)")
 A, B, SPACE = 0, 1, "▁"
 
@@ -204,13 +207,15 @@ def lists(per_row: np.ndarray, values: np.ndarray) -> pa.ListArray:
 def slices(batch: pa.RecordBatch):
     """Rows of a batch of about SLICE_CHARS characters: ids and texts."""
     ids, texts, chars = [], [], 0
-    for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-        ids.append(i)
-        texts.append(t or "")
-        chars += len(texts[-1])
-        if chars >= SLICE_CHARS or len(ids) >= 1 << 14:
-            yield ids, texts
-            ids, texts, chars = [], [], 0
+    for at in range(0, batch.num_rows, READ_ROWS):
+        some = batch.slice(at, READ_ROWS)
+        for i, t in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
+            ids.append(i)
+            texts.append(t or "")
+            chars += len(texts[-1])
+            if chars >= SLICE_CHARS or len(ids) >= 1 << 14:
+                yield ids, texts
+                ids, texts, chars = [], [], 0
     if ids:
         yield ids, texts
 
@@ -271,13 +276,17 @@ def looked_up(texts: pa.Table, counts: pa.Table) -> pa.Table:
     counts = counts.sort_by([("a", "ascending"), ("b", "ascending")])
     key, count, best = (counts.column(n).to_numpy() for n in ("a", "count", "best"))
     key = key.astype(np.int64) << 24 | counts.column("b").to_numpy()
-    a, b, times = (texts.column(n).combine_chunks().flatten().to_numpy().astype(np.int64) for n in ("a", "b", "times"))
-    text = np.repeat(np.arange(texts.num_rows), pc.list_value_length(texts.column("a")).to_numpy())
-    at = np.searchsorted(key, a << 24 | b)
     n_best, count_sum = np.zeros(texts.num_rows, np.int64), np.zeros(texts.num_rows, np.int64)
-    if len(at):
-        np.add.at(n_best, text, times * (count[at] == best[at]))
-        np.add.at(count_sum, text, times * count[at])
+    sizes = pc.list_value_length(texts.column("a")).to_numpy()
+    part = np.cumsum(sizes) // LOOKUP_LINKS
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), texts.num_rows]
+    for begin, end in zip(cuts[:-1], cuts[1:]):
+        a, b, times = (texts.column(n).slice(begin, end - begin).combine_chunks().flatten().to_numpy().astype(np.int64) for n in ("a", "b", "times"))
+        text = np.repeat(np.arange(begin, end), sizes[begin:end])
+        at = np.searchsorted(key, a << 24 | b)
+        if len(at):
+            np.add.at(n_best, text, times * (count[at] == best[at]))
+            np.add.at(count_sum, text, times * count[at])
     out = texts.select(["id", "n_a", "n_b", "n_groups", "n_links"])
     out = out.append_column("n_best", pa.array(n_best)).append_column("count_sum", pa.array(count_sum))
     return out.append_column("groups_sha256", texts.column("groups_sha256"))
@@ -285,7 +294,7 @@ def looked_up(texts: pa.Table, counts: pa.Table) -> pa.Table:
 
 def align(docs: DataFrame, byte_level: str, pieces: bytes, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: id_col, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
-    rows = written(aligned(docs, byte_level, pieces, text_col, id_col), "align-rows")
+    rows = written(aligned(docs, byte_level, pieces, text_col, id_col), "align-rows", BLOCK_BYTES)
     counted = rows.where("whole").select(F.col("chunk").alias("held"), F.inline(F.arrays_zip("a", "b", "times")))
     corpus = written(counted.groupBy("a", "b").agg(F.sum(F.col("times").cast("long")).alias("count")), "align-counts")
     highest = corpus.groupBy("b").agg(F.max("count").alias("best"))

@@ -37,12 +37,14 @@ def fold(key: str | Column, folds: int) -> Column:
     return F.crc32(F.coalesce(k.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, block_bytes: int | None = None) -> DataFrame:
     """The frame as a Parquet table in the shared folder: readers neither replay its plan nor depend on one
-    executor's disk, and unlike a checkpoint it is stored compressed and by columns."""
+    executor's disk, and unlike a checkpoint it is stored compressed and by columns.
+
+    A task holds a row group until it is full: ``block_bytes`` sets its size, for tables with large rows."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    (df.write.option("parquet.block.size", block_bytes) if block_bytes else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,8 +1,10 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 import sentencepiece
@@ -115,3 +117,41 @@ def test_parts_are_encoded_like_whole_texts(libraries):
     for ids, n, want in ((ids_a, n_a, [e.ids for e in libraries[0].encode_batch([" " + t for t in texts], add_special_tokens=False)]),
                          (ids_b, n_b, libraries[1].encode(texts))):
         assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want
+
+
+def peak_mb(work):
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_large_batch_is_text_by_slices(monkeypatch):
+    monkeypatch.setattr(alignment, "SLICE_CHARS", 1 << 16)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8000)), pa.array([f"{i:04d}" * 1000 for i in range(8000)])], ["id", "text"])
+    n, mb = peak_mb(lambda: sum(len(ids) for ids, texts in alignment.slices(batch)))
+    assert n == 8000 and mb < 8  # 32 MB of text
+    got = [x for ids, texts in alignment.slices(batch) for x in zip(ids, texts)]
+    assert got == [(i, f"{i:04d}" * 1000) for i in range(8000)]
+
+
+def test_links_of_a_chunk_are_looked_up_in_bounded_parts(monkeypatch):
+    monkeypatch.setattr(alignment, "LOOKUP_LINKS", 1 << 14)
+    rng, texts, each = np.random.default_rng(5), 1000, 1000
+    per_text = np.full(texts, each)
+    per_text[[0, 500]] = 0, 3 * each
+    a, b, times = (rng.integers(0, most, per_text.sum()) for most in (40, 30, 5))
+    none = np.zeros(texts, np.int64)
+    left = pa.table([pa.array(range(texts)), none, none, none, none, pa.array([""] * texts), *(alignment.lists(per_text, x) for x in (a, b, times))],
+                    ["id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "a", "b", "times"])
+    pairs = [(x, y) for x in range(40) for y in range(30)]
+    count = rng.integers(1, 9, len(pairs))
+    best = {y: max(c for (_, z), c in zip(pairs, count) if z == y) for y in range(30)}
+    right = pa.table({"a": pa.array([x for x, _ in pairs], pa.int32()), "b": pa.array([y for _, y in pairs], pa.int32()), "count": count,
+                      "best": [int(best[y]) for _, y in pairs]})
+    out, mb = peak_mb(lambda: alignment.looked_up(left, right))
+    assert mb < 8  # a million links
+    c, at = count[a * 30 + b], np.repeat(np.arange(texts), per_text)
+    assert out["count_sum"].to_pylist() == np.bincount(at, times * c, texts).astype(int).tolist()
+    assert out["n_best"].to_pylist() == np.bincount(at, times * (c == np.array([best[y] for y in range(30)])[b]), texts).astype(int).tolist()
