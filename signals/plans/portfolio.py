@@ -43,13 +43,16 @@ class Portfolio:
 
     def __init__(self, spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT, tables: dict | None = None):
         self.spark, self.sf_dir, self.cfg = spark, sf_dir, cfg
-        self.tables = tables or ad.signal_model(spark, sf_dir)
+        # own tables: their signals are gathered by concept, so they are not partitioned by customer
+        self.tables = tables or ad.signal_model(spark, sf_dir, by_customer=False)
+        self.own_tables = not tables
 
     @cached_property
     def wide(self) -> DataFrame:
         """Features and the statistics that they and the rules come from."""
         t = self.tables
-        st = agg.portfolio_stats(t["concepts"], t["demo_signals"], t["usage_signals"], t["commercial_signals"])
+        frequent = ad.frequent_concepts(self.spark, self.sf_dir) if self.own_tables else None
+        st = agg.portfolio_stats(t["concepts"], t["demo_signals"], t["usage_signals"], t["commercial_signals"], frequent=frequent)
         return checkpoint(feat.features_from_stats(st, K, self.cfg, keep_stats=True))
 
     @cached_property

@@ -9,6 +9,7 @@ from signals.operators import clean as cln
 from signals.operators import clusters as clu
 from signals.operators import confidence as conf
 from signals.operators import readiness as rdy
+from signals.sources import adapters as ad
 from signals.sources.tables import with_surrogate_id
 
 
@@ -192,3 +193,36 @@ def test_medians_by_narrowing_brackets(spark, monkeypatch):
         s = np.sort(v)
         assert got[c] == (s[(n - 1) // 2] + s[n // 2]) / 2.0, c
     assert passes  # at least one pass narrowed a bracket
+
+
+def _signals(spark, n=4000):
+    """Usage of 50 concepts, of which one (7) has half of the rows and some rows have none; customers may be null."""
+    i = F.col("id")
+    return spark.range(n).select(
+        F.when(i % 2 == 0, F.lit(7)).when(i % 101 == 0, F.lit(None)).otherwise(i % 50).cast("long").alias("concept_id"),
+        F.when(i % 13 != 0, i % 37).alias("customer_id"), *[(i % m).alias(c) for m, c in (
+            (5, "repeat_usage_days"), (6, "trial_sessions"), (7, "feature_clicks"), (8, "time_spent"), (9, "active_users"), (10, "abandoned_features"))])
+
+
+def test_gathered_statistics_equal_those_of_scattered_rows(spark):
+    u = _signals(spark)
+    want = sorted(agg.usage_stats(u).collect(), key=str)
+    for frequent in ([], [7], [7, None], [None], [-1, 3, 7]):
+        assert sorted(agg.gathered(agg.usage_stats, u, frequent).collect(), key=str) == want
+
+
+def test_statistics_of_gathered_signals_move_the_rows_once_and_no_partial_aggregates(spark):
+    plan = agg.gathered(agg.usage_stats, _signals(spark), [])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1 and "customer_id" not in plan.split("Exchange hashpartitioning(")[1].split(")")[0]
+    often = agg.gathered(agg.usage_stats, _signals(spark), [7])._jdf.queryExecution().executedPlan().toString()
+    assert often.count("Exchange hashpartitioning(") == 3  # a frequent key's rows go by customer, then as partial rows
+
+
+def test_frequent_concepts_are_neighbouring_quantiles(spark, tmp_path):
+    rows = spark.range(5000).select(F.when(F.col("id") % 3 == 0, F.lit(42)).when(F.col("id") % 1000 != 1, F.col("id")).alias("l_partkey"))
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert ad.frequent_concepts(spark, str(tmp_path)) == [42, None]
+    rows.where("l_partkey <> 42").write.parquet(f"{tmp_path}/even/lineitem.parquet")
+    assert ad.frequent_concepts(spark, f"{tmp_path}/even") == []
+    rows.limit(0).write.parquet(f"{tmp_path}/none/lineitem.parquet")
+    assert ad.frequent_concepts(spark, f"{tmp_path}/none") == []
